@@ -10,8 +10,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import struct
 
 #: White space on which Unicode and the regex dialects involved agree.
 _SPACE = r"\t-\r   -     　"
@@ -23,11 +22,26 @@ _UNITS = {
     # White space is dropped.
     "word_level": re.compile(rf"[^{_SPACE}]+"),
 }
-#: Units kept by a worker; beyond it the store starts anew. It bounds memory, not results.
-KEPT_UNITS = 300_000
+# A word of plain letters, with the space before it and ASCII punctuation after it. Its letters are
+# one pre-token of either vocabulary and need no normalising but lower case, so the library's model
+# encodes them directly; the rest goes through the whole of the library.
+_PLAIN = re.compile(r"( ?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+#: Units and words kept by a worker; beyond it a store starts anew. It bounds memory, not results.
+KEPT_UNITS = 800_000
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabets write a printable byte as itself, the others as letters from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """encode(texts) gives each text's ids, add_special_tokens=False, as little-endian uint32."""
 
@@ -37,12 +51,15 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.units = _UNITS[kind]
+        self.model = self.tokenizer.model
+        self.units, self.lower = _UNITS[kind], kind == "word_level"
+        self.letters = _byte_letters()
         self.kept: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        return [_pack(x.ids) for x in found]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         return [self._one(t) if t else b"" for t in texts]
@@ -58,10 +75,29 @@ class Encoder:
             return self.whole([text])[0]
         if len(kept) > KEPT_UNITS:
             kept.clear()
-        new = [u for u in dict.fromkeys(units) if u not in kept]
-        kept.update(zip(new, self.whole(new), strict=True))
+        for unit in units:
+            if unit not in kept:
+                kept[unit] = self._unit(unit)
         return b"".join([kept[u] for u in units])
 
+    def _unit(self, unit: str) -> bytes:
+        plain = _PLAIN.fullmatch(unit)
+        if not plain:
+            return self.whole([unit])[0]
+        space, word, tail = plain.groups()
+        word = space + (word.lower() if self.lower else word)
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) > KEPT_UNITS:
+                self.words.clear()
+            spelt = word.encode().decode("latin-1").translate(self.letters)
+            ids = self.words[word] = _pack([t.id for t in self.model.tokenize(spelt)])
+        if not tail:
+            return ids
+        if tail not in self.kept:
+            self.kept[tail] = self.whole([tail])[0]
+        return ids + self.kept[tail]
+
 
 def encoder(path: str, kind: str) -> Encoder:
     key = (path, kind)
