@@ -6,19 +6,58 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, decontam, language, licenses, minhash, packing, sharding, token_store
 from .common import read_table
-from .packing import packed_digest
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicate_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_digest(read_table(spark, sf_dir, "documents"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_digest(read_table(spark, sf_dir, "documents"))
+    return packing.packed_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digest(read_table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
+        "op2_minhash_dedup": op2_minhash_dedup,
+        "op3_token_store": op3_token_store,
         "op4_packing": op4_packing,
+        "op5_sharding": op5_sharding,
+        "op8_language_id": op8_language_id,
+        "op9_license_scan": op9_license_scan,
+        "op10_chat_format": op10_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_decontamination": decontam.SQL,
+        "op2_minhash_dedup": minhash.SQL,
+        "op10_chat_format": chat.SQL,
+    }
