@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that Arrow hands to Python at once; long texts make larger batches needless memory.
 BATCH_ROWS = 512
@@ -59,6 +60,30 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+# --- a bit filter of fixed size -----------------------------------------------------------
+
+#: Bits of the filter; a power of two.
+FILTER_BITS = 1 << 22
+
+
+def bit_filter(hashes: DataFrame) -> np.ndarray:
+    """A filter of a column `hash` of longs, to be broadcast: half a megabyte, whatever the rows.
+
+    It passes every hash of the column and some others; at most FILTER_BITS / 64 rows reach the driver.
+    """
+    place = F.col("hash").bitwiseAND(FILTER_BITS - 1)
+    words = hashes.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit"))
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    for word, bit in words.groupBy("word").agg(F.bit_or("bit")).collect():
+        bits[word] = bit
+    return bits
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    return (bits[place >> 6] >> (place & 63)) & 1 == 1
+
+
 # --- words as bytes -----------------------------------------------------------------------
 
 _U = np.uint64
@@ -98,6 +123,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def powers(n: int) -> np.ndarray:
+    return _powers(_BASE, n, "base")
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    return _powers(_BASE_INV, n, "inv")
+
+
 class Words:
     """Words of some texts: byte bounds, 64-bit hashes, and the first word of each text.
 
@@ -118,8 +151,8 @@ class Words:
 
         n = len(self.buf)
         sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.buf.astype(np.uint64) + _U(1)) * _powers(_BASE, n, "base"), out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * _powers(_BASE_INV, n, "inv")[self.starts]
+        np.cumsum((self.buf.astype(np.uint64) + _U(1)) * powers(n), out=sums[1:])
+        h = (sums[self.ends] - sums[self.starts]) * inverse_powers(n)[self.starts]
         self.hashes = mix(h + (self.ends - self.starts).astype(np.uint64))
 
     def __len__(self) -> int:

@@ -31,13 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, byte_slices, cut, pieces, shingle_hashes, small_batches, stored
+from .common import ALNUM, Words, bit_filter, byte_slices, cut, passes, pieces, shingle_hashes, small_batches, stored
 
 WINDOW = 13
 SHINGLE = 5
-#: Bits of the filter; a power of two.
-FILTER_BITS = 1 << 22
-
 
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
@@ -65,28 +62,13 @@ def _item_windows(window: int, shingle: int):
     return run
 
 
-def bit_filter(hashes: DataFrame) -> np.ndarray:
-    """The filter of a column `hash`: at most FILTER_BITS / 64 rows reach the driver."""
-    place = F.col("hash").bitwiseAND(FILTER_BITS - 1)
-    words = hashes.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit"))
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for word, bit in words.groupBy("word").agg(F.bit_or("bit")).collect():
-        bits[word] = bit
-    return bits
-
-
-def _found(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-    return (bits[place >> 6] >> (place & 63)) & 1 == 1
-
-
 def _places(words: Words, bits: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Word indices of the shingles of `size` words that pass the filter, and their hashes."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     hashes = shingle_hashes(words.hashes, size)
-    at = np.flatnonzero(_found(bits, hashes))
+    at = np.flatnonzero(passes(bits, hashes))
     ends = np.repeat(words.first[1:], words.counts())
     at = at[at + size <= ends[at]]
     return at, hashes[at]
@@ -125,8 +107,8 @@ def _find_prefixes(bits, sizes: list[int], window: int):
                         found[d].append({"hash": h, "pos": w - a, "lead": w - s, "around": words.text(s, min(b, w + window)).decode()})
                 keys = [hashlib.blake2b(repr(i).encode() + b"\0" + t, digest_size=16).digest() for i, t in zip(ids[lo : lo + len(run_)], run_, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.binary()), pa.array(ids[lo : lo + len(run_)], pa.int64()), pa.array(words.counts().astype(np.int64)), pa.array(found, pa.list_(_CANDIDATE))],
-                    names=["key", "doc_id", "n_words", "candidates"],
+                    [pa.array(keys, pa.binary()), pa.array(ids[lo : lo + len(run_)], pa.int64()), batch.column(2).slice(lo, len(run_)), pa.array(words.counts().astype(np.int64)), pa.array(found, pa.list_(_CANDIDATE))],
+                    names=["key", "doc_id", "text_hash", "n_words", "candidates"],
                 )
 
     return run
@@ -136,7 +118,7 @@ def _scan(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int) -> t
     """Documents with candidates, occurrences (key, start, size, window), and owners (window, item_id)."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     windows = cut(items.mapInArrow(_item_windows(window, shingle), "item_id long, window string, size int, hashes array<long>"))
     owners = windows.select("window", "item_id").distinct()
@@ -151,7 +133,7 @@ def _scan(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int) -> t
     prefixes = cut(ranked.where("rarest.n > 0").select("window", "size", "rarest.hash", "rarest.offset"))
 
     bits = spark.sparkContext.broadcast(bit_filter(prefixes.select("hash")))
-    found = stored(texts.mapInArrow(_find_prefixes(bits, sizes, window), "key binary, doc_id long, n_words long, candidates array<struct<hash:long,pos:int,lead:int,around:string>>"), "decontam")
+    found = stored(texts.mapInArrow(_find_prefixes(bits, sizes, window), "key binary, doc_id long, text_hash long, n_words long, candidates array<struct<hash:long,pos:int,lead:int,around:string>>"), "decontam")
     places = found.where(F.size("candidates") > 0).select("key", "n_words", F.inline("candidates"))
     fits = (F.col("pos") >= F.col("offset")) & (F.col("pos") - F.col("offset") + F.col("size") <= F.col("n_words")) & (F.col("lead") >= F.col("offset"))
     laid = F.array_join(F.slice(F.split("around", " "), F.col("lead") - F.col("offset") + 1, F.col("size")), " ")
@@ -167,7 +149,7 @@ def benchmark_occurrences(docs: DataFrame, benchmark: DataFrame, window: int = W
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """One row for each document: doc_id, n_words, n_hit, items (ids as sorted strings), contaminated."""
+    """One row for each document: doc_id, text_hash, n_words, n_hit, items (ids as sorted strings), contaminated."""
     found, occurrences, owners = _scan(docs, benchmark, window, shingle)
     occurrences = cut(occurrences)
 
@@ -178,9 +160,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     items = occurrences.select("key", "window").distinct().join(owners, "window").where("item_id is not null").select("key", F.col("item_id").cast("string").alias("item")).distinct()
     items = items.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
-    judged = found.where(F.size("candidates") > 0).select("key", "doc_id", "n_words").join(hits, "key", "left").join(items, "key", "left")
-    clean = found.where(F.size("candidates") == 0).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    rows = judged.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).unionByName(clean)
+    judged = found.where(F.size("candidates") > 0).select("key", "doc_id", "text_hash", "n_words").join(hits, "key", "left").join(items, "key", "left")
+    clean = found.where(F.size("candidates") == 0).select("doc_id", "text_hash", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    rows = judged.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).unionByName(clean)
     return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Words, byte_slices, mix, pieces, shingle_hashes, small_batches, stored
+from .common import NOT_SPACE, Words, bit_filter, byte_slices, cut, mix, passes, pieces, shingle_hashes, small_batches, stored
 from .components import block_pairs, connected_components, matrix_labels
 
 ROWS = 5
@@ -78,33 +78,53 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
     return keys
 
 
+def _word_sets(texts: list[bytes], k: int) -> Iterator[tuple[int, list[np.ndarray], list[bytes | None]]]:
+    """Runs of texts: the first one's index, their sets as sorted hashes, and a digest of each set."""
+    for lo, run in pieces(texts):
+        words = Words(run, NOT_SPACE)
+        sets = [np.unique(shingle_hashes(words.hashes[a:b], k)) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+        yield lo, sets, [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+
+
 def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = byte_slices(batch.column(1))
-            for lo, run_ in pieces(texts):
-                words = Words(run_, NOT_SPACE)
-                sets = [np.unique(shingle_hashes(words.hashes[a:b], k)) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+            for lo, sets, digests in _word_sets(byte_slices(batch.column(1)), k):
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
-                items = np.concatenate(sets)
                 owner = np.repeat(np.arange(len(sets)), sizes)
-                keys = band_keys(similarity_sketches(items, owner, len(sets))).view(np.int64)
+                keys = band_keys(similarity_sketches(np.concatenate(sets), owner, len(sets))).view(np.int64)
                 some = sizes > 0
                 offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, len(run_)),
-                        pa.array(sizes),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel())),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(items.view(np.int64))),
-                    ],
-                    names=["doc_id", "n_shingles", "set_key", "bands", "hashes"],
+                    [batch.column(0).slice(lo, len(sets)), batch.column(2).slice(lo, len(sets)), pa.array(sizes), pa.array(digests, pa.binary()), pa.array([_digest_hash(d) for d in digests], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))],
+                    names=["doc_id", "text_hash", "n_shingles", "set_key", "hash", "bands"],
                 )
 
     return run
 
 
+def _digest_hash(digest: bytes | None) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True) if digest else 0
+
+
+def _wanted_sets(k: int, bits):
+    """Sets and their digests, as far as the filter passes them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, sets, digests in _word_sets(byte_slices(batch.column(0)), k):
+                hashes = np.array([_digest_hash(d) for d in digests], dtype=np.int64)
+                wanted = np.flatnonzero(passes(bits.value, hashes.view(np.uint64)))
+                sets, digests = [sets[i] for i in wanted if digests[i]], [digests[i] for i in wanted if digests[i]]
+                if not sets:
+                    continue
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                hashes = np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes))], names=["set_key", "hashes"])
+
+    return run
+
+
 def _compare_blocks(percent: int):
     """Links among the members of two blocks: (a, b) edges of a spanning forest."""
 
@@ -151,19 +171,18 @@ def _compare_blocks(percent: int):
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Each document with its class and component: doc_id, n_shingles, component_id, kept.
+    """Each document with its component: doc_id, text_hash, n_shingles, component_id, kept.
 
     `k` words make a shingle; pairs whose Jaccard similarity is `percent` hundredths or more link.
     """
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = texts.mapInArrow(_features(k), "doc_id long, n_shingles long, set_key binary, bands array<long>, hashes array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
+    made = texts.mapInArrow(_features(k), "doc_id long, text_hash long, n_shingles long, set_key binary, hash long, bands array<long>")
     features = stored(made.withColumn("row", F.monotonically_increasing_id()), "minhash")
 
     # A class of equal sets goes by the row of one of its documents.
     filled = features.where("n_shingles > 0")
-    classes = stored(filled.groupBy("set_key").agg(F.min("row").alias("c"), F.min("doc_id").alias("smallest"), F.min("n_shingles").alias("n")), "classes")
-    sets = filled.select(F.col("row").alias("c"), "hashes")
+    classes = stored(filled.groupBy("set_key").agg(F.min("row").alias("c"), F.min("doc_id").alias("smallest"), F.min("n_shingles").alias("n"), F.min("hash").alias("hash")), "classes")
     bands = filled.select(F.col("row").alias("c"), "bands").join(classes.select("c"), "c", "left_semi").select("c", F.explode("bands").alias("band"))
     company = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     shared = stored(bands.join(company, "band"), "buckets")
@@ -175,7 +194,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     spokes = spokes.join(sizes, "c").join(sizes.select(F.col("c").alias("leader"), F.col("n").alias("leader_n")), "leader")
 
     able = 100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")
-    compared = spokes.where(able).join(sets, "c").join(sets.select(F.col("c").alias("leader"), F.col("hashes").alias("leader_hashes")), "leader")
+    spokes = stored(spokes, "pairs")
+    # The sets themselves are made again for the classes that need them: to keep those of all
+    # documents would take more room than the documents.
+    candidates = spokes.select("c").union(spokes.select(F.col("leader").alias("c"))).distinct()
+    candidates = cut(classes.select("c", "set_key", "hash").join(candidates, "c", "left_semi"))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(candidates.select("hash")))
+    wanted = texts.select("text").mapInArrow(_wanted_sets(k, bits), "set_key binary, hashes array<long>")
+    sets = stored(wanted.groupBy("set_key").agg(F.first("hashes").alias("hashes")).join(candidates.select("c", "set_key"), "set_key").select("c", "hashes"), "sets")
+    compared = spokes.where(able).select("leader", "c", "n", "leader_n").join(sets, "c").join(sets.select(F.col("c").alias("leader"), F.col("hashes").alias("leader_hashes")), "leader")
     both = F.size(F.array_intersect("hashes", "leader_hashes")).cast("long")
     star = compared.select("leader", "c", "n", both.alias("both"), (F.col("n") + F.col("leader_n") - both).alias("either"))
     # By the triangle inequality of the Jaccard distance, only a member within twice the allowed
@@ -204,8 +231,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     named = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
     by_set = rooted.join(named, "root").select("set_key", "component_id")
 
-    found = filled.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key").drop("set_key")
-    alone = features.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    found = filled.select("doc_id", "text_hash", "n_shingles", "set_key").join(by_set, "set_key").drop("set_key")
+    alone = features.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
