@@ -36,15 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import remove_folder, shared_folder, small_batches, tokenizer_path
+from .common import inverse_powers, mix, powers, remove_folder, shared_folder, small_batches, tokenizer_path
 from .tokens import encoder
 
 END_ID = 2
 SPAN = 16
-MASK = np.uint64((1 << 9) - 1)
-LEAST, MOST = 64, 4096
+MASK = np.uint64((1 << 10) - 1)
+LEAST, MOST = 128, 8192
 _U = np.uint64
-_WEIGHTS = [_U(pow(0x9E3779B97F4A7C15, back, 1 << 64)) for back in range(SPAN)]
 
 
 def cut_points(ids: np.ndarray) -> list[int]:
@@ -52,12 +51,15 @@ def cut_points(ids: np.ndarray) -> list[int]:
     n = len(ids)
     h = (ids.astype(np.uint64) + _U(1)) * _U(0xD1342543DE82EF95)
     h ^= h >> _U(29)
-    rolled = np.zeros(n, dtype=np.uint64)
-    for back in range(min(SPAN, n)):
-        rolled[back:] += h[: n - back] * _WEIGHTS[back]
-    rolled ^= rolled >> _U(32)
+    # A polynomial over the last SPAN ids, from running sums.
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(h * powers(n), out=sums[1:])
+    rolled = sums[1:].copy()
+    if n > SPAN:
+        rolled[SPAN:] -= sums[1 : n - SPAN + 1]
+    rolled = mix(rolled * inverse_powers(n))
     ends, last = [], 0
-    for at in (np.flatnonzero(rolled & MASK == 0) + 1).tolist():
+    for at in (np.flatnonzero((rolled & MASK) == 0) + 1).tolist():
         while at - last > MOST:
             last += MOST
             ends.append(last)
@@ -253,19 +255,22 @@ def _chunk_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.int64())], names=["key", "n", "crc"])
 
 
-def _document_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _document_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[int, int] = {}
-    for g in batches:
+    for batch in batches:
+        parts = batch.column(4)
+        bounds = parts.offsets.to_pylist()
+        pos, n, keys, crcs = (f.to_pylist() for f in parts.values.flatten())
         sums = []
-        for root, parts in zip(g["root"], g["parts"], strict=True):
-            crc, keys = 0, []
-            for p in sorted(parts, key=lambda p: p["pos"]):
-                crc = _times(_shift(4 * int(p["n"]), known), crc) ^ int(p["crc"])
-                keys.append(bytes(p["key"]))
-            if merkle_root(keys) != bytes(root):
+        for lo, hi, root in zip(bounds, bounds[1:], batch.column(3).to_pylist(), strict=False):
+            order = sorted(range(lo, hi), key=pos.__getitem__)
+            crc = 0
+            for i in order:
+                crc = (_times(_shift(4 * n[i], known), crc) if crc else 0) ^ crcs[i]
+            if merkle_root([keys[i] for i in order]) != root:
                 raise ValueError("a document does not match its root")
             sums.append(crc)
-        yield pd.DataFrame({"doc_id": g["doc_id"], "start": g["start"], "n_tokens": g["n_tokens"], "ids_crc32": sums})
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def verify_store(spark: SparkSession, path: str) -> DataFrame:
@@ -277,9 +282,8 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
     small_batches(spark)
     sums = spark.read.parquet(f"{path}/chunks").select("key", "n", "ids").mapInArrow(_chunk_sums, "key binary, n long, crc long")
     parts = _used(spark, path).join(sums, "key").groupBy("row").agg(F.collect_list(F.struct("pos", "n", "key", "crc")).alias("parts"))
-    rows = _placed(spark, path).join(parts, "row").select(F.col("doc_id").cast("string").alias("doc_id"), "start", "n_tokens", "root", "parts")
-    found = rows.mapInPandas(_document_sums, "doc_id string, start long, n_tokens long, ids_crc32 long")
-    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = _placed(spark, path).join(parts, "row").select("doc_id", "start", "n_tokens", "root", "parts")
+    return rows.mapInArrow(_document_sums, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_digest(docs: DataFrame) -> DataFrame:

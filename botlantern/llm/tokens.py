@@ -11,23 +11,27 @@ from __future__ import annotations
 import os
 import re
 import struct
+from collections.abc import Callable
 
 #: White space on which Unicode and the regex dialects involved agree.
 _SPACE = r"\t-\r   -     　"
 #: What they may class differently: separators of old, next line, the Ogham and Mongolian spaces, joiners.
-_ODD = re.compile(r"[\x1c-\x1f\u0085 ᠎​⁠﻿]")
+_ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\u0085 ᠎​⁠﻿]")
 _UNITS = {
     # A space before a word belongs to it; of a longer run of white space the last one may.
     "byte_level": re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"),
     # White space is dropped.
     "word_level": re.compile(rf"[^{_SPACE}]+"),
 }
-# A word of plain letters, with the space before it and ASCII punctuation after it. Its letters are
-# one pre-token of either vocabulary and need no normalising but lower case, so the library's model
-# encodes them directly; the rest goes through the whole of the library.
-_PLAIN = re.compile(r"( ?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
-#: Units and words kept by a worker; beyond it a store starts anew. It bounds memory, not results.
-KEPT_UNITS = 800_000
+# Texts of Latin-1 characters only are split into the vocabularies' own pre-tokens, which the
+# library's model encodes directly; those texts need no normalising but lower case.
+_L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+_LATIN = {
+    "byte_level": re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"),
+    "word_level": re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+"),
+}
+#: Units kept by a worker; beyond it a store starts anew. It bounds memory, not results.
+KEPT_UNITS = 1_000_000
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
@@ -52,10 +56,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.units, self.lower = _UNITS[kind], kind == "word_level"
+        self.units, self.latin, self.lower = _UNITS[kind], _LATIN[kind], kind == "word_level"
         self.letters = _byte_letters()
         self.kept: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pretokens: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -65,8 +69,15 @@ class Encoder:
         return [self._one(t) if t else b"" for t in texts]
 
     def _one(self, text: str) -> bytes:
-        units = self.units.findall(text)
-        kept = self.kept
+        try:
+            text.isascii() or text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self._joined(text, self.units.findall(text), self.kept, self._whole_unit)
+        if self.lower:
+            text = text.lower()
+        return self._joined(text, self.latin.findall(text), self.pretokens, self._pretoken)
+
+    def _joined(self, text: str, units: list[str], kept: dict[str, bytes], encode: Callable[[str], bytes]) -> bytes:
         try:
             return b"".join([kept[u] for u in units])
         except KeyError:
@@ -77,26 +88,15 @@ class Encoder:
             kept.clear()
         for unit in units:
             if unit not in kept:
-                kept[unit] = self._unit(unit)
+                kept[unit] = encode(unit)
         return b"".join([kept[u] for u in units])
 
-    def _unit(self, unit: str) -> bytes:
-        plain = _PLAIN.fullmatch(unit)
-        if not plain:
-            return self.whole([unit])[0]
-        space, word, tail = plain.groups()
-        word = space + (word.lower() if self.lower else word)
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) > KEPT_UNITS:
-                self.words.clear()
-            spelt = word.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[word] = _pack([t.id for t in self.model.tokenize(spelt)])
-        if not tail:
-            return ids
-        if tail not in self.kept:
-            self.kept[tail] = self.whole([tail])[0]
-        return ids + self.kept[tail]
+    def _whole_unit(self, unit: str) -> bytes:
+        return self.whole([unit])[0]
+
+    def _pretoken(self, pretoken: str) -> bytes:
+        spelt = pretoken.encode().decode("latin-1").translate(self.letters)
+        return _pack([t.id for t in self.model.tokenize(spelt)])
 
 
 def encoder(path: str, kind: str) -> Encoder:
