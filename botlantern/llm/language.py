@@ -23,8 +23,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -143,38 +144,38 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES
     return Model({x: (g["gram"].to_numpy().astype(_U), g["n"].to_numpy(dtype=np.float64)) for x, g in counted.groupby("lang")})
 
 
-def _predict(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
-        for batch in batches:
-            names = ["und"] * batch.num_rows
-            scores, rates = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            texts = batch.column(1).to_pylist()
-            judged = [i for i, ok in enumerate(batch.column(2).to_pylist()) if ok and m.langs]
-            for lo in range(0, len(judged), 64):
-                some = judged[lo : lo + 64]
-                bits = m.bits([texts[i] for i in some])
-                best = bits.argmin(axis=1)
-                least = bits.min(axis=1)
-                scores[some] = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
-                rates[some] = least / np.maximum(1, [len(texts[i].encode()) for i in some])
-                for i, j in zip(some, best.tolist(), strict=True):
-                    names[i] = m.langs[j]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(scores), pa.array(rates)], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
-
-    return run
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score and bits_per_byte of each row of `docs` (doc_id, text)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), has_letter(F.col("text")).alias("letter"))
-    return texts.mapInArrow(_predict(spark.sparkContext.broadcast(model)), "doc_id long, lang_pred string, score double, bits_per_byte double")
+def predicted(text: Column, model: Model) -> Column:
+    """A column of lang_pred, score and bits_per_byte; the rest of a row stays where it is."""
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(model)
 
+    @F.pandas_udf("lang_pred string, score double, bits_per_byte double")
+    def predict(texts: pd.Series, letters: pd.Series) -> pd.DataFrame:
+        m: Model = shared.value
+        names = np.full(len(texts), "und", dtype=object)
+        scores, rates = np.zeros(len(texts)), np.zeros(len(texts))
+        judged = np.flatnonzero(letters.to_numpy(dtype=bool)) if m.langs else []
+        for lo in range(0, len(judged), 64):
+            some = judged[lo : lo + 64]
+            own = [texts.iat[i] for i in some]
+            bits = m.bits(own)
+            best, least = bits.argmin(axis=1), bits.min(axis=1)
+            scores[some] = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
+            rates[some] = least / np.maximum(1, [len(t.encode()) for t in own])
+            names[some] = [m.langs[j] for j in best]
+        return pd.DataFrame({"lang_pred": names, "score": scores, "bits_per_byte": rates})
 
-def has_letter(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    return predict(text, has_letter(text))
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score and bits_per_byte of each row of `docs` (doc_id, text)."""
+    small_batches(docs.sparkSession)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), predicted(F.col("text").cast("string"), model).alias("found"))
+    return found.select("doc_id", "found.*")
 
 
 def language_digest(docs: DataFrame) -> DataFrame:

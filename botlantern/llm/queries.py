@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, language, licenses, minhash, packing, sharding, token_store
+from . import chat, decontam, embeddings, extraction, language, licenses, minhash, packing, sharding, token_store
 from .common import read_table
 
 
@@ -30,6 +30,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extraction_digest(read_table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_digest(read_table(spark, sf_dir, "documents"))
 
@@ -49,6 +57,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_store": op3_token_store,
         "op4_packing": op4_packing,
         "op5_sharding": op5_sharding,
+        "op6_embedding_dedup": op6_embedding_dedup,
+        "op7_html_extraction": op7_html_extraction,
         "op8_language_id": op8_language_id,
         "op9_license_scan": op9_license_scan,
         "op10_chat_format": op10_chat_format,
@@ -59,5 +69,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontam.SQL,
         "op2_minhash_dedup": minhash.SQL,
+        "op6_embedding_dedup": embeddings.SQL,
         "op10_chat_format": chat.SQL,
     }
