@@ -1,0 +1,161 @@
+"""Keyed state of the log parsers for streaming.
+
+Spark picks out what a line says (`said`); the state of a log stream then pairs starts with ends and
+attaches context across micro-batches. Rows of a key may come in several chunks and in any order, so
+they are sorted by file key and offset first. The state is one small JSON value a stream: the open
+calls and requests, the last model mention and the last command.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from .. import schemas
+from ..config import Config
+from ..functions import day_of_ms, first_filled, hour_of_ms, infer_provider_chat, infer_provider_model, instant_of_ms, last_segment, log_file_key, utf16_length
+from ..plans import parse as P
+
+SAID = "stream string, file string, date_num int, seq long, offset long, kind string, ts long, key string, length long, n1 long, n2 long, n3 long, t1 string, t2 string, t3 string"
+RECORD = (
+    "kind string, ts long, start_ts long, length long, key string, n1 long, n2 long, n3 long, t1 string, first_ms long, "
+    "mention string, user string, command string, platform string, asked_model string, asked_n long"
+)
+
+
+def said(events: DataFrame) -> DataFrame:
+    """What each line with a kind says, in the columns of SAID."""
+    kind, content, clean = F.col("kind"), F.col("content"), F.col("clean")
+    chat = kind.isin("start", "first", "finish", "empty")
+    image = kind.isin("image_ok", "image_failed")
+    part = lambda c, p, i: F.regexp_extract(c, p, i)
+    number = lambda c, p, i: part(c, p, i).try_cast("long")
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    key = (
+        F.when(chat, part(F.col("name"), P.CHAT_NAME, 1))
+        .when(kind == "failed", part(F.col("name"), P.EXECUTOR_NAME, 1))
+        .when(kind == "model", P.mentioned_model(clean))
+        .when(kind == "image_request", first_filled(part(clean, r"provider: '([^']+)'", 1), F.lit("unknown")))
+        .when(image, part(clean, P.IMAGE_EVENT, 1))
+    )
+    n1 = (
+        F.when(kind == "first", number(content, P.FIRST_TOKEN, 1))
+        .when(kind == "finish", number(content, P.CHAT_FINISH, 1))
+        .when(kind == "usage", number(clean, P.TOKEN_USAGE, 1))
+        .when(kind == "image_request", number(clean, r"numImages: (\d+)", 1))
+    )
+    n2, n3 = (F.when(kind == "finish", number(content, P.CHAT_FINISH, i)).when(kind == "usage", number(clean, P.TOKEN_USAGE, i)) for i in (2, 3))
+    error = F.when(content.rlike(P.REQUEST_ERROR), F.substring(trimmed(part(content, P.REQUEST_ERROR, 1)), 1, 100)).otherwise("UNKNOWN")
+    t1 = (
+        F.when(kind == "failed", error)
+        .when(kind == "command", trimmed(part(clean, P.COMMAND_CONTEXT, 1)))
+        .when(kind == "image_request", F.nullif(part(clean, r"modelId: '([^']+)'", 1), F.lit("")))
+        .when(kind == "image_failed", F.substring(clean, 1, 100))
+    )
+    t2, t3 = (F.when(kind == "command", trimmed(part(clean, P.COMMAND_CONTEXT, i))) for i in (2, 3))
+    k = log_file_key(F.col("file"))
+    return events.where("kind is not null").select(
+        "stream", "file", k["date_num"].alias("date_num"), k["seq"].alias("seq"), "offset", "kind", "ts", key.alias("key"), utf16_length(content).alias("length"),
+        n1.alias("n1"), n2.alias("n2"), n3.alias("n3"), t1.alias("t1"), t2.alias("t2"), t3.alias("t3"),
+    )
+
+
+class Matcher:
+    """The state of one stream; `step` takes a line and gives a row of RECORD or nothing."""
+
+    def __init__(self, state: dict | None = None):
+        self.state = state or {"calls": {}, "asked": {}, "mention": None, "command": None}
+
+    def step(self, r) -> dict | None:
+        s, kind, ts = self.state, r.kind, int(r.ts)
+        if kind == "start":
+            s["calls"][r.key] = [ts, int(r.length), None]
+        elif kind == "first":
+            if r.key in s["calls"]:
+                s["calls"][r.key][2] = int(r.n1)
+        elif kind == "model":
+            s["mention"] = [r.key, ts]
+        elif kind == "command":
+            s["command"] = [r.t1, r.t2, r.t3, ts]
+        elif kind == "image_request":
+            s["asked"][r.key] = [r.t1, None if pd.isna(r.n1) else int(r.n1)]
+        else:
+            return self._record(r, kind, ts)
+        return None
+
+    def _record(self, r, kind: str, ts: int) -> dict:
+        s = self.state
+        out = {"kind": kind, "ts": ts, "start_ts": ts, "length": r.length, "key": r.key, "n1": r.n1, "n2": r.n2, "n3": r.n3, "t1": r.t1}
+        if kind in ("finish", "empty") and (call := s["calls"].pop(r.key, None)):
+            out |= {"start_ts": call[0], "length": call[1], "first_ms": call[2]}
+        elif kind == "usage" and s["mention"] and ts - s["mention"][1] < P.MODEL_TTL:
+            out["mention"] = s["mention"][0]
+        elif kind in ("image_ok", "image_failed"):
+            asked = s["asked"].pop(r.key, None) if kind == "image_ok" else s["asked"].get(r.key)
+            if asked:
+                out |= {"asked_model": asked[0], "asked_n": asked[1]}
+            if s["command"] and ts - s["command"][3] < P.COMMAND_TTL:
+                out |= dict(zip(("user", "command", "platform"), s["command"][:3], strict=True))
+        return out
+
+
+class MatchLines(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("parser", "state string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(json.loads(self.kept.get()[0]) if self.kept.exists() else None)
+        lines = pd.concat(list(rows)).sort_values(["date_num", "seq", "file", "offset"])
+        found = [out for r in lines.itertuples(index=False) if (out := matcher.step(r))]
+        self.kept.update((json.dumps(matcher.state),))
+        names = [p.split(" ")[0] for p in RECORD.split(", ")]
+        numbers = {p.split(" ")[0] for p in RECORD.split(", ") if p.endswith("long")}
+        frame = pd.DataFrame(found, columns=names)
+        yield frame.astype({n: "Int64" for n in numbers})
+
+    def close(self) -> None:
+        pass
+
+
+def matched(rows: DataFrame) -> DataFrame:
+    """Streaming rows of SAID to rows of RECORD."""
+    return rows.groupBy("stream").transformWithStateInPandas(MatchLines(), outputStructType=RECORD, outputMode="append", timeMode="none")
+
+
+def records(rows: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """Rows of RECORD as AI requests and image generations."""
+    rows = rows.withColumn("timestamp", instant_of_ms(F.col("start_ts"))).withColumn("date", day_of_ms(F.col("start_ts"))).withColumn("hour", hour_of_ms(F.col("start_ts")))
+    kind = F.col("kind")
+    usage, finish = kind == "usage", kind == "finish"
+    model = first_filled(F.col("mention"), F.lit(config.default_model).cast("string"), F.lit("unknown"))
+    zero = F.lit(0).cast("long")
+    ai = rows.where(kind.isin("finish", "empty", "failed", "usage")).select(
+        F.when(usage, F.concat_ws("-", F.lit("cl"), "ts", model, "n1", "n2")).otherwise(F.concat_ws("-", F.lit("yes"), "start_ts", "key", "length")).alias("id"),
+        "timestamp", "date", "hour",
+        F.when(usage, "chatluna").otherwise("yesimbot").alias("source"),
+        F.when(usage, infer_provider_chat(model)).otherwise(infer_provider_model(F.col("key"))).alias("provider"),
+        F.when(usage, last_segment(model)).otherwise(F.col("key")).alias("modelId"),
+        F.when(usage, F.col("n1")).when(finish, F.col("n2")).otherwise(zero).alias("promptTokens"),
+        F.when(usage, F.col("n2")).when(finish, F.col("n3")).otherwise(zero).alias("completionTokens"),
+        F.when(usage, F.col("n3")).when(finish, F.col("n2") + F.col("n3")).otherwise(zero).alias("totalTokens"),
+        F.when(finish, F.col("n1")).alias("latencyMs"),
+        F.col("first_ms").alias("firstTokenLatencyMs"),
+        (usage | finish).alias("success"),
+        F.when(kind == "empty", "OUTPUT_EMPTY_CONTENT").when(kind == "failed", F.col("t1")).alias("errorCode"),
+    )
+    ok = kind == "image_ok"
+    images = rows.where(kind.isin("image_ok", "image_failed")).select(
+        F.concat_ws("-", F.lit("img"), "ts", "key", F.when(ok, "ok").otherwise("fail")).alias("id"),
+        "timestamp", "date", "hour",
+        F.col("user").alias("userId"), "platform", F.col("command").alias("commandName"),
+        F.col("asked_model").alias("modelId"), F.col("key").alias("provider"),
+        F.when(F.col("asked_n") > 0, F.col("asked_n")).otherwise(F.lit(1)).alias("numImages"),
+        ok.alias("success"), zero.alias("freeUsed"), zero.alias("purchasedUsed"), F.lit("unknown").alias("consumptionType"),
+        F.when(~ok, F.col("t1")).alias("errorCode"),
+    )
+    return P._typed(ai, schemas.AI_REQUEST), P._typed(images, schemas.IMAGE_GENERATION)
