@@ -1,7 +1,7 @@
 """A content-addressed store of token ids.
 
 Encoding gives each document a stream of ids with an end id. A rolling hash over the last 16 ids
-cuts the stream into chunks where its low bits are zero (with a least and a most length), so equal
+cuts the stream into chunks where its top bits are zero (with a least and a most length), so equal
 passages give equal chunks wherever they stand. The store is four Parquet folders under one path:
 
     chunks     key (BLAKE2b-128 of the ids as little-endian uint32), n, ids (zstd) - once each
@@ -36,42 +36,47 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import inverse_powers, mix, powers, remove_folder, shared_folder, small_batches, tokenizer_path
+from .common import remove_folder, shared_folder, small_batches, tokenizer_path
 from .tokens import encoder
 
 END_ID = 2
 SPAN = 16
-MASK = np.uint64((1 << 10) - 1)
+#: A chunk ends at one of so many places, as a power of two.
+MASK_BITS = 10
 LEAST, MOST = 128, 8192
 _U = np.uint64
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one stream."""
-    n = len(ids)
-    h = (ids.astype(np.uint64) + _U(1)) * _U(0xD1342543DE82EF95)
+def cut_points(streams: list[np.ndarray]) -> list[list[int]]:
+    """Ends of the chunks of each stream.
+
+    The rolling hash of a place is the sum of hashes of the last SPAN ids, mixed; all streams of a
+    batch are hashed at once. Places before LEAST are no ends, so a hash never spans two streams.
+    """
+    bounds = np.concatenate([[0], np.cumsum([len(s) for s in streams])])
+    h = (np.concatenate(streams).astype(np.uint64) + _U(1)) * _U(0xD1342543DE82EF95)
     h ^= h >> _U(29)
-    # A polynomial over the last SPAN ids, from running sums.
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(h * powers(n), out=sums[1:])
-    rolled = sums[1:].copy()
-    if n > SPAN:
-        rolled[SPAN:] -= sums[1 : n - SPAN + 1]
-    rolled = mix(rolled * inverse_powers(n))
-    ends, last = [], 0
-    for at in (np.flatnonzero((rolled & MASK) == 0) + 1).tolist():
-        while at - last > MOST:
+    sums = np.cumsum(h, out=h)
+    rolled = (sums[SPAN:] - sums[:-SPAN]) * _U(0x9E3779B97F4A7C15)
+    marks = np.flatnonzero(rolled >> _U(64 - MASK_BITS) == 0) + SPAN + 1
+    near = np.searchsorted(marks, bounds)
+    out = []
+    for i, start in enumerate(bounds[:-1].tolist()):
+        n, ends, last = int(bounds[i + 1]) - start, [], 0
+        for at in (marks[near[i] : near[i + 1]] - start).tolist():
+            while at - last > MOST:
+                last += MOST
+                ends.append(last)
+            if at - last >= LEAST:
+                last = at
+                ends.append(at)
+        while n - last > MOST:
             last += MOST
             ends.append(last)
-        if at - last >= LEAST:
-            last = at
-            ends.append(at)
-    while n - last > MOST:
-        last += MOST
-        ends.append(last)
-    if last < n:
-        ends.append(n)
-    return ends
+        if last < n:
+            ends.append(n)
+        out.append(ends)
+    return out
 
 
 def digest(data: bytes) -> bytes:
@@ -88,8 +93,8 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return leaves[0]
 
 
-_STORED = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("n", pa.int64()), ("ids", pa.binary()), ("doc_id", pa.int64()), ("text_key", pa.binary()), ("chunks", pa.list_(pa.binary())), ("root", pa.binary())])
-_STORED_DDL = "kind string, key binary, n long, ids binary, doc_id long, text_key binary, chunks array<binary>, root binary"
+_STORED = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("n", pa.int64()), ("ids", pa.binary()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("chunks", pa.list_(pa.binary())), ("root", pa.binary())])
+_STORED_DDL = "kind string, key binary, n long, ids binary, doc_id long, text_key long, chunks array<binary>, root binary"
 
 
 def _encode(path: str, kind: str, end_id: int):
@@ -97,24 +102,25 @@ def _encode(path: str, kind: str, end_id: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, press = encoder(path, kind).encode, zstandard.ZstdCompressor(level=3)
+        encode, press = encoder(path, kind).encode, zstandard.ZstdCompressor(level=1)
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1).to_pylist()
             chunks: dict[bytes, tuple] = {}
             recipes = []
-            for doc_id, text, ids in zip(batch.column(0).to_pylist(), texts, encode(texts), strict=True):
-                ids += end
-                view, at, own = np.frombuffer(ids, dtype="<u4"), 0, []
-                for to in cut_points(view):
-                    raw, narrow = ids[4 * at : 4 * to], view[at:to]
-                    own.append(digest(raw))
+            raws = [ids + end for ids in encode(texts)]
+            views = [np.frombuffer(raw, dtype="<u4") for raw in raws]
+            for doc_id, text, raw, view, ends in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), raws, views, cut_points(views) if views else [], strict=True):
+                # Ids of small vocabularies are stored in half the width; n tells them apart.
+                width = 2 if view.max() < 1 << 16 else 4
+                stored = view.astype("<u2").tobytes() if width == 2 else raw
+                at, own = 0, []
+                for to in ends:
+                    own.append(digest(raw[4 * at : 4 * to]))
                     if own[-1] not in chunks:
-                        # Ids of small vocabularies are stored in half the width; n tells them apart.
-                        packed = press.compress(narrow.astype("<u2").tobytes() if narrow.max() < 1 << 16 else raw)
-                        chunks[own[-1]] = ("chunk", own[-1], to - at, packed, None, None, None, None)
+                        chunks[own[-1]] = ("chunk", own[-1], to - at, press.compress(stored[width * at : width * to]), None, None, None, None)
                     at = to
-                recipes.append(("recipe", b"%d:%d" % (part, row), len(view), None, doc_id, digest((text or "").encode()), own, merkle_root(own)))
+                recipes.append(("recipe", b"%d:%d" % (part, row), len(view), None, doc_id, text, own, merkle_root(own)))
                 row += 1
             if rows := [*chunks.values(), *recipes]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _STORED, strict=True)], schema=_STORED)
@@ -137,7 +143,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte_le
     """Encode `docs` (doc_id, text) and write the store under `path`."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
     # One pass over the texts makes chunks and recipes; equal chunks meet by their digest, after
     # each task has dropped its own repeats, and the payload is shuffled once.
     rows = texts.mapInArrow(_encode(tokenizer, kind, end_id), _STORED_DDL)
@@ -149,7 +155,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte_le
     empty = not fs.exists(hadoop(f"{made}/kind=recipe"))
     if empty:
         spark.createDataFrame([], "key binary, n long, ids binary").write.parquet(f"{path}/chunks")
-        recipes = spark.createDataFrame([], "doc_id long, text_key binary, n long, chunks array<binary>, root binary")
+        recipes = spark.createDataFrame([], "doc_id long, text_key long, n long, chunks array<binary>, root binary")
     else:
         fs.rename(hadoop(f"{made}/kind=chunk"), hadoop(f"{path}/chunks"))
         recipes = spark.read.parquet(f"{made}/kind=recipe")
