@@ -9,7 +9,7 @@ has one fixed length in each language. The language with the shortest code wins;
 share of 2**-length over all languages, from 0 to 1.
 
 The trees are fitted on a bounded sample of labelled rows: `SAMPLE_ROWS` documents a language, drawn
-by a hash of the row, among those of at most `SAMPLE_BYTES` bytes. What reaches the driver is the
+by a hash of the row, among those of at most `SAMPLE_BYTES` bytes, for `MOST_LANGUAGES` labels at most. What reaches the driver is the
 sample's distinct 4-grams with counts, at most SAMPLE_ROWS * SAMPLE_BYTES a language. Only text and
 lang of rows that are not held out are learnt from; a prediction sees the text alone.
 
@@ -32,6 +32,10 @@ from .common import small_batches
 
 SAMPLE_ROWS = 256
 SAMPLE_BYTES = 65_536
+#: Labels that are learnt, the most frequent ones.
+MOST_LANGUAGES = 1000
+#: Lots of the draw.
+DRAWS = 1 << 40
 #: What stands before a text's first byte.
 PAD = b"\n\n\n"
 _U = np.uint32
@@ -137,9 +141,15 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES
     small_batches(docs.sparkSession)
     labelled = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     labelled = labelled.where(~held_out(F.col("doc_id"))).where("lang is not null and text <> ''").where(F.octet_length("text") <= most_bytes)
-    # The filter on row_number keeps only so many rows of each task before the shuffle.
+    labelled = labelled.withColumn("draw", F.pmod(F.xxhash64("doc_id", "text"), F.lit(DRAWS)))
+    # Lots below a bar give about four times the rows wanted, whatever the table's size; those of
+    # the smallest draws are taken.
+    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    if not sizes:
+        return Model({})
+    bars = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(DRAWS, 4 * rows * DRAWS // r["count"] + 1))])
     drawn = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    sample = labelled.withColumn("draw", F.xxhash64("doc_id", "text")).withColumn("rank", F.row_number().over(drawn)).where(F.col("rank") <= rows)
+    sample = labelled.where(F.col("draw") < bars[F.col("lang")]).withColumn("rank", F.row_number().over(drawn)).where(F.col("rank") <= rows)
     counted = sample.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return Model({x: (g["gram"].to_numpy().astype(_U), g["n"].to_numpy(dtype=np.float64)) for x, g in counted.groupby("lang")})
 

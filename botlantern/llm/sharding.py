@@ -93,7 +93,7 @@ def _medians(units: DataFrame, plan: dict[int, tuple[str, float]]) -> dict[int,
                 if at:
                     mine &= F.col("x") == at[b]
                 condition |= mine
-                chosen = F.when(F.col("box") == b, F.floor((F.col(value) - low[b]) / F.lit(step))).otherwise(chosen)
+                chosen = F.when(F.col("box") == b, F.expr(f"({value} - {low[b]}L) div {step}L")).otherwise(chosen)
             bins: dict[int, list] = {b: [] for b in low}
             for r in units.where(condition).groupBy("box", chosen.alias("bin")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).collect():
                 bins[r["box"]].append((r["bin"], r["bytes"], r["n"]))
