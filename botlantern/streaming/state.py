@@ -115,8 +115,9 @@ class MatchLines(StatefulProcessor):
         self.kept.update((json.dumps(matcher.state),))
         names = [p.split(" ")[0] for p in RECORD.split(", ")]
         numbers = {p.split(" ")[0] for p in RECORD.split(", ") if p.endswith("long")}
-        frame = pd.DataFrame(found, columns=names)
-        yield frame.astype({n: "Int64" for n in numbers})
+        # Plain objects: missing numbers stay missing and whole ones whole.
+        plain = lambda n, v: None if v is None or pd.isna(v) else int(v) if n in numbers else v
+        yield pd.DataFrame({n: pd.Series([plain(n, out.get(n)) for out in found], dtype=object) for n in names})
 
     def close(self) -> None:
         pass
