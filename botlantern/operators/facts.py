@@ -71,3 +71,10 @@ def offsets_with_legacy(current: DataFrame, legacy: DataFrame) -> DataFrame:
     """Offsets of files, from the older table only for names that the current one lacks."""
     old = legacy.select("fileName", "size", "lastOffset", F.lit(0).cast("long").alias("mtimeMs"))
     return current.select("fileName", "size", "lastOffset", "mtimeMs").unionByName(old.join(current.select("fileName"), "fileName", "left_anti"))
+
+
+def leading_run(files: DataFrame) -> DataFrame:
+    """One row with the cursor after a batch of files (key, done): the last file before the first that is not done."""
+    first_open = files.agg(F.min(F.when(~F.col("done"), F.col("key"))).alias("open"))
+    joined = files.join(F.broadcast(first_open), F.col("open").isNull() | (F.col("key") < F.col("open")))  # one row
+    return joined.agg(F.max("key")["name"].alias("cursor"))

@@ -17,7 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with date, hour and k, the number in props."""
-    e = table(spark, sf_dir, "events")
+    return with_place(table(spark, sf_dir, "events"))
+
+
+def with_place(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").try_cast("long")
     return e.withColumn("date", day_number(F.col("ts"))).withColumn("hour", F.hour("ts")).withColumn("k", k)
 
@@ -31,8 +34,12 @@ def command_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def message_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_messages(events(spark, sf_dir))
+
+
+def as_messages(e: DataFrame) -> DataFrame:
     kind = F.when(F.col("event_type").isin("click", "purchase"), "send").otherwise("receive")
-    return events(spark, sf_dir).select("ts", "date", "hour", kind.alias("type"), F.lit("bot").alias("selfId"), F.concat(F.lit("p"), F.col("user_id") % 3).alias("platform"), F.lit(1).cast("long").alias("count"))
+    return e.select("ts", "date", "hour", kind.alias("type"), F.lit("bot").alias("selfId"), F.concat(F.lit("p"), F.col("user_id") % 3).alias("platform"), F.lit(1).cast("long").alias("count"))
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions import log_file_key
-from ..operators import ai, dashboard, facts, images, rollup
+from ..functions import day_label, infer_provider_chat, infer_provider_model, infer_source, last_segment, log_file_key, strip_ansi, utf16_length
+from ..operators import ai, dashboard, facts, images, payload, rollup
+from ..sources.tables import Tables, shared_folder
+from ..streaming.ingest import flush_counts, flushed_counts
 from . import adapters as A
 from . import views
 from .parse import parse_logs
@@ -349,6 +351,56 @@ def _(spark, d):
     return images.style_rank(A.images(spark, d), AS_OF, DAYS)
 
 
+# --- the whole dashboard, streams and functions -------------------------------------------
+
+
+@query(
+    "api_dashboard_cards",
+    _WITH + _CMD + ", " + _USR + ", " + _AIR.removeprefix(_E + ", ") + ", " + _IMG.removeprefix(_E + ", ") + f""" SELECT (SELECT count(DISTINCT id) FROM usr) AS user_count, (SELECT count(DISTINCT id) FROM usr WHERE {_YESTERDAY}) AS user_increment,
+  (SELECT count(*) FROM chan WHERE id = guildId) AS guild_count, (SELECT count(*) FROM chan WHERE id = guildId AND {_YESTERDAY}) AS guild_increment,
+  (SELECT sum(dau)::DOUBLE / 90 FROM ({_DAU}) WHERE days_ago >= 1) AS recent_dau, sum(requestCount)::BIGINT AS total_requests, sum(totalTokens)::BIGINT AS total_tokens,
+  (sum(requestCount) - sum(failCount))::DOUBLE / sum(requestCount)::DOUBLE AS success_rate,
+  (SELECT count(*) FROM img WHERE {_open(90)}) AS total_generations, (SELECT sum(numImages)::BIGINT FROM img WHERE {_open(90)}) AS total_images FROM daily WHERE {_open(90)}""",
+)
+def _(spark, d):
+    return payload.cards(_inputs(spark, d), AS_OF, Config())
+
+
+def _inputs(spark, d) -> payload.Inputs:
+    return payload.Inputs(A.command_events(spark, d), A.message_events(spark, d), A.profiles(spark, d), A.users(spark, d), A.channels(spark, d), A.ai_requests(spark, d), _daily(spark, d), A.images(spark, d))
+
+
+@query("t_streamed_facts", _WITH + _MSG + " SELECT date, hour, type, selfId, platform, count(*) AS count FROM msg GROUP BY ALL")
+def _(spark, d):
+    """Hourly counts flushed from a stream of events and added up again."""
+    tables = Tables(spark, shared_folder(spark, "streamed"))
+    schema = A.table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parq*t")
+    flush_counts(A.as_messages(A.with_place(events)), tables, "message", lambda rows: facts.hourly_counts(rows, facts.MESSAGE_KEY), f"{tables.root}/checkpoint", once=True).awaitTermination()
+    return flushed_counts(tables, "message")
+
+
+@query(
+    "x_scalar_functions",
+    """WITH p AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'deepseek/m' || p_size WHEN 1 THEN 'x/gemini-' || p_size WHEN 2 THEN 'kimi' WHEN 3 THEN 'ollama/' WHEN 4 THEN 'openai/gpt-4' ELSE p_brand END AS model FROM part)
+SELECT id, CASE WHEN model LIKE '%/' THEN model ELSE split_part(model, '/', -1) END AS segment,
+  CASE WHEN contains(model, 'kimi') OR contains(model, 'gpt') THEN 'cpa' WHEN contains(model, 'deepseek') THEN 'deepseek' WHEN contains(model, 'gemini') THEN 'yunwu' END AS provider,
+  CASE WHEN contains(model, 'deepseek') THEN 'deepseek' WHEN contains(model, 'yunwu') OR contains(model, 'gemini') THEN 'yunwu' WHEN contains(model, 'ollama') THEN 'ollama' WHEN contains(model, 'openai') THEN 'openai' END AS adapter,
+  (length(model) + 3)::BIGINT AS units, 'a' || model AS clean,
+  CASE id % 4 WHEN 0 THEN 'yesimbot' WHEN 1 THEN 'image-generator' WHEN 2 THEN 'chat-luna' END AS source, strftime(DATE '1970-01-01' + (id % 20000)::INT, '%Y-%m-%d') AS label FROM p""",
+)
+def _(spark, d):
+    i = F.col("p_partkey")
+    model = F.when(i % 6 == 0, F.concat(F.lit("deepseek/m"), "p_size")).when(i % 6 == 1, F.concat(F.lit("x/gemini-"), "p_size")).when(i % 6 == 2, "kimi").when(i % 6 == 3, "ollama/").when(i % 6 == 4, "openai/gpt-4").otherwise(F.col("p_brand"))
+    name = F.when(i % 4 == 0, "[聊天模型] [x]").when(i % 4 == 1, "UsageReporter").when(i % 4 == 2, "x-chatluna:y").otherwise("other")
+    part = A.table(spark, d, "part").withColumn("model", model).withColumn("name", name)
+    m = F.col("model")
+    return part.select(
+        i.alias("id"), last_segment(m).alias("segment"), infer_provider_model(m).alias("provider"), infer_provider_chat(m).alias("adapter"), utf16_length(F.concat(m, F.lit("é🚀"))).alias("units"),
+        strip_ansi(F.concat(F.lit("\x1b[1;32ma"), m, F.lit("\x1b[0m"))).alias("clean"), infer_source(F.col("name")).alias("source"), day_label((i % 20000).cast("int")).alias("label"),
+    )
+
+
 # --- files --------------------------------------------------------------------------------
 
 _FILES = "f AS (SELECT DISTINCT CASE WHEN o_orderkey % 11 = 0 THEN 'x' || o_orderkey || '.log' ELSE strftime(o_orderdate, '%Y-%m-%d') || '-' || (o_orderkey % 13) || '.log' END AS name FROM orders), s AS (SELECT name, CASE WHEN name[1] = 'x' THEN 0 ELSE replace(name[1:10], '-', '')::INT END AS date_num, CASE WHEN name[1] = 'x' THEN 0 ELSE split_part(name[12:], '.', 1)::BIGINT END AS seq FROM f)"
@@ -372,6 +424,11 @@ def _(spark, d):
     return files.join(cursor, F.col("key") > F.col("cursor")).orderBy("key").limit(50).select("name")
 
 
+@query("a29_leading_run", _WITH + _FILES + ", o AS (SELECT min((date_num, seq, name)) AS k FROM s WHERE (date_num + seq) % 37 = 5) SELECT name AS cursor FROM s WHERE (date_num, seq, name) < (SELECT k FROM o) ORDER BY date_num DESC, seq DESC, name DESC LIMIT 1")
+def _(spark, d):
+    return facts.leading_run(_files(spark, d).withColumn("done", (F.col("key.date_num") + F.col("key.seq")) % 37 != 5))
+
+
 # --- logs ---------------------------------------------------------------------------------
 
 
