@@ -3,11 +3,12 @@
 A page is read into a tree (unclosed and misnested tags are mended as browsers do) with its text in
 blocks. Subtrees that are no article are set aside: scripts, styles, menus, headers, footers, asides
 and forms by tag or role; adverts, notices, sidebars, comments and the like by the words of class
-and id, unless they hold most of the page. Each paragraph then gives its parent points for its
-length and commas, half of them to the grandparent and a third to the next; a container's points are
-discounted by the share of its text that is in links. The best container is taken, up to the article
-or main element around it, with those siblings that score like it or are prose. All that is left in
-them is kept, but for lists that are mostly links.
+and id; what is less sure (forms, widgets, headers) stays if it holds most of the page, and a header
+if an article holds it. Each paragraph then gives its parent points for its length and commas, half of
+them to the grandparent and a third to the next; a container's points are discounted by the share of
+its text that is in links. The best container is taken, up to the article or main element around it,
+with those siblings that score like it or are prose. All that is left in them is kept; outside an
+article element, lists that are mostly links are not.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed,
 and those not empty are joined in page order by a blank line. Pages are read whole, each by itself.
@@ -36,16 +37,17 @@ RAW = frozenset("script style textarea title template noscript iframe svg math o
 #: Elements and roles that hold no article text.
 ASIDE_TAGS = frozenset("nav footer aside form button dialog menu fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-#: Words of class and id that tell of other things than an article, and those that tell of one.
+#: Words of class and id that tell of other things than an article, and beginnings of such words.
 ASIDE_WORDS = frozenset(
-    "ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promotion outbrain taboola "
-    "nav navbar navigation menu breadcrumb breadcrumbs pager pagination masthead topbar toolbar "
-    "sidebar side aside widget widgets rail footer foot header copyright legal "
-    "comment comments reply replies respond disqus discussion "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register "
-    "share sharing social related recommended recommendations trending popular tags tagcloud".split()
+    "ad ads adv adsense outbrain taboola nav navigation pager pagination masthead topbar toolbar side aside rail foot reply replies respond disqus discussion "
+    "consent gdpr notice notices alert modal overlay subscribe subscription share sharing social related recommended recommendations trending".split()
 )
+ASIDE_STEMS = ("advert", "sponsor", "promo", "banner", "navbar", "menu", "breadcrumb", "sidebar", "footer", "comment", "cookie", "popup", "newsletter", "signup")
+#: Words that tell of the same less surely: what bears them stays if it holds most of the page.
+PERHAPS_WORDS = frozenset("widget widgets header head copyright legal login register popular tags tagcloud".split())
 ARTICLE_WORDS = frozenset("article articlebody main content body entry story post text page".split())
+#: A name of an article's container may hold words of other things, but not these.
+NEVER_STEMS = ("ad", "ads", "advert", "comment", "sidebar", "footer", "nav", "menu", "related", "cookie", "sponsor", "newsletter")
 PARAGRAPH = 25
 
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW}
@@ -66,7 +68,7 @@ class Page:
     """The tree of a page as parallel lists in page order, and its text blocks."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.last, self.aside = ["body"], [-1], [0], [False]
+        self.tags, self.parents, self.last, self.aside = ["body"], [-1], [0], [NOT]
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
         self._stack, self._text, self._links, self._in_link = [0], [], 0, 0
         self._read(source)
@@ -165,20 +167,29 @@ class Page:
             node = self.parents[node]
 
 
-def _aside(tag: str, attrs: str) -> bool:
-    if tag in ASIDE_TAGS:
-        return True
-    if not attrs:
-        return tag == "header"
+#: How surely a subtree is no article.
+NOT, PERHAPS, SURELY = 0, 1, 2
+
+
+def _aside(tag: str, attrs: str) -> int:
+    if tag in ("form", "fieldset", "header", "button", "menu"):
+        kind = PERHAPS
+    else:
+        kind = SURELY if tag in ASIDE_TAGS else NOT
+    if not attrs or kind == SURELY:
+        return kind
     found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(attrs)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-        return True
-    if found.get("role", "").lower() in ASIDE_ROLES or tag == "header":
-        return True
+        return SURELY
+    if found.get("role", "").lower() in ASIDE_ROLES:
+        return SURELY
     words = {w.lower() for w in _WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-    if tag in ("article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre") and not words & {"comment", "comments", "ad", "ads", "advert", "sponsored", "reply"}:
-        return False
-    return bool(words & ASIDE_WORDS) and not (words & ARTICLE_WORDS and not words & {"ad", "ads", "advert", "comment", "comments", "sidebar", "footer", "nav", "menu", "related"})
+    never = any(w in NEVER_STEMS or w.startswith(tuple(x for x in NEVER_STEMS if len(x) > 4)) for w in words)
+    if not never and (words & ARTICLE_WORDS or tag in ("article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre")):
+        return kind
+    if words & ASIDE_WORDS or never or any(w.startswith(ASIDE_STEMS) for w in words):
+        return SURELY
+    return max(kind, PERHAPS if words & PERHAPS_WORDS else NOT)
 
 
 def main_text(source: str | None) -> str:
@@ -192,12 +203,15 @@ def main_text(source: str | None) -> str:
             sizes[up] += len(text)
             links[up] += linked
     whole = sizes[0]
-    # Set aside what is no article, unless most of the page is in it.
-    dropped = [False] * len(page.tags)
+    # Set aside what is no article; of what is so perhaps, not what holds most of the page.
+    dropped, within = [False] * len(page.tags), [False] * len(page.tags)
     for node in range(1, len(page.tags)):
-        heavy = sizes[node] > 0.6 * whole and page.tags[node] not in ("nav", "footer")
-        links_only = page.tags[node] in ("ul", "ol", "dl", "table", "div", "section") and sizes[node] and links[node] > 0.7 * sizes[node] and 2 * sizes[node] < whole
-        dropped[node] = dropped[page.parents[node]] or (page.aside[node] and not heavy) or links_only
+        up, tag = page.parents[node], page.tags[node]
+        within[node] = within[up] or tag in ("article", "main")
+        # An article's own header has its title.
+        heavy = page.aside[node] == PERHAPS and (sizes[node] > 0.6 * whole or (tag == "header" and within[up]))
+        links_only = not within[node] and tag in ("ul", "ol", "dl", "table", "div", "section") and sizes[node] and links[node] > 0.7 * sizes[node] and 2 * sizes[node] < whole
+        dropped[node] = dropped[up] or (page.aside[node] > NOT and not heavy) or links_only
     blocks = [(n, t, k) for n, t, k in page.blocks if not dropped[n]]
 
     sizes, links, points = [0] * len(page.tags), [0] * len(page.tags), [0.0] * len(page.tags)
