@@ -8,9 +8,11 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: Rows that Arrow hands to Python at once; long texts make larger batches needless memory.
 BATCH_ROWS = 512
@@ -37,8 +39,20 @@ def shared_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Folders that this process has named in the shared one.
+_NAMED: list[str] = []
+
+
 def shared_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _NAMED.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove the tables that this process has written to the shared folder; results read from them end."""
+    while _NAMED:
+        remove_folder(spark, _NAMED.pop())
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -84,12 +98,24 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[place >> 6] >> (place & 63)) & 1 == 1
 
 
+def passing(hashes: Column, bits) -> Column:
+    """Whether the filter, a broadcast one, passes a column of hashes."""
+
+    @F.pandas_udf(BooleanType())
+    def test(h: pd.Series) -> pd.Series:
+        return pd.Series(passes(bits.value, h.to_numpy(dtype=np.int64).view(np.uint64)))
+
+    return test(hashes)
+
+
 # --- words as bytes -----------------------------------------------------------------------
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _BASE_INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POW: dict[str, np.ndarray] = {}
+#: Bytes of text that are looked at together; a longer text is a piece of its own.
+PIECE = 1 << 20
 
 #: Only A-Z change; the bytes of other letters stay.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -107,10 +133,11 @@ NOT_SPACE[0x20] = NOT_SPACE[0x09:0x0E] = False
 def _powers(base: np.uint64, n: int, key: str) -> np.ndarray:
     have = _POW.get(key)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        have = np.full(max(n, PIECE + 1), base, dtype=np.uint64)
         have[0] = 1
         np.cumprod(have, out=have)
-        _POW[key] = have
+        if len(have) <= 2 * PIECE:  # those of rare long texts are not kept
+            _POW[key] = have
     return have[:n]
 
 
@@ -184,7 +211,7 @@ def byte_slices(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.large_binary()).to_pylist()]
 
 
-def pieces(texts: list[bytes], most: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def pieces(texts: list[bytes], most: int = PIECE) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of up to `most` bytes (or one longer text), each with its first index."""
     lo, size = 0, 0
     for i, t in enumerate(texts):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from botlantern.llm.common import read_table, shared_folder, small_batches, stored
+from botlantern.llm.common import bit_filter, passing, read_table, shared_folder, small_batches, stored
 from botlantern.llm.decontam import contamination
 from botlantern.llm.language import fit, predicted
 from botlantern.llm.minhash import near_duplicates
@@ -19,10 +19,17 @@ from botlantern.llm.packing import packed_digest
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of docs whose (doc_id, text) is not among `dropped` (doc_id, text_hash)."""
+    """The rows of docs whose (doc_id, text) is not among `dropped` (doc_id, text_hash).
+
+    A bit filter of fixed size tells most rows that stay; only the others meet the list in a join,
+    so whole texts are seldom shuffled.
+    """
     d = stored(dropped.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct(), "dropped")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(d.select(F.xxhash64("_id", "_text").alias("hash"))))
+    doc_id, text = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    suspect = passing(F.xxhash64(doc_id, text), bits)
     same = docs["doc_id"].cast("long").eqNullSafe(d["_id"]) & (F.xxhash64(docs["text"].cast("string")) == d["_text"])
-    return docs.join(d, same, "left_anti")
+    return docs.where(~suspect).unionAll(docs.where(suspect).join(d, same, "left_anti"))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,3 +24,16 @@ def test_equal_words_have_equal_hashes_wherever_they_stand():
     a, b = shingle_hashes(h[:2], 2), shingle_hashes(np.array([h[4], h[5]]), 2)
     assert a[0] != b[0]
     assert len(shingle_hashes(h[:0], 3)) == 0 and len(shingle_hashes(h[:2], 3)) == 1
+
+
+def test_tables_in_the_shared_folder_can_be_removed(spark):
+    from pathlib import Path
+
+    from botlantern.llm.common import clean, cut, shared_root, stored
+
+    kept = stored(spark.range(3), "kept")
+    assert kept.count() == 3 and cut(spark.range(4)).count() == 4
+    root = Path(shared_root(spark).removeprefix("file:"))
+    assert list(root.glob("kept-*"))
+    clean(spark)
+    assert not list(root.glob("kept-*"))
