@@ -417,10 +417,10 @@ def _(spark, d):
     return _files(spark, d).orderBy(F.desc("key")).limit(64).select("name", "key.date_num", "key.seq")
 
 
-@query("s8_cursor_files", _WITH + _FILES + ", c AS (SELECT date_num, seq, name FROM s ORDER BY date_num, seq, name LIMIT 1 OFFSET 300) SELECT name FROM s WHERE (date_num, seq, name) > (SELECT (date_num, seq, name) FROM c) ORDER BY date_num, seq, name LIMIT 50")
+@query("s8_cursor_files", _WITH + _FILES + " SELECT name FROM s WHERE (date_num, seq, name) > (SELECT max((date_num, seq, name)) FROM s WHERE date_num < 19950601) ORDER BY date_num, seq, name LIMIT 50")
 def _(spark, d):
     files = _files(spark, d)
-    cursor = F.broadcast(files.orderBy("key").offset(300).limit(1).select(F.col("key").alias("cursor")))  # one row
+    cursor = F.broadcast(files.where("key.date_num < 19950601").agg(F.max("key").alias("cursor")))  # one row
     return files.join(cursor, F.col("key") > F.col("cursor")).orderBy("key").limit(50).select("name")
 
 
