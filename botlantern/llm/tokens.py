@@ -30,8 +30,8 @@ _LATIN = {
     "byte_level": re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"),
     "word_level": re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+"),
 }
-#: Units kept by a worker; beyond it a store starts anew. It bounds memory, not results.
-KEPT_UNITS = 1_000_000
+#: Units that a worker keeps in a generation; there are two. It bounds memory, not results.
+KEPT_UNITS = 300_000
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
@@ -46,6 +46,26 @@ def _pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class Kept:
+    """The ids of units in two generations: a full young one becomes the old one, from which used units return."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.encode = encode
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def add(self, units: list[str]) -> dict[str, bytes]:
+        """The young generation with all the units in it."""
+        if len(self.young) > KEPT_UNITS:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        for unit in units:
+            if unit not in young:
+                ids = old.get(unit)
+                young[unit] = self.encode(unit) if ids is None else ids
+        return young
+
+
 class Encoder:
     """encode(texts) gives each text's ids, add_special_tokens=False, as little-endian uint32."""
 
@@ -58,8 +78,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.units, self.latin, self.lower = _UNITS[kind], _LATIN[kind], kind == "word_level"
         self.letters = _byte_letters()
-        self.kept: dict[str, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
+        self.kept, self.pretokens = Kept(self._whole_unit), Kept(self._pretoken)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -72,24 +91,21 @@ class Encoder:
         try:
             text.isascii() or text.encode("latin-1")
         except UnicodeEncodeError:
-            return self._joined(text, self.units.findall(text), self.kept, self._whole_unit)
+            return self._joined(text, self.units.findall(text), self.kept)
         if self.lower:
             text = text.lower()
-        return self._joined(text, self.latin.findall(text), self.pretokens, self._pretoken)
+        return self._joined(text, self.latin.findall(text), self.pretokens)
 
-    def _joined(self, text: str, units: list[str], kept: dict[str, bytes], encode: Callable[[str], bytes]) -> bytes:
+    def _joined(self, text: str, units: list[str], kept: Kept) -> bytes:
+        young = kept.young
         try:
-            return b"".join([kept[u] for u in units])
+            return b"".join([young[u] for u in units])
         except KeyError:
             pass
         if _ODD.search(text):
             return self.whole([text])[0]
-        if len(kept) > KEPT_UNITS:
-            kept.clear()
-        for unit in units:
-            if unit not in kept:
-                kept[unit] = encode(unit)
-        return b"".join([kept[u] for u in units])
+        young = kept.add(units)
+        return b"".join([young[u] for u in units])
 
     def _whole_unit(self, unit: str) -> bytes:
         return self.whole([unit])[0]
