@@ -16,6 +16,7 @@ def test_payload_is_one_row_with_all_figures(spark):
     assert row["total_requests"] > 0
     one = payload._folded(dashboard.message_by_hour(small.messages, catalog.AS_OF, 7), "hours").first()
     assert [h.hour for h in one.hours] == list(range(24))
+    spark.catalog.clearCache()
 
 
 def test_empty_tables_give_zeros(spark):
