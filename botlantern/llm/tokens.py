@@ -27,11 +27,12 @@ _UNITS = {
 # library's model encodes directly; those texts need no normalising but lower case.
 _L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 _LATIN = {
-    "byte_level": re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"),
-    "word_level": re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+"),
+    "byte_level": re.compile(rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"),
+    "word_level": re.compile(rf"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[^{_S}{_L}{_N}]+"),
 }
-#: Units that a worker keeps in a generation; there are two. It bounds memory, not results.
-KEPT_UNITS = 300_000
+#: Units that a worker keeps in a generation; there are two. It bounds memory, not results. Byte-level
+#: units have their space and case, so there are more of them.
+KEPT_UNITS = {"byte_level": 700_000, "word_level": 300_000}
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
@@ -49,14 +50,14 @@ def _pack(ids: list[int]) -> bytes:
 class Kept:
     """The ids of units in two generations: a full young one becomes the old one, from which used units return."""
 
-    def __init__(self, encode: Callable[[str], bytes]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[str], bytes], most: int):
+        self.encode, self.most = encode, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def add(self, units: list[str]) -> dict[str, bytes]:
         """The young generation with all the units in it."""
-        if len(self.young) > KEPT_UNITS:
+        if len(self.young) > self.most:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         for unit in units:
@@ -78,7 +79,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.units, self.latin, self.lower = _UNITS[kind], _LATIN[kind], kind == "word_level"
         self.letters = _byte_letters()
-        self.kept, self.pretokens = Kept(self._whole_unit), Kept(self._pretoken)
+        self.kept, self.pretokens = Kept(self._whole_unit, KEPT_UNITS[kind] // 4), Kept(self._pretoken, KEPT_UNITS[kind])
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -111,7 +112,7 @@ class Encoder:
         return self.whole([unit])[0]
 
     def _pretoken(self, pretoken: str) -> bytes:
-        spelt = pretoken.encode().decode("latin-1").translate(self.letters)
+        spelt = (pretoken if pretoken.isascii() else pretoken.encode().decode("latin-1")).translate(self.letters)
         return _pack([t.id for t in self.model.tokenize(spelt)])
 
 
