@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import os
 import re
-import struct
+import sys
+from array import array
 from collections.abc import Callable
 
 #: White space on which Unicode and the regex dialects involved agree.
@@ -44,7 +45,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 def _pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
 
 
 class Kept:
@@ -55,16 +59,21 @@ class Kept:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def add(self, units: list[str]) -> dict[str, bytes]:
-        """The young generation with all the units in it."""
+    def ids(self, units: list[str]) -> list[bytes | None]:
+        """The ids of each unit, None for those not in the young generation."""
+        return list(map(self.young.get, units))
+
+    def fill(self, units: list[str], found: list[bytes | None]) -> None:
+        """Put the missing ids into `found` and the young generation."""
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        for unit in units:
-            if unit not in young:
-                ids = old.get(unit)
-                young[unit] = self.encode(unit) if ids is None else ids
-        return young
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            unit = units[i]
+            ids = young.get(unit) or old.get(unit)
+            if ids is None:
+                ids = self.encode(unit)
+            young[unit] = found[i] = ids
 
 
 class Encoder:
@@ -98,15 +107,15 @@ class Encoder:
         return self._joined(text, self.latin.findall(text), self.pretokens)
 
     def _joined(self, text: str, units: list[str], kept: Kept) -> bytes:
-        young = kept.young
+        found = kept.ids(units)
         try:
-            return b"".join([young[u] for u in units])
-        except KeyError:
+            return b"".join(found)
+        except TypeError:  # some are missing
             pass
         if _ODD.search(text):
             return self.whole([text])[0]
-        young = kept.add(units)
-        return b"".join([young[u] for u in units])
+        kept.fill(units, found)
+        return b"".join(found)
 
     def _whole_unit(self, unit: str) -> bytes:
         return self.whole([unit])[0]
