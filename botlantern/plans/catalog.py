@@ -316,11 +316,11 @@ def _(spark, d):
     return ai.token_trend(_daily(spark, d), AS_OF, DAYS)
 
 
-@query(
-    "a21_ai_user_rank",
-    _WITH + _AIR + f""", r AS (SELECT * FROM air WHERE {_open(DAYS)} ORDER BY timestamp DESC, id LIMIT 5000)
-SELECT userId AS user_id, NULL::VARCHAR AS user_name, sum(coalesce(totalTokens, 0))::BIGINT AS total_tokens, count(*) AS request_count FROM r WHERE userId <> '' GROUP BY userId ORDER BY total_tokens DESC, user_id LIMIT 10""",
-)
+_NEWEST = f"SELECT * FROM air WHERE {_open(DAYS)} ORDER BY timestamp DESC, id LIMIT 5000"
+_AI_RANK = "SELECT userId AS user_id, NULL::VARCHAR AS user_name, sum(coalesce(totalTokens, 0))::BIGINT AS total_tokens, count(*) AS request_count FROM r WHERE userId <> '' GROUP BY userId ORDER BY total_tokens DESC, user_id LIMIT 10"
+
+
+@query("a21_ai_user_rank", _WITH + _AIR + f", r AS ({_NEWEST}) {_AI_RANK}")
 def _(spark, d):
     return ai.ai_user_rank(A.ai_requests(spark, d), AS_OF, DAYS)
 
@@ -335,6 +335,18 @@ def _(spark, d):
     return ai.recent_daily(_daily(spark, d), AS_OF, 7)
 
 
+@query("s13_recent_images", _WITH + _IMG + f" SELECT id, date, hour, numImages FROM img WHERE {_open(7)} ORDER BY timestamp DESC, id LIMIT 200")
+def _(spark, d):
+    return images.recent_images(A.images(spark, d), AS_OF, 7, 200).select("id", "date", "hour", F.col("numImages").cast("long").alias("numImages"))
+
+
+@query("u1_dirty_dates", _WITH + _AIR + " SELECT DISTINCT date FROM air WHERE NOT success OR hour = 3")
+def _(spark, d):
+    """Dates touched by two batches, each once."""
+    requests = A.ai_requests(spark, d)
+    return rollup.dirty_dates(requests.where("not success"), requests.where("hour = 3")).select("date")
+
+
 @query(
     "a22_image_overview",
     _WITH + _IMG + f" SELECT count(*) AS total_generations, coalesce(sum(numImages), 0)::BIGINT AS total_images, count(*) FILTER (success) AS success_count, coalesce(sum(freeUsed), 0)::BIGINT AS free_used, coalesce(sum(purchasedUsed), 0)::BIGINT AS purchased_used FROM img WHERE {_open(DAYS)}",
@@ -512,6 +524,41 @@ def _(spark, d):
     return views.history_line(dashboard.message_by_date(A.message_events(spark, d), AS_OF, 90), AS_OF, "send", 30)
 
 
+@query("v1_user_bars", _WITH + _CMD + ", " + _USR + f" SELECT coalesce(user_name, '用户 ' || user_id) AS label, count AS value FROM ({_RANK})")
+def _(spark, d):
+    return views.user_bars(dashboard.user_usage_rank(A.command_events(spark, d), A.profiles(spark, d), A.users(spark, d), AS_OF, DAYS))
+
+
+@query("v4_hour_bars", _WITH + _MSG + f""" SELECT h.hour + 0.5::DOUBLE AS x, round(coalesce(n, 0)::DOUBLE / {DAYS}, 2) AS value FROM (SELECT unnest(range(0, 24)) AS hour) h
+LEFT JOIN (SELECT hour, sum(count) AS n FROM msg WHERE type = 'receive' AND {_past(DAYS)} GROUP BY hour) y USING (hour)""")
+def _(spark, d):
+    return views.hour_bars(dashboard.message_by_hour(A.message_events(spark, d), AS_OF, DAYS), "receive")
+
+
+@query("v6_model_pie", _WITH + _AIR + f" SELECT CASE WHEN provider = '' THEN model_id ELSE provider || '/' || model_id END AS name, token_count AS value FROM ({_SHARE})")
+def _(spark, d):
+    return views.model_pie(ai.model_share(_daily(spark, d), AS_OF, DAYS))
+
+
+@query("v7_token_lines", _WITH + _AIR + f", t AS ({_TREND}) SELECT date, 'prompt' AS series, prompt_tokens AS value FROM t UNION ALL SELECT date, 'completion', completion_tokens FROM t")
+def _(spark, d):
+    return views.token_lines(ai.token_trend(_daily(spark, d), AS_OF, DAYS))
+
+
+@query("v8_ai_user_bars", _WITH + _AIR + f", r AS ({_NEWEST}) SELECT user_id, total_tokens AS value FROM ({_AI_RANK})")
+def _(spark, d):
+    return views.bars(ai.ai_user_rank(A.ai_requests(spark, d), AS_OF, DAYS), "user_id", "total_tokens")
+
+
+@query(
+    "v10_number_cards",
+    _WITH + _AIR + f""" SELECT sum(requestCount)::BIGINT AS total_requests, sum(totalTokens)::BIGINT AS total_tokens, round((sum(requestCount) - sum(failCount))::DOUBLE / sum(requestCount)::DOUBLE * 100, 1) AS success_percent,
+  round(sum(totalLatencyMs)::DOUBLE / sum(requestCount)::DOUBLE / 1000, 2) AS avg_latency_s FROM daily WHERE {_open(DAYS)}""",
+)
+def _(spark, d):
+    return views.number_cards(ai.ai_overview(_daily(spark, d), AS_OF, DAYS))
+
+
 @query("v5_failure_bars", _WITH + _AIR + f" SELECT model_id, round(fail_rate * 100, 2) AS percent FROM ({_FAIL})")
 def _(spark, d):
     return views.failure_percent(ai.failure_rate(_daily(spark, d), AS_OF, DAYS))
