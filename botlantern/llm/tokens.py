@@ -15,9 +15,9 @@ from array import array
 from collections.abc import Callable
 
 #: White space on which Unicode and the regex dialects involved agree.
-_SPACE = r"\t-\r   -     　"
+_SPACE = r"\t-\r \xa0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What they may class differently: separators of old, next line, the Ogham and Mongolian spaces, joiners.
-_ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\u0085 ᠎​⁠﻿]")
+_ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\u0085\u1680\u180e\u200b\u2060\ufeff]")
 _UNITS = {
     # A space before a word belongs to it; of a longer run of white space the last one may.
     "byte_level": re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"),
