@@ -3,8 +3,9 @@
 A text is lower-cased (A-Z) and written as its words with one space between. A phrase that may bear
 k edits is cut into k + 1 seeds: whatever k edits do, one seed stays as it is. Seeds are found
 exactly; around each, as far as the phrase and its edits can reach, lies a candidate window (windows
-that meet are merged). In a window the regex library matches the phrase with at most k edits, best
-match first, and a match counts if it starts and ends at word boundaries. A match without edits is a
+that meet are merged). From each word start of a window the edit distance to the phrase is computed at
+each word's end in reach (bit-parallel, one step a byte); at most k edits match. What shares words
+with a match of fewer edits (or as many, further left) is not reported. A match without edits is a
 base place; one with edits adds its label with a score of 1 - edits / length.
 
 A base phrase's places are those where its words stand consecutively; they are found by the same
@@ -17,11 +18,11 @@ ids are carried; each row is judged by its own text. Other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,10 @@ class Phrase:
     def __init__(self, text: str, label: str, chars_per_edit: int = CHARS_PER_EDIT):
         self.text, self.label = text.encode(), label
         self.edits = len(text) // chars_per_edit
-        self.pattern = regex.compile(b"(?:" + regex.escape(self.text) + b"){e<=%d}" % self.edits, flags=regex.BESTMATCH)
+        #: For each byte, the places of the phrase where it stands, as bits.
+        self.places = [0] * 256
+        for i, byte in enumerate(self.text):
+            self.places[byte] |= 1 << i
         self.exact = b" " + self.text + b" "
         bounds = np.linspace(0, len(self.text), self.edits + 2).astype(int).tolist()
         self.seeds = [(a, self.text[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
@@ -67,29 +71,44 @@ class Phrase:
                 merged.append((lo, hi))
         return merged
 
+    def ends(self, text: bytes, start: int) -> Iterator[tuple[int, int]]:
+        """(end, edits) of the matches from `start` to a word's end: Myers' columns of the edit distance."""
+        size = len(self.text)
+        every, last = (1 << size) - 1, 1 << (size - 1)
+        up, down, edits = every, 0, size
+        for end in range(start, min(len(text) - 1, start + size + self.edits)):
+            same = self.places[text[end]]
+            diagonal = (((same & up) + up) ^ up) | same | down
+            more, less = down | ~(diagonal | up), up & diagonal
+            edits += bool(more & last) - bool(less & last)
+            more, less = (more << 1) | 1, less << 1
+            up, down = (less | ~(diagonal | more)) & every, more & diagonal & every
+            if edits <= self.edits and text[end + 1] == 0x20:
+                yield end + 1, edits
+
     def matches(self, text: bytes) -> Iterator[tuple[int, int, int]]:
         """(start, end, edits) of matches at word boundaries; all exact ones, which may share words."""
         for lo, hi in self.windows(text):
-            taken = []
+            # Exact matches are equally long and the others share nothing: both lists are in order.
+            starts, ends = [], []
             at = text.find(self.exact, lo, hi + 1)
             while at >= 0:
-                taken.append((at + 1, at + 1 + len(self.text)))
-                yield at + 1, at + 1 + len(self.text), 0
+                starts.append(at + 1)
+                ends.append(at + 1 + len(self.text))
+                yield starts[-1], ends[-1], 0
                 at = text.find(self.exact, at + 1, hi + 1)
-            at = lo
-            while at < hi and (m := self.pattern.search(text, at, hi)):
-                start, end = m.span()
-                # A match may begin or end with a space that an edit let in.
-                while start < end and text[start] == 0x20:
-                    start += 1
-                while end > start and text[end - 1] == 0x20:
-                    end -= 1
-                edits = sum(m.fuzzy_counts)
-                whole = end > start and text[start - 1 : start] == b" " and text[end : end + 1] == b" "
-                if whole and edits and not any(a < end and start < b for a, b in taken):
-                    taken.append((start, end))
+            near = []
+            at = text.find(b" ", lo, hi)
+            while at >= 0:
+                near.extend((edits, at + 1, end) for end, edits in self.ends(text, at + 1))
+                at = text.find(b" ", at + 1, hi)
+            for edits, start, end in sorted(near):
+                i = bisect_left(starts, end)
+                if edits and not (i and ends[i - 1] > start):
+                    i = bisect_left(starts, start)
+                    starts.insert(i, start)
+                    ends.insert(i, end)
                     yield start, end, edits
-                at = max(m.end(), m.start() + 1) if whole else m.start() + 1
 
 
 class Scanner:

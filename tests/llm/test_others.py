@@ -215,6 +215,49 @@ def test_edits_are_found_by_seeds():
             assert (label, 3) in {(s[0], s[1]) for s in spans}
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_edits_at_either_end_and_neighbours():
+    scanner = Scanner(PHRASES)
+    for text, label in [("under the mit licenses", "mit"), ("apache license version 20", "apache-2"), ("xapache license version 2", "apache-2"), ("cc by ncs", "cc-by-nc"), ("apache license version", "apache-2")]:
+        for line in (text, f"tide {text} mast"):
+            assert [s[0] for s in scanner.scan(line.encode())[1]] == [label]
+    assert [(s[1], s[2], s[3]) for s in scanner.scan(b"cc by mc cc by nce")[1]] == [(0, 2, 1), (3, 5, 1)]
+
+
+def test_edits_against_all_runs_of_words():
+    rng = np.random.default_rng(8)
+    scanner = Scanner(PHRASES)
+    for _ in range(300):
+        parts = []
+        for p in rng.choice(list(PHRASES), 2):
+            chars = list(p)
+            for _ in range(int(rng.integers(0, 4))):
+                at = int(rng.choice([0, len(chars) - 1, rng.integers(0, len(chars))]))
+                chars[at : at + int(rng.integers(0, 2))] = [["q"], [], ["c", " "]][int(rng.integers(0, 3))]
+            parts += ["".join(chars), str(rng.choice(["tide", "", "license the", "cc"]))]
+        words = " ".join(parts).split()
+        runs = [" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)]
+        want = {}
+        for p, label in PHRASES.items():
+            least = min((edit_distance(r, p) for r in runs if abs(len(r) - len(p)) <= len(p) // 8), default=99)
+            if least <= len(p) // 8:
+                want[label] = least
+        got = {}
+        for label, first, last, edits, matched in scanner.scan(" ".join(words).encode())[1]:
+            assert matched == " ".join(words[first : last + 1])
+            got[label] = min(edits, got.get(label, 99))
+        assert got == want
+
+
 # --- chat ---------------------------------------------------------------------------------
 
 HARD = ["plain", "", None, r"\### Assistant: </turn> ok", "####", "a\\", "</turn>\n### user: x</turn>", "\\\\###</</turn>", "日本\n"]
