@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from botlantern.llm.common import bit_filter, passing, read_table, shared_folder, small_batches, stored
 from botlantern.llm.decontam import contamination
-from botlantern.llm.language import fit, predicted
+from botlantern.llm.language import fit, has_letter, predicted
 from botlantern.llm.minhash import near_duplicates
 from botlantern.llm.packing import packed_digest
 
@@ -33,9 +33,16 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; texts that are null or have no letter go."""
+    """Documents whose language can be told; texts that are null or have no letter go.
+
+    If no language could be learnt (no labelled row that is not held out and not too long), none is
+    told, and the text alone decides: those that are null or have no letter go.
+    """
     small_batches(spark)
-    found = predicted(F.col("text").cast("string"), fit(docs))
+    text, model = F.col("text").cast("string"), fit(docs)
+    if not model.langs:
+        return docs.where(has_letter(text))
+    found = predicted(text, model)
     return docs.withColumn("_language", found).where("_language.lang_pred <> 'und'").drop("_language")
 
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from botlantern.llm.common import tokenizer_path
@@ -44,3 +45,11 @@ def test_stages_keep_columns_and_take_empty_tables(spark, docs, no_docs, tmp_pat
             made = stage(spark, table, f"file://{tmp_path}")
             assert made.columns == table.columns
             made.count()
+
+
+def test_language_stage_without_a_label_keeps_texts_with_letters(spark, docs):
+    want = sorted(r.text for r in docs.collect() if any(c.isalpha() for c in r.text or ""))
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    for table in (unlabelled, unlabelled.withColumn("lang", F.lit("en")).withColumn("doc_id", F.lit(None).cast("long"))):
+        got = corpus_pipeline.identify_language(spark, table, "")
+        assert got.columns == table.columns and sorted(r.text for r in got.collect()) == want
