@@ -170,11 +170,8 @@ def _compare_blocks(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Each document with its component: doc_id, text_hash, n_shingles, component_id, kept.
-
-    `k` words make a shingle; pairs whose Jaccard similarity is `percent` hundredths or more link.
-    """
+def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' stored features, and set_key, root and smallest (id) of each class of equal sets."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
     made = texts.mapInArrow(_features(k), "doc_id long, text_hash long, n_shingles long, set_key binary, hash long, bands array<long>")
@@ -228,14 +225,41 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = spokes.where("linked").select(F.col("leader").alias("a"), F.col("c").alias("b")).unionByName(more)
     roots = connected_components(links)
     rooted = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    return features, rooted.select("set_key", "root", "smallest")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Each document with its component: doc_id, text_hash, n_shingles, component_id, kept.
+
+    `k` words make a shingle; pairs whose Jaccard similarity is `percent` hundredths or more link.
+    """
+    features, rooted = _grouped(docs, k, percent)
     named = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
     by_set = rooted.join(named, "root").select("set_key", "component_id")
 
-    found = filled.select("doc_id", "text_hash", "n_shingles", "set_key").join(by_set, "set_key").drop("set_key")
+    found = features.where("n_shingles > 0").select("doc_id", "text_hash", "n_shingles", "set_key").join(by_set, "set_key").drop("set_key")
     alone = features.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def surplus(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """What is to go so that one row of each component stays: doc_id, text_hash, first, rows.
+
+    The first of a component has its smallest id (null only if all are) and of that id's texts the
+    least text_hash. All rows of a pair (doc_id, text_hash) that is not `first` go; of one that is,
+    all but one. Pairs that are `first` and borne by one row are left out, as are empty sets.
+    """
+    features, rooted = _grouped(docs, k, percent)
+    filled = features.where("n_shingles > 0").select("doc_id", "text_hash", "set_key")
+    pair = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    pairs = filled.groupBy("set_key", "doc_id", "text_hash").agg(F.count("*").alias("rows")).join(rooted.select("set_key", "root"), "set_key").select("root", "doc_id", "text_hash", "rows")
+    pairs = stored(pairs, "members")
+    firsts = pairs.groupBy("root").agg(F.min(pair).alias("least"))
+    same = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    judged = pairs.join(firsts, "root").withColumn("first", same)
+    return judged.where("not first or rows > 1").select("doc_id", "text_hash", "first", "rows")
+
+
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:
     """The contract's shingles have four words."""
     return near_duplicates(docs, k=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")

@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
 back as the next one's docs. All but the last return the columns of `documents`. Rows are told apart
-by id and text together, so null and repeated ids do no harm. Lists of rows to drop are joined as
+by id and text together; of rows that are equal in both, near-dedup leaves one. Lists of rows to drop are joined as
 Spark sees fit: broadcast where their size allows it, sorted and merged beyond it.
 """
 
@@ -14,22 +14,31 @@ from pyspark.sql import functions as F
 from botlantern.llm.common import bit_filter, passing, read_table, shared_folder, small_batches, stored
 from botlantern.llm.decontam import contamination
 from botlantern.llm.language import fit, has_letter, predicted
-from botlantern.llm.minhash import near_duplicates
+from botlantern.llm.minhash import surplus
 from botlantern.llm.packing import packed_digest
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of docs whose (doc_id, text) is not among `dropped` (doc_id, text_hash).
+    """The rows of docs whose (doc_id, text) is not among `dropped` (doc_id, text_hash, and `first` or not).
 
+    Where `first` is true, one row of that doc_id and text stays: the least by a hash of all columns.
     A bit filter of fixed size tells most rows that stay; only the others meet the list in a join,
     so whole texts are seldom shuffled.
     """
-    d = stored(dropped.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct(), "dropped")
+    first = F.col("first") if "first" in dropped.columns else F.lit(False)
+    d = stored(dropped.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), first.alias("_first")).distinct(), "dropped")
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(d.select(F.xxhash64("_id", "_text").alias("hash"))))
     doc_id, text = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
     suspect = passing(F.xxhash64(doc_id, text), bits)
     same = docs["doc_id"].cast("long").eqNullSafe(d["_id"]) & (F.xxhash64(docs["text"].cast("string")) == d["_text"])
-    return docs.where(~suspect).unionAll(docs.where(suspect).join(d, same, "left_anti"))
+    left = docs.where(~suspect).unionAll(docs.where(suspect).join(d, same, "left_anti"))
+    firsts = d.where("_first")
+    if firsts.isEmpty():
+        return left
+    # Tasks reduce their own rows first, so the copies of one page do not meet in one task.
+    row = F.struct(*[docs[c] for c in docs.columns])
+    again = docs.where(suspect).join(firsts, same).groupBy("_id", "_text").agg(F.min_by(row, F.xxhash64(*[docs[c] for c in docs.columns])).alias("_row"))
+    return left.unionAll(again.select("_row.*"))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +56,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+    """One row of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
 
-    Rows without an id stay unless a document with an id is their near-duplicate.
+    That is the smallest id's, of a repeated id that of the least text hash, of equal texts one row. A
+    row without an id stays only where the whole group has none. Texts without a word stay.
     """
-    found = near_duplicates(docs, k=5, percent=80)
-    return _without(docs, found.where(~F.col("kept") & ~(F.col("doc_id").isNull() & F.col("component_id").isNull())))
+    return _without(docs, surplus(docs, k=5, percent=80))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

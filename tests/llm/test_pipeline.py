@@ -53,3 +53,20 @@ def test_language_stage_without_a_label_keeps_texts_with_letters(spark, docs):
     for table in (unlabelled, unlabelled.withColumn("lang", F.lit("en")).withColumn("doc_id", F.lit(None).cast("long"))):
         got = corpus_pipeline.identify_language(spark, table, "")
         assert got.columns == table.columns and sorted(r.text for r in got.collect()) == want
+
+
+def test_one_row_of_each_group_stays_whatever_its_ids(spark):
+    page, other, third = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    near = lambda t, i: f"{t} edit{i}"
+    rows = [(None, near(page, i % 3), "x") for i in range(40)]
+    rows += [(7, near(other, i % 2), "x") for i in range(30)] + [(9, other, "x"), (None, other, "x")]
+    rows += [(1, third, "x"), (1, third, "y"), (None, third, "x"), (4, "alone here", "x"), (5, "", "x"), (None, None, "x"), (None, "no id", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    stay = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert stay.columns == docs.columns
+    got = stay.collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "4", "5", "7", "None", "None", "None"]
+    assert sum((r.text or "").startswith("a0 ") for r in got) == sum((r.text or "").startswith("b0 ") for r in got) == 1
+    assert sum((r.text or "").startswith("c0 ") for r in got) == 1 and {"", None, "no id", "alone here"} < {r.text for r in got}
+    again = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), "").collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
