@@ -3,7 +3,8 @@
 Both vocabularies split a text at white space before they merge anything, so the ids of a text
 are the ids of its units in order. A unit is encoded by the library once for each worker; then
 a text costs one look-up for each unit. Texts with control or separator characters that regex
-dialects class differently are encoded whole.
+dialects class differently are encoded whole, and so are texts that hold an added token such as
+<|endoftext|>, which the library takes out before it splits.
 """
 
 from __future__ import annotations
@@ -84,8 +85,8 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.units, self.latin, self.lower = _UNITS[kind], _LATIN[kind], kind == "word_level"
         self.letters = _byte_letters()
         self.kept, self.pretokens = Kept(self._whole_unit, KEPT_UNITS[kind] // 4), Kept(self._pretoken, KEPT_UNITS[kind])
@@ -98,6 +99,9 @@ class Encoder:
         return [self._one(t) if t else b"" for t in texts]
 
     def _one(self, text: str) -> bytes:
+        for token in self.added:
+            if token in text:
+                return self.whole([text])[0]
         try:
             text.isascii() or text.encode("latin-1")
         except UnicodeEncodeError:

@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from botlantern.llm.common import tokenizer_path
 from botlantern.llm.packing import LevelPacker, pack_documents, packed_digest
@@ -23,6 +24,13 @@ def test_units_give_the_ids_of_whole_texts(name, kind, text):
     assert e.encode([text]) == e.whole([text])
 
 
+@pytest.mark.parametrize(("name", "kind"), KINDS)
+def test_ids_are_those_of_the_library_as_loaded(name, kind):
+    fresh, e = Tokenizer.from_file(tokenizer_path(name)), encoder(tokenizer_path(name), kind)
+    for text in ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y", "日本 <|endoftext|>\n", "<|EndOfText|>", "<|endoftext |>", "a b"]:
+        assert np.frombuffer(e.encode([text])[0], dtype="<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids
+
+
 def _ids(kind, name, texts):
     return [np.append(np.frombuffer(x, dtype="<u4"), 2).astype("<u4") for x in encoder(tokenizer_path(name), kind).whole([t or "" for t in texts])]
 
