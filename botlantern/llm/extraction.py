@@ -8,7 +8,10 @@ if an article holds it. Each paragraph then gives its parent points for its leng
 them to the grandparent and a third to the next; a container's points are discounted by the share of
 its text that is in links. The best container is taken, up to the article or main element around it,
 with those siblings that score like it or are prose. All that is left in them is kept; outside an
-article element, lists that are mostly links are not.
+article element, lists that are mostly links are not. If no article or main element is around the
+best container, nothing but names and links tells what is no article: beside it and beside each
+element around it, all that is not set aside and not mostly links stays, headings and text of the
+elements themselves too.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed,
 and those not empty are joined in page order by a blank line. Pages are read whole, each by itself.
@@ -233,16 +236,24 @@ def main_text(source: str | None) -> str:
         if page.tags[up] in ("article", "main"):
             best = up
             break
-    tops = {best}
-    if best:
+    tops, around = {best}, set()
+    if page.tags[best] in ("article", "main"):
         up = page.parents[best]
         bar = max(10.0, 0.2 * points[best])
         for node in range(up + 1, page.last[up] + 1):
             if page.parents[node] == up and node != best and not dropped[node] and sizes[node]:
-                prose = page.tags[node] == "p" and links[node] < 0.25 * sizes[node] and (sizes[node] > 80 or page.tags[best] not in ("article", "main"))
+                prose = page.tags[node] == "p" and links[node] < 0.25 * sizes[node] and sizes[node] > 80
                 if points[node] >= bar or prose:
                     tops.add(node)
-    return "\n\n".join(t for n, t, _ in blocks if any(page.inside(n, top) for top in tops))
+    else:
+        around = set(page.ancestors(best)) - {best}
+        for node in range(1, len(page.tags)):
+            if page.parents[node] in around and node not in around and 2 * links[node] <= sizes[node]:
+                tops.add(node)
+    kept = [False] * len(page.tags)
+    for node in range(len(page.tags)):
+        kept[node] = node in tops or (node > 0 and kept[page.parents[node]])
+    return "\n\n".join(t for n, t, k in blocks if kept[n] or (n in around and 2 * k <= len(t)))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -112,6 +112,18 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class=post><h1>Title</h1><div class=text>{f'<p>{LONG}' * 10}</div><h2>More</h2><div><p>{LONG}</div></div>", "\n\n".join(["Title", *[LONG] * 10, "More", LONG])),
+        (f"<nav><a href=x>Home</a></nav><div><h1>Title</h1></div><div>{f'<p>{LONG}' * 3}</div><section><h2>List</h2><ul><li>a<li>b</ul><table><tr><td>x</table><blockquote>Said.</blockquote></section><div class=sidebar>No</div>", "\n\n".join(["Title", *[LONG] * 3, "List", "a", "b", "x", "Said."])),
+        (f"<div>Before it<div>{f'<p>{LONG}' * 3}</div><div><a href=x>Other page</a> <a href=y>and more</a></div><div class=comments><p>{LONG}</div></div><footer>F</footer>", "\n\n".join(["Before it", *[LONG] * 3])),
+    ],
+)
+def test_main_text_of_sections_without_an_article_element(page, text):
+    assert main_text(page) == text
+
+
 def test_extraction_of_a_table(spark):
     pages = spark.createDataFrame([(1, "u", f"<p>{LONG}é</p>", "t"), (None, None, None, "t"), (1, "u", "", "t")], "page_id long, url string, html string, text string")
     got = sorted(map(tuple, extraction_digest(pages).collect()), key=str)
