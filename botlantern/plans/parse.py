@@ -55,6 +55,8 @@ class ParsedLogs:
     ai: DataFrame
     images: DataFrame
     outcomes: DataFrame
+    #: Events that say something to a parser.
+    known: DataFrame
 
 
 def _reject(constant: str):
@@ -285,6 +287,32 @@ def image_outcomes(events: DataFrame) -> DataFrame:
     )
 
 
+def open_lines(known: DataFrame) -> DataFrame:
+    """The lines (stream, file, offset, value) that records of later files may need, none of which makes one itself.
+
+    Of each model the start without an end and its first token; of each provider the last request
+    without a success; of each stream the last model mention and the last command. `known`: events
+    with a kind. A line is written anew from its three fields.
+    """
+    kind = F.col("kind")
+    chat, image = kind.isin("start", "first", "finish", "empty"), kind.isin("image_request", "image_ok")
+    rows = known.where(chat | image | kind.isin("model", "command"))
+    provider = F.when(kind == "image_request", first_filled(_group(F.col("clean"), r"provider: '([^']+)'", 1), F.lit("unknown"))).otherwise(_group(F.col("clean"), IMAGE_EVENT, 1))
+    key = F.when(chat, _group(F.col("name"), CHAT_NAME, 1)).when(image, provider).otherwise("")
+    group = F.when(chat, "chat").when(image, "image").otherwise(kind)
+    value = F.to_json(F.struct("name", "content", F.col("ts").alias("timestamp")))
+    rows = rows.select("stream", group.alias("group"), key.alias("key"), "kind", F.struct(*_ORDER, "file", value.alias("value")).alias("line"))
+    last = lambda *kinds: F.max(F.when(kind.isin(*kinds), F.col("line")))
+    ends = rows.groupBy("stream", "group", "key").agg(
+        last("start").alias("start"), last("first").alias("first"), last("finish", "empty").alias("end"),
+        last("image_request").alias("asked"), last("image_ok").alias("done"), last("model", "command").alias("context"),
+    )
+    after = lambda a, b: F.col(b).isNull() | (F.col(a) > F.col(b))
+    kept = [F.when(after("start", "end"), F.col("start")), F.when(after("start", "end") & (F.col("first") > F.col("start")), F.col("first")), F.when(after("asked", "done"), F.col("asked")), F.col("context")]
+    lines = ends.select("stream", F.explode(F.array(*kept)).alias("line")).where("line is not null")
+    return lines.select("stream", "line.file", "line.offset", "line.value")
+
+
 def outcome_of(status: Column, kind: Column) -> Column:
     """What became of a line: invalid, ai, image or ignored."""
     return (
@@ -313,4 +341,4 @@ def parse_logs(lines: DataFrame, config: Config | None = None) -> ParsedLogs:
     ai = parts[0].unionByName(parts[1]).unionByName(parts[2])
     images = _typed(timed(image_outcomes(known)), schemas.IMAGE_GENERATION)
     outcomes = events.groupBy(outcome_of(F.col("status"), F.col("kind")).alias("outcome")).agg(F.count("*").alias("lines"))
-    return ParsedLogs(ai, images, outcomes)
+    return ParsedLogs(ai, images, outcomes, known)

@@ -19,7 +19,7 @@ from .. import schemas
 from ..config import Config
 from ..operators.facts import add_counts
 from ..operators.rollup import Rollup
-from ..plans.parse import classified, events_of, outcome_of, parse_logs
+from ..plans.parse import classified, events_of, open_lines, outcome_of, parse_logs
 from ..sources.logs import BotLogSource, discover_after
 from ..sources.tables import Tables
 from .state import matched, records, said
@@ -83,7 +83,11 @@ class LiveIngest:
 
 
 class HistoryImport:
-    """Reads older files in order, batch by batch, with its progress in the table log_import_state."""
+    """Reads older files in order, batch by batch, with its progress in the table log_import_state.
+
+    What a batch leaves open (calls, image requests, the last mention and command) is stored by the
+    name of its last file and goes in front of the next batch, so records don't depend on batches.
+    """
 
     KEY = "historical"
 
@@ -146,25 +150,34 @@ class HistoryImport:
                 state = self.patch(status="running", startedAt=self._at())
             if not files:
                 return self.patch(status="completed", completedAt=self._at())
-            counts = self.load([f.name for f in files])
-            return self.patch(
+            counts = self.load([f.name for f in files], state["cursorFileName"])
+            state = self.patch(
                 cursorFileName=files[-1].name, processedFiles_delta=len(files), processedBytes_delta=sum(f.size for f in files),
                 importedAiRecords_delta=counts[0], importedImageRecords_delta=counts[1], consecutiveFailures=0, failedAt=None, nextRetryAt=None, lastError=None,
             )
+            self.tables.remove(self._open_path(cursor))
+            return state
         except Exception as error:
             return self._fail(error)
         finally:
             self.running = False
 
-    def load(self, names: list[str]) -> tuple[int, int]:
-        """Parse whole files as one batch and write their records; how many of each kind."""
+    def _open_path(self, cursor: str | None) -> str:
+        return f"{self.tables.path('log_import_open')}/{cursor}"
+
+    def load(self, names: list[str], cursor: str | None = None) -> tuple[int, int]:
+        """Parse whole files as one batch, after what the batch up to `cursor` left open, and write their records; how many of each kind."""
         lines = self.spark.read.format("botlog").option("names", ",".join(names)).load(self.config.log_directory)
+        if cursor and self.tables.exists(self._open_path(cursor)):
+            left = "stream string, file string, offset long, value string"
+            lines = lines.select("stream", "file", "offset", "value").unionByName(self.spark.read.schema(left).parquet(self._open_path(cursor)))
         parsed = parse_logs(lines, self.config)
         ai, images = parsed.ai.persist(), parsed.images.persist()
         try:
             self.rollup.record(ai)
             self.tables.upsert_dated("image_generation", images)
             counts = ai.count(), images.count()
+            open_lines(parsed.known).coalesce(1).write.mode("overwrite").parquet(self._open_path(names[-1]))
         finally:
             ai.unpersist()
             images.unpersist()

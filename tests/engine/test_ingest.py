@@ -142,6 +142,20 @@ def test_history_goes_through_its_states(spark, tables, tmp_path):
     assert h.reset() == "busy"
 
 
+def test_history_does_not_depend_on_batches(spark, tmp_path):
+    folder, found = tmp_path / "logs", []
+    write_log(folder, random_log(9, 120), 20)
+    for size in (2, 500):
+        own = Tables(spark, f"file://{tmp_path}/tables{size}")
+        h = HistoryImport(spark, own, Config(log_directory=str(folder), historical_import_mode="full", max_historical_files_per_batch=size))
+        for _ in range(9):
+            if h.run_once()["status"] == "completed":
+                break
+        assert h.state()["status"] == "completed" and h.state()["processedFiles"] == 6
+        found.append([sorted(map(str, own.read(n).collect())) for n in ("ai_request", "image_generation")])
+    assert found[0] == found[1] and all(found[0])
+
+
 def test_history_waits_after_failures(spark, tables, tmp_path):
     clock = [1_704_200_000.0]
     config = Config(log_directory=str(tmp_path / "none"), historical_import_mode="recent")
