@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,10 +32,16 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is named, as in tests."""
+    """The cluster's shared folder, spark.checkpoint.dir.
+
+    Where it is unset, a local session (as in tests) gets a folder of its own; on a cluster that is an
+    error, since executors would each write to their own disk.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="botlantern-"))
     return sc.getCheckpointDir()
 
@@ -76,25 +83,25 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 # --- a bit filter of fixed size -----------------------------------------------------------
 
-#: Bits of the filter; a power of two.
+#: Bits of a filter; a power of two. 512 KB.
 FILTER_BITS = 1 << 22
 
 
-def bit_filter(hashes: DataFrame) -> np.ndarray:
-    """A filter of a column `hash` of longs, to be broadcast: half a megabyte, whatever the rows.
+def bit_filter(hashes: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
+    """A filter of a column `hash` of longs, to be broadcast: `size` bits, whatever the rows.
 
-    It passes every hash of the column and some others; at most FILTER_BITS / 64 rows reach the driver.
+    It passes every hash of the column and some others; at most size / 64 rows reach the driver.
     """
-    place = F.col("hash").bitwiseAND(FILTER_BITS - 1)
+    place = F.col("hash").bitwiseAND(size - 1)
     words = hashes.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit"))
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for word, bit in words.groupBy("word").agg(F.bit_or("bit")).collect():
-        bits[word] = bit
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    bits = np.zeros(size // 64, dtype=np.int64)
+    bits[found.column("word").to_numpy()] = found.column("bit").to_numpy()
     return bits
 
 
 def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    place = (hashes & np.uint64(64 * len(bits) - 1)).astype(np.int64)
     return (bits[place >> 6] >> (place & 63)) & 1 == 1
 
 
@@ -135,9 +142,7 @@ def _powers(base: np.uint64, n: int, key: str) -> np.ndarray:
     if have is None or len(have) < n:
         have = np.full(max(n, PIECE + 1), base, dtype=np.uint64)
         have[0] = 1
-        np.cumprod(have, out=have)
-        if len(have) <= 2 * PIECE:  # those of rare long texts are not kept
-            _POW[key] = have
+        _POW[key] = np.cumprod(have, out=have)
     return have[:n]
 
 
@@ -176,11 +181,33 @@ class Words:
         #: self.first[i]:self.first[i + 1] are the words of text i.
         self.first = np.searchsorted(self.starts, self.offsets)
 
-        n = len(self.buf)
+        self.hashes = np.empty(len(self.starts), dtype=np.uint64)
+        at = 0
+        while at < len(self.starts):
+            # As many words as PIECE bytes hold, so that a long text takes no more room than a short one.
+            to = int(np.searchsorted(self.ends, self.starts[at] + PIECE, side="right"))
+            if to > at:
+                self.hashes[at:to] = self._sums(self.starts[at:to], self.ends[at:to])
+            else:
+                to = at + 1
+                self.hashes[at] = self._long_sum(int(self.starts[at]), int(self.ends[at]))
+            at = to
+        self.hashes = mix(self.hashes + (self.ends - self.starts).astype(np.uint64))
+
+    def _sums(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The sum of (byte + 1) * base**place over each of some words that lie close together."""
+        lo, n = int(starts[0]), int(ends[-1] - starts[0])
         sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.buf.astype(np.uint64) + _U(1)) * powers(n), out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * inverse_powers(n)[self.starts]
-        self.hashes = mix(h + (self.ends - self.starts).astype(np.uint64))
+        np.cumsum((self.buf[lo : lo + n].astype(np.uint64) + _U(1)) * powers(n), out=sums[1:])
+        return (sums[ends - lo] - sums[starts - lo]) * inverse_powers(n)[starts - lo]
+
+    def _long_sum(self, start: int, end: int) -> np.uint64:
+        """The same for one word longer than PIECE, by parts."""
+        total = 0
+        for lo in range(start, end, PIECE):
+            part = self.buf[lo : min(end, lo + PIECE)].astype(np.uint64) + _U(1)
+            total += int((part * powers(len(part))).sum(dtype=np.uint64)) * pow(int(_BASE), lo - start, 1 << 64)
+        return _U(total & 0xFFFFFFFFFFFFFFFF)
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -206,6 +233,29 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: int, each: Callable[[pa.RecordBatch], list]) -> Iterator[tuple[tuple, list]]:
+    """Rows with equal first `keys` columns of longs, which stand one after the other: their key, and what `each` makes of them.
+
+    `each` turns a batch into a list with an entry for each of its rows.
+    """
+    now, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.array([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)], dtype=np.int64)
+        bounds = np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0)) + 1
+        made = each(batch)
+        for lo, hi in zip([0, *bounds.tolist()], [*bounds.tolist(), batch.num_rows], strict=True):
+            key = tuple(columns[:, lo].tolist())
+            if key != now:
+                if held:
+                    yield now, held
+                now, held = key, []
+            held.extend(made[lo:hi])
+    if held:
+        yield now, held
+
+
 def byte_slices(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8 bytes; null: empty."""
     return [b"" if t is None else t for t in column.cast(pa.large_binary()).to_pylist()]

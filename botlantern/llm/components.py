@@ -1,12 +1,57 @@
-"""Connected components of a distributed edge list, and blocks for comparisons inside large groups."""
+"""Groups of what shares a bucket, blocks for comparisons inside large groups, and connected components."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bit_filter, cut, passes, stored
+
+#: Bits of the filter of buckets: 8 MB.
+BUCKET_BITS = 1 << 26
+
+
+def _met(bits):
+    """Rows with those of their keys that the filter passes, if there are any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            keys, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            met = passes(bits.value, keys.view(np.uint64))
+            before = np.concatenate([[0], np.cumsum(met)])
+            bounds = before[offsets - offsets[0]]
+            some = np.flatnonzero(np.diff(bounds))
+            if len(some):
+                ends = np.concatenate([[0], bounds[some + 1]]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[met]))], names=["c", "keys"])
+
+    return run
+
+
+def led_groups(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(leader, c): each class with the leaders of its buckets, itself left out.
+
+    `members` has row, mark and keys: a row's number, a hash of its class, and the buckets it lies in (an
+    array of longs). `classes` has c, the row that stands for each class. A bucket is led by its most
+    central class, the one with the most company over all its buckets, so two classes that share a bucket
+    share its leader, and groups are few. Buckets are counted before they are shuffled, and only those
+    that more than one class has go on: a filter of fixed size spares most others, a join the rest.
+    """
+    each = members.select("mark", F.explode("keys").alias("key"))
+    met = each.groupBy("key").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("key")
+    met = stored(met, "buckets")
+    bits = members.sparkSession.sparkContext.broadcast(bit_filter(met.select(F.col("key").alias("hash")), BUCKET_BITS))
+    near = members.select("row", "keys").mapInArrow(_met(bits), "c long, keys array<long>").join(classes.select("c"), "c", "left_semi")
+    shared = stored(near.select("c", F.explode("keys").alias("key")).join(met, "key"), "shared")
+    company = shared.groupBy("key").agg(F.count("*").alias("members"))
+    weight = shared.join(company, "key").groupBy("c").agg(F.sum("members").alias("weight"))
+    leaders = shared.join(weight, "c").groupBy("key").agg(F.max(F.struct("weight", "c")).alias("top")).select("key", F.col("top.c").alias("leader"))
+    return shared.join(leaders, "key").where("c <> leader").select("leader", "c").distinct()
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -11,11 +11,16 @@ probability (1 - 0.8**5)**36, about 6e-7. Nothing is capped. Equal sets are one
 without emitting the pairs of a bucket:
 
 1. each bucket's most central class (the one with the most company over all its buckets) leads it;
-   members are verified against their leaders on full sets: rows in proportion to members;
+   a group is dealt in blocks of bounded size, each with the leader, and members are verified
+   against it on full sets: rows in proportion to members;
 2. members that a leader does not resolve are compared with the other members of its group, in
-   blocks of bounded size, as products of incidence matrices inside the tasks. Members already
-   linked to the leader are not compared among each other. Any pair that shares a bucket shares
-   its leader, so every candidate pair is either verified or already connected.
+   the same task if the group is one block, else by pairs of blocks, as products of incidence
+   matrices. Members already linked to the leader are not compared among each other. Any pair that
+   shares a bucket shares its leader, so every candidate pair is either verified or already connected.
+
+What travels for a comparison is the text of one document of each class, not its set, which is
+several times larger; tasks make the sets anew. Sets are of 64-bit hashes of shingles, classes go by
+128-bit digests of sets, and their texts are found by 96 bits of hash.
 
 Components come from distributed star rounds; no link, set or component reaches the driver.
 
@@ -31,13 +36,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Words, bit_filter, byte_slices, cut, mix, passes, pieces, shingle_hashes, small_batches, stored
-from .components import block_pairs, connected_components, matrix_labels
+from .common import NOT_SPACE, Words, bit_filter, byte_slices, mix, passing, pieces, runs, shingle_hashes, small_batches, stored
+from .components import block_pairs, connected_components, led_groups, matrix_labels
 
 ROWS = 5
 BANDS = 36
@@ -89,141 +93,172 @@ def _word_sets(texts: list[bytes], k: int) -> Iterator[tuple[int, list[np.ndarra
 def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, sets, digests in _word_sets(byte_slices(batch.column(1)), k):
+            for lo, sets, digests in _word_sets(byte_slices(batch.column(0)), k):
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 owner = np.repeat(np.arange(len(sets)), sizes)
                 keys = band_keys(similarity_sketches(np.concatenate(sets), owner, len(sets))).view(np.int64)
                 some = sizes > 0
                 offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
+                marks = [int.from_bytes(d[:8], "little", signed=True) if d else 0 for d in digests]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, len(sets)), batch.column(2).slice(lo, len(sets)), pa.array(sizes), pa.array(digests, pa.binary()), pa.array([_digest_hash(d) for d in digests], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))],
-                    names=["doc_id", "text_hash", "n_shingles", "set_key", "hash", "bands"],
+                    [*(batch.column(i).slice(lo, len(sets)) for i in (1, 2, 3)), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(marks, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))],
+                    names=["doc_id", "text_hash", "text_mark", "n_shingles", "set_key", "mark", "keys"],
                 )
 
     return run
 
 
-def _digest_hash(digest: bytes | None) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True) if digest else 0
+#: What a compared pair is: a link; in a group of several blocks, a member that is linked to its leader,
+#: one that may be linked to such a member, and one that may be linked only to others that are not.
+LINK, TIED, NEAR, FAR = 0, 1, 2, 3
+_FOUND = "a long, b long, state int"
+
+
+def _found(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["a", "b", "state"])
+
+
+def _links(sets: list[np.ndarray], tied: np.ndarray, block: np.ndarray | None, percent: int) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of the links among the sets, save those between two that are tied.
 
+    If `block` is given, only between sets of different blocks.
+    """
+    sizes = np.array([len(s) for s in sets])
+    _, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    # A set can only reach the bar through shingles that another set has.
+    common = counts[codes] > 1
+    able = 100 * np.bincount(owner[common], minlength=len(sets)) >= percent * sizes
+    use = common & able[owner]
+    if able.sum() < 2 or not use.any():
+        return
+    where = np.cumsum(able) - 1
+    members = np.flatnonzero(able)
+    owner, (_, codes) = where[owner[use]], np.unique(codes[use], return_inverse=True)
+    order = np.argsort(codes, kind="stable")
+    owner, codes = owner[order], codes[order]
+    n = len(members)
+    shared = np.zeros((n, n), dtype=np.float32)
+    width = min(4096, int(codes[-1]) + 1)
+    for c in range(0, int(codes[-1]) + 1, width):
+        lo, hi = np.searchsorted(codes, [c, c + width])
+        part = np.zeros((n, width), dtype=np.float32)
+        part[owner[lo:hi], codes[lo:hi] - c] = 1
+        shared += part @ part.T
+    shared = np.rint(shared).astype(np.int64)
+    s = sizes[members]
+    linked = 100 * shared >= percent * (s[:, None] + s[None, :] - shared)
+    t = tied[members]
+    linked &= ~(t[:, None] & t[None, :])
+    if block is not None:
+        linked &= block[members][:, None] != block[members][None, :]
+    np.fill_diagonal(linked, False)
+    labels = matrix_labels(linked)
+    for far in np.flatnonzero(labels != np.arange(n)):
+        yield members[far], members[labels[far]]
+
+
+def _verify_blocks(k: int, percent: int):
+    """Members (leader, block, c, blocks, text) against their leader, and in a group of one block against each other."""
+    # By the triangle inequality of the Jaccard distance, only a member within twice the allowed
+    # distance of the leader can link with one that the leader is linked to.
+    reach = 2 * percent - 100
 
-def _wanted_sets(k: int, bits):
-    """Sets and their digests, as far as the filter passes them."""
+    def rows_of(batch: pa.RecordBatch) -> list[tuple]:
+        sets = [s for _, own, _ in _word_sets(byte_slices(batch.column(4)), k) for s in own]
+        return list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), sets, strict=True))
+
+    def judged(leader: int, rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
+        head = next(s for c, _, s in rows if c == leader)
+        rows = [r for r in rows if r[0] != leader]
+        ids, sets, single = [r[0] for r in rows], [r[2] for r in rows], rows and rows[0][1] == 1
+        sizes = np.array([len(s) for s in sets])
+        both = np.array([len(np.intersect1d(head, s, assume_unique=True)) if 100 * min(len(head), len(s)) >= reach * max(len(head), len(s)) else 0 for s in sets])
+        either = sizes + len(head) - both
+        linked, near = 100 * both >= percent * either, 100 * both >= reach * either
+        for c, tie, close in zip(ids, linked.tolist(), near.tolist(), strict=True):
+            if not single:
+                yield leader, c, TIED if tie else NEAR if close else FAR
+            elif tie:
+                yield leader, c, LINK
+        if single and ((~linked).sum() > 1 or (near & ~linked).any() and linked.any()):
+            use = np.flatnonzero(~linked | (near & ~linked).any())
+            for a, b in _links([sets[i] for i in use], linked[use], None, percent):
+                yield ids[use[a]], ids[use[b]], LINK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, sets, digests in _word_sets(byte_slices(batch.column(0)), k):
-                hashes = np.array([_digest_hash(d) for d in digests], dtype=np.int64)
-                wanted = np.flatnonzero(passes(bits.value, hashes.view(np.uint64)))
-                sets, digests = [sets[i] for i in wanted if digests[i]], [digests[i] for i in wanted if digests[i]]
-                if not sets:
-                    continue
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                hashes = np.concatenate(sets).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes))], names=["set_key", "hashes"])
+        out: list[tuple[int, int, int]] = []
+        for (leader, _), rows in runs(batches, 2, rows_of):
+            out.extend(judged(leader, rows))
+            if len(out) > 10_000:
+                yield _found(out)
+                out = []
+        if out:
+            yield _found(out)
 
     return run
 
 
-def _compare_blocks(percent: int):
-    """Links among the members of two blocks: (a, b) edges of a spanning forest."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.asarray(h, dtype=np.int64) for h in group["hashes"]]
-        ids, sizes = group["c"].to_numpy(), np.array([len(s) for s in sets])
-        tied = group["linked"].to_numpy(dtype=bool)
-        block, cross = group["block"].to_numpy(), group["lo"].iloc[0] != group["hi"].iloc[0]
-        none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        _, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        # A member can only reach the bar through shingles that another member has.
-        common = counts[codes] > 1
-        able = 100 * np.bincount(owner[common], minlength=len(sets)) >= percent * sizes
-        use = common & able[owner]
-        if able.sum() < 2 or not use.any():
-            return none
-        where = np.cumsum(able) - 1
-        members = np.flatnonzero(able)
-        owner, (_, codes) = where[owner[use]], np.unique(codes[use], return_inverse=True)
-        order = np.argsort(codes, kind="stable")
-        owner, codes = owner[order], codes[order]
-        n = len(members)
-        shared = np.zeros((n, n), dtype=np.float32)
-        width = 4096
-        for c in range(0, int(codes[-1]) + 1, width):
-            lo, hi = np.searchsorted(codes, [c, c + width])
-            part = np.zeros((n, width), dtype=np.float32)
-            part[owner[lo:hi], codes[lo:hi] - c] = 1
-            shared += part @ part.T
-        shared = np.rint(shared).astype(np.int64)
-        s = sizes[members]
-        linked = 100 * shared >= percent * (s[:, None] + s[None, :] - shared)
-        t, b = tied[members], block[members]
-        linked &= ~(t[:, None] & t[None, :])
-        if cross:
-            linked &= b[:, None] != b[None, :]
-        np.fill_diagonal(linked, False)
-        labels = matrix_labels(linked)
-        far = np.flatnonzero(labels != np.arange(n))
-        return pd.DataFrame({"a": ids[members[far]], "b": ids[members[labels[far]]]})
+def _compare_blocks(k: int, percent: int):
+    """Members (leader, lo, hi, block, c, state, text) of two blocks, or of one, against each other."""
+
+    def rows_of(batch: pa.RecordBatch) -> list[tuple]:
+        sets = [s for _, own, _ in _word_sets(byte_slices(batch.column(6)), k) for s in own]
+        return list(zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), sets, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, lo, hi), rows in runs(batches, 3, rows_of):
+            block, ids, states, sets = zip(*rows, strict=True)
+            tied = np.array(states) == TIED
+            if out := [(ids[a], ids[b], LINK) for a, b in _links(list(sets), tied, np.array(block) if lo != hi else None, percent)]:
+                yield _found(out)
 
     return run
 
 
+def _texts(docs: DataFrame, *more) -> DataFrame:
+    """Texts with 96 bits of hash."""
+    text = F.col("text").cast("string")
+    return docs.select(text.alias("text"), *more, F.xxhash64(text).alias("text_hash"), F.hash(text).alias("text_mark"))
+
+
 def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The rows' stored features, and set_key, root and smallest (id) of each class of equal sets."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
-    made = texts.mapInArrow(_features(k), "doc_id long, text_hash long, n_shingles long, set_key binary, hash long, bands array<long>")
+    made = _texts(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_features(k), "doc_id long, text_hash long, text_mark int, n_shingles long, set_key binary, mark long, keys array<long>")
     features = stored(made.withColumn("row", F.monotonically_increasing_id()), "minhash")
 
     # A class of equal sets goes by the row of one of its documents.
     filled = features.where("n_shingles > 0")
-    classes = stored(filled.groupBy("set_key").agg(F.min("row").alias("c"), F.min("doc_id").alias("smallest"), F.min("n_shingles").alias("n"), F.min("hash").alias("hash")), "classes")
-    bands = filled.select(F.col("row").alias("c"), "bands").join(classes.select("c"), "c", "left_semi").select("c", F.explode("bands").alias("band"))
-    company = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    shared = stored(bands.join(company, "band"), "buckets")
-
-    weight = shared.groupBy("c").agg(F.sum("members").alias("weight"))
-    leaders = shared.join(weight, "c").groupBy("band").agg(F.max(F.struct("weight", "c")).alias("top")).select("band", F.col("top.c").alias("leader"))
-    spokes = shared.join(leaders, "band").where("c <> leader").select("leader", "c").distinct()
-    sizes = classes.select("c", "n")
-    spokes = spokes.join(sizes, "c").join(sizes.select(F.col("c").alias("leader"), F.col("n").alias("leader_n")), "leader")
-
-    able = 100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")
-    spokes = stored(spokes, "pairs")
-    # The sets themselves are made again for the classes that need them: to keep those of all
-    # documents would take more room than the documents.
-    candidates = spokes.select("c").union(spokes.select(F.col("leader").alias("c"))).distinct()
-    candidates = cut(classes.select("c", "set_key", "hash").join(candidates, "c", "left_semi"))
-    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(candidates.select("hash")))
-    wanted = texts.select("text").mapInArrow(_wanted_sets(k, bits), "set_key binary, hashes array<long>")
-    sets = stored(wanted.groupBy("set_key").agg(F.first("hashes").alias("hashes")).join(candidates.select("c", "set_key"), "set_key").select("c", "hashes"), "sets")
-    compared = spokes.where(able).select("leader", "c", "n", "leader_n").join(sets, "c").join(sets.select(F.col("c").alias("leader"), F.col("hashes").alias("leader_hashes")), "leader")
-    both = F.size(F.array_intersect("hashes", "leader_hashes")).cast("long")
-    star = compared.select("leader", "c", "n", both.alias("both"), (F.col("n") + F.col("leader_n") - both).alias("either"))
-    # By the triangle inequality of the Jaccard distance, only a member within twice the allowed
-    # distance of the leader can link with one that the leader is linked to.
-    reach = 2 * percent - 100
-    star = star.select("leader", "c", "n", (100 * F.col("both") >= percent * F.col("either")).alias("linked"), (100 * F.col("both") >= reach * F.col("either")).alias("near"))
-    rest = spokes.where(~able).select("leader", "c", "n", F.lit(False).alias("linked"), F.lit(True).alias("near"))
-    spokes = stored(star.unionByName(rest), "spokes")
-
-    open_ = F.col("linked") == F.lit(False)
-    groups = spokes.groupBy("leader").agg(
-        F.count_if(open_).alias("open"),
-        F.count_if(open_ & F.col("near")).alias("open_near"),
-        F.count("*").alias("all"),
-        F.sum("n").alias("shingles"),
-    )
-    blocks = F.ceil(F.greatest(F.col("all") / BLOCK_MEMBERS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    groups = groups.where("open > 1 or (open_near > 0 and all > open)").select("leader", "open_near", blocks.alias("blocks"))
-    unresolved = spokes.join(groups, "leader").where("not linked or open_near > 0").select("leader", "c", "linked", "blocks")
-    dealt = block_pairs(unresolved.join(sets, "c"), ["leader"], "c", "blocks")
-    more = dealt.groupBy("leader", "lo", "hi").applyInPandas(_compare_blocks(percent), "a long, b long")
-
-    links = spokes.where("linked").select(F.col("leader").alias("a"), F.col("c").alias("b")).unionByName(more)
-    roots = connected_components(links)
+    first = F.min(F.struct("row", "text_hash", "text_mark")).alias("first")
+    classes = filled.groupBy("set_key").agg(first, F.min("doc_id").alias("smallest"), F.min("n_shingles").alias("n"))
+    classes = stored(classes.select("set_key", F.col("first.row").alias("c"), "first.text_hash", "first.text_mark", "smallest", "n"), "classes")
+
+    spokes = stored(led_groups(filled.select("row", "mark", "keys"), classes), "spokes")
+    groups = spokes.join(classes.select("c", "n"), "c").groupBy("leader").agg(F.count("*").alias("all"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("all") / BLOCK_MEMBERS, F.col("shingles") / BLOCK_SHINGLES)).cast("long")
+    groups = stored(groups.select("leader", blocks.alias("blocks")), "groups")
+    dealt = spokes.join(groups, "leader").select("leader", F.pmod(F.xxhash64("c"), "blocks").alias("block"), "c", "blocks")
+    heads = groups.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("leader").alias("c"), "blocks")
+
+    # One text of each class that has company, in one more pass over the documents.
+    wanted = spokes.select("c").union(groups.select("leader")).distinct()
+    wanted = stored(classes.select("c", "text_hash", "text_mark").join(wanted, "c", "left_semi"), "wanted")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.col("text_hash").alias("hash"))))
+    texts = _texts(docs).where(passing(F.col("text_hash"), bits)).groupBy("text_hash", "text_mark").agg(F.first("text").alias("text"))
+    texts = stored(texts.join(wanted, ["text_hash", "text_mark"]).select("c", "text"), "texts")
+
+    whole = dealt.unionByName(heads).join(texts, "c").select("leader", "block", "c", "blocks", "text")
+    star = stored(whole.repartition("leader", "block").sortWithinPartitions("leader", "block").mapInArrow(_verify_blocks(k, percent), _FOUND), "star")
+
+    # Groups of several blocks with members that their leader does not settle.
+    open_ = star.where(F.col("state") != LINK).groupBy("a").agg(F.count("*").alias("all"), F.count_if(F.col("state") > TIED).alias("open"), F.count_if(F.col("state") == NEAR).alias("near"))
+    open_ = open_.where("open > 1 or (near > 0 and all > open)").select("a", "near").join(groups.withColumnRenamed("leader", "a"), "a")
+    unresolved = star.where(F.col("state") != LINK).join(open_, "a").where((F.col("state") > TIED) | (F.col("near") > 0)).select(F.col("a").alias("leader"), F.col("b").alias("c"), "state", "blocks")
+    pairs = block_pairs(unresolved, ["leader"], "c", "blocks").join(texts, "c").select("leader", "lo", "hi", "block", "c", "state", "text")
+    more = pairs.repartition("leader", "lo", "hi").sortWithinPartitions("leader", "lo", "hi").mapInArrow(_compare_blocks(k, percent), _FOUND)
+
+    roots = connected_components(star.where(F.col("state") <= TIED).unionByName(more).select("a", "b"))
     rooted = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     return features, rooted.select("set_key", "root", "smallest")
 
