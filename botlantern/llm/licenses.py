@@ -1,16 +1,17 @@
 """Fuzzy search for short licence notices: exact seeds by the pigeonhole principle, then bounded-error matching.
 
-A text is lower-cased (A-Z) and written as its words with one space between. A phrase that may bear
+A text is lower-cased (A-Z) and written as its words with one space between. A notice that may bear
 k edits is cut into k + 1 seeds: whatever k edits do, one seed stays as it is. Seeds are found
-exactly; around each, as far as the phrase and its edits can reach, lies a candidate window (windows
-that meet are merged). From each word start of a window the edit distance to the phrase is computed at
-each word's end in reach (bit-parallel, one step a byte); at most k edits match. What shares words
-with a match of fewer edits (or as many, further left) is not reported. A match without edits is a
-base place; one with edits adds its label with a score of 1 - edits / length.
+exactly; a match that has the seed starts at most k bytes from where the seed would have it. From
+each word start there the edit distance to the notice is computed at each word's end in reach
+(bit-parallel, one step a byte); at most k edits match. The notice's telling words, those that set it
+apart from other notices, must stand in a match: a short one as it is, one of five letters or more with
+one edit at most. What shares words with a match of fewer edits (or as many, further left) is not
+reported. A match without edits is exact; one with edits has a score of 1 - edits / length.
 
-A base phrase's places are those where its words stand consecutively; they are found by the same
-seeds (a place without edits has them all). Every text is searched whole; a row costs one
-pass for its words and one for each seed.
+The base notices are a fixed part of the dictionary; their exact places are counted apart. Every text
+is searched whole; a row costs one pass for its words and one for each seed, and what is found costs
+time in proportion to the places of seeds.
 
 Defined cases: a null text is an empty one, with no words, no places and score 0. Null and repeated
 ids are carried; each row is judged by its own text. Other columns are ignored.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,48 +30,91 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, LOWER, byte_slices, small_batches
 
-#: Phrases and labels of the base contract (fixed values).
-PHRASES = {
-    "under the mit license": "mit",
-    "apache license version 2": "apache-2",
-    "cc by nc": "cc-by-nc",
-}
-#: One edit for so many characters.
+#: One edit for so many characters; a telling word from so many letters on may bear one.
 CHARS_PER_EDIT = 8
+LONG_WORD = 5
+
+
+class Notice(NamedTuple):
+    text: str
+    label: str
+    #: Words that a match must have.
+    telling: str
+
+
+#: Phrases and labels of the base contract (fixed values), with their telling words.
+BASE = (
+    Notice("under the mit license", "mit", "mit"),
+    Notice("apache license version 2", "apache-2", "apache 2"),
+    Notice("cc by nc", "cc-by-nc", "cc by nc"),
+)
+#: Notices of the method's own.
+MORE = (
+    Notice("licensed under mit", "mit", "mit"),
+    Notice("apache software license version 1 1", "apache-1.1", "apache 1"),
+    Notice("apache license version 1 0", "apache-1", "apache 1"),
+    Notice("gnu general public license version 2", "gpl-2", "gnu general 2"),
+    Notice("gnu general public license version 3", "gpl-3", "gnu general 3"),
+    Notice("gnu lesser general public license version 2 1", "lgpl-2.1", "lesser general 2"),
+    Notice("gnu lesser general public license version 3", "lgpl-3", "lesser general 3"),
+    Notice("gnu affero general public license version 3", "agpl-3", "affero general 3"),
+    Notice("bsd 2 clause license", "bsd-2-clause", "bsd 2 clause"),
+    Notice("bsd 3 clause license", "bsd-3-clause", "bsd 3 clause"),
+    Notice("under the isc license", "isc", "isc"),
+    Notice("mozilla public license version 2", "mpl-2", "mozilla 2"),
+    Notice("eclipse public license version 2", "epl-2", "eclipse 2"),
+    Notice("boost software license version 1", "bsl-1", "boost 1"),
+    Notice("free and unencumbered software released into the public domain", "unlicense", "unencumbered public domain"),
+    Notice("cc by sa", "cc-by-sa", "cc by sa"),
+    Notice("cc by nd", "cc-by-nd", "cc by nd"),
+    Notice("creative commons attribution noncommercial", "cc-by-nc", "commons attribution noncommercial"),
+    Notice("creative commons attribution sharealike", "cc-by-sa", "commons attribution sharealike"),
+    Notice("creative commons attribution noderivatives", "cc-by-nd", "commons attribution noderivatives"),
+    Notice("creative commons zero", "cc0", "commons zero"),
+)
 
 _SPACED = bytes(int(LOWER[b]) if ALNUM[LOWER[b]] else 0x20 for b in range(256))
 
-#: label, first word, last word, edits, matched text
-Span = tuple[str, int, int, int, str]
+#: label, notice, first word, last word, edits, matched text
+Span = tuple[str, str, int, int, int, str]
+
+
+def within_one_edit(a: bytes, b: bytes) -> bool:
+    if abs(len(a) - len(b)) > 1:
+        return False
+    same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a[same + (len(a) >= len(b)) :] == b[same + (len(b) >= len(a)) :]
 
 
 class Phrase:
-    def __init__(self, text: str, label: str, chars_per_edit: int = CHARS_PER_EDIT):
-        self.text, self.label = text.encode(), label
-        self.edits = len(text) // chars_per_edit
+    def __init__(self, notice: Notice, chars_per_edit: int = CHARS_PER_EDIT):
+        self.notice, self.text = notice, notice.text.encode()
+        self.telling = [w.encode() for w in notice.telling.split()]
+        #: What must be near a match: a short telling word, or half of a long one.
+        self.signs = [(b" " + w + b" ",) if len(w) < LONG_WORD else (w[: len(w) // 2], w[len(w) // 2 :]) for w in self.telling]
+        fixed = all(len(w) < LONG_WORD and w in self.telling for w in self.text.split())
+        self.edits = 0 if fixed else len(self.text) // chars_per_edit
         #: For each byte, the places of the phrase where it stands, as bits.
         self.places = [0] * 256
         for i, byte in enumerate(self.text):
             self.places[byte] |= 1 << i
         self.exact = b" " + self.text + b" "
         bounds = np.linspace(0, len(self.text), self.edits + 2).astype(int).tolist()
-        self.seeds = [(a, self.text[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+        self.seeds = [(a, self.text[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)] if self.edits else []
 
-    def windows(self, text: bytes) -> list[tuple[int, int]]:
-        """Merged stretches of the text in which a match may lie."""
-        near = []
+    def starts(self, text: bytes) -> list[int]:
+        """The word starts from which a match may go that has a seed as it is."""
+        found: set[int] = set()
         for at, seed in self.seeds:
-            found = text.find(seed)
-            while found >= 0:
-                near.append((max(0, found - at - self.edits - 1), min(len(text), found - at + len(self.text) + self.edits + 1)))
-                found = text.find(seed, found + 1)
-        merged: list[tuple[int, int]] = []
-        for lo, hi in sorted(near):
-            if merged and lo <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(merged[-1][1], hi))
-            else:
-                merged.append((lo, hi))
-        return merged
+            hit = text.find(seed)
+            while hit >= 0:
+                lo, hi = max(0, hit - at - self.edits - 1), hit - at + self.edits
+                space = text.find(b" ", lo, hi) if hi > lo else -1
+                while space >= 0:
+                    found.add(space + 1)
+                    space = text.find(b" ", space + 1, hi)
+                hit = text.find(seed, hit + 1)
+        return sorted(found)
 
     def ends(self, text: bytes, start: int) -> Iterator[tuple[int, int]]:
         """(end, edits) of the matches from `start` to a word's end: Myers' columns of the edit distance."""
@@ -86,78 +131,88 @@ class Phrase:
             if edits <= self.edits and text[end + 1] == 0x20:
                 yield end + 1, edits
 
+    def tells(self, matched: bytes) -> bool:
+        words = matched.split(b" ")
+        return all(t in words or (len(t) >= LONG_WORD and any(within_one_edit(t, w) for w in words)) for t in self.telling)
+
     def matches(self, text: bytes) -> Iterator[tuple[int, int, int]]:
         """(start, end, edits) of matches at word boundaries; all exact ones, which may share words."""
-        for lo, hi in self.windows(text):
-            # Exact matches are equally long and the others share nothing: both lists are in order.
-            starts, ends = [], []
-            at = text.find(self.exact, lo, hi + 1)
-            while at >= 0:
-                starts.append(at + 1)
-                ends.append(at + 1 + len(self.text))
-                yield starts[-1], ends[-1], 0
-                at = text.find(self.exact, at + 1, hi + 1)
-            near = []
-            at = text.find(b" ", lo, hi)
-            while at >= 0:
-                near.extend((edits, at + 1, end) for end, edits in self.ends(text, at + 1))
-                at = text.find(b" ", at + 1, hi)
-            for edits, start, end in sorted(near):
-                i = bisect_left(starts, end)
-                if edits and not (i and ends[i - 1] > start):
-                    i = bisect_left(starts, start)
-                    starts.insert(i, start)
-                    ends.insert(i, end)
-                    yield start, end, edits
+        # Exact matches are equally long and the others share nothing: both lists are in order.
+        starts, ends = [], []
+        at = text.find(self.exact)
+        while at >= 0:
+            starts.append(at + 1)
+            ends.append(at + 1 + len(self.text))
+            yield starts[-1], ends[-1], 0
+            at = text.find(self.exact, at + 1)
+        near = []
+        exact = list(zip(starts, ends, strict=True))
+        for start in self.starts(text):
+            i = bisect_left(exact, (start + 1,))
+            if i and exact[i - 1][1] > start:
+                continue
+            reach = text[start - 1 : start + len(self.text) + self.edits + 1]
+            if all(any(sign in reach for sign in either) for either in self.signs):
+                near.extend((edits, start, end) for end, edits in self.ends(text, start) if self.tells(text[start:end]))
+        for edits, start, end in sorted(near):
+            i = bisect_left(starts, end)
+            if not (i and ends[i - 1] > start):
+                i = bisect_left(starts, start)
+                starts.insert(i, start)
+                ends.insert(i, end)
+                yield start, end, edits
 
 
 class Scanner:
-    """Finds all phrases of a dictionary in texts."""
+    """Finds all notices of a dictionary in texts."""
 
-    def __init__(self, phrases: dict[str, str]):
-        self.phrases = [Phrase(p, label) for p, label in phrases.items()]
+    def __init__(self, notices: tuple[Notice, ...] = BASE + MORE):
+        self.phrases = [Phrase(n) for n in notices]
 
     def scan(self, text: bytes) -> tuple[int, list[Span]]:
         """The number of words and the spans by first word."""
         words = text.translate(_SPACED).split()
         line = b" " + b" ".join(words) + b" "
         spans: list[Span] = []
+        spaces = None
         for phrase in self.phrases:
             for start, end, edits in phrase.matches(line):
-                first = line.count(b" ", 0, start) - 1
-                spans.append((phrase.label, first, first + line.count(b" ", start, end), edits, line[start:end].decode(errors="replace")))
-        return len(words), sorted(spans, key=lambda s: (s[1], s[2], s[0]))
+                if spaces is None:
+                    spaces = np.flatnonzero(np.frombuffer(line, dtype=np.uint8) == 0x20)
+                first, last = np.searchsorted(spaces, [start, end]).tolist()
+                spans.append((phrase.notice.label, phrase.notice.text, first - 1, last - 1, edits, line[start:end].decode(errors="replace")))
+        return len(words), sorted(spans, key=lambda s: (s[2], s[3], s[0], s[1]))
 
 
-_SPAN = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int32()), ("matched", pa.string()), ("score", pa.float64())])
+_SPAN = pa.struct([("label", pa.string()), ("notice", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int32()), ("matched", pa.string()), ("score", pa.float64())])
 
 
-def _scan(phrases: dict[str, str]):
+def _scan(notices: tuple[Notice, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(phrases)
-        lengths = {p.label: max(len(q.text) for q in scanner.phrases if q.label == p.label) for p in scanner.phrases}
+        scanner = Scanner(notices)
+        names = [f.name for f in _SPAN]
         for batch in batches:
             counts, found = [], []
             for text in byte_slices(batch.column(1)):
                 n, spans = scanner.scan(text)
                 counts.append(n)
-                found.append([dict(zip(("label", "first_word", "last_word", "edits", "matched", "score"), (*s, 1 - s[3] / lengths[s[0]]), strict=True)) for s in spans])
+                found.append([dict(zip(names, (*s, 1 - s[4] / len(s[1])), strict=True)) for s in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(found, pa.list_(_SPAN))], names=["doc_id", "n_words", "spans"])
 
     return run
 
 
-def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, n_words and spans (label, first_word, last_word, edits, matched, score) of each row."""
+def scan_licenses(docs: DataFrame, notices: tuple[Notice, ...] = BASE + MORE) -> DataFrame:
+    """doc_id, n_words and spans (label, notice, first_word, last_word, edits, matched, score) of each row."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    span = "struct<label:string,first_word:long,last_word:long,edits:int,matched:string,score:double>"
-    return texts.mapInArrow(_scan(phrases or PHRASES), f"doc_id long, n_words long, spans array<{span}>")
+    span = "struct<label:string,notice:string,first_word:long,last_word:long,edits:int,matched:string,score:double>"
+    return texts.mapInArrow(_scan(notices), f"doc_id long, n_words long, spans array<{span}>")
 
 
 def license_digest(docs: DataFrame) -> DataFrame:
     rows = scan_licenses(docs)
-    exact = F.filter("spans", lambda s: s["edits"] == 0)
+    exact = F.filter("spans", lambda s: (s["edits"] == 0) & s["notice"].isin([n.text for n in BASE]))
     joined = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
     starts = F.transform(exact, lambda s: s["first_word"])
     return rows.select(
