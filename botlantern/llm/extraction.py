@@ -14,7 +14,8 @@ element around it, all that is not set aside and not mostly links stays, heading
 elements themselves too.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed,
-and those not empty are joined in page order by a blank line. Pages are read whole, each by itself.
+and those not empty are joined in page order by a blank line. Pages are read whole, each by itself, in
+time in proportion to their length, however deeply they are nested.
 
 Defined cases: a null or empty page, or one without text, gives an empty text. Markup that is cut
 off at the end of a page is ignored. Null and repeated ids and urls are carried. An empty table
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,7 +57,7 @@ PARAGRAPH = 25
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?P<close>>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?P<close>>|\Z)"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)|(?P<text><?[^<]+|<)",
     re.DOTALL,
 )
@@ -74,6 +75,9 @@ class Page:
         self.tags, self.parents, self.last, self.aside = ["body"], [-1], [0], [NOT]
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
         self._stack, self._text, self._links, self._in_link = [0], [], 0, 0
+        #: The places of each open tag in the stack, and those of all that are not inline.
+        self._open_at: dict[str, list[int]] = {}
+        self._block_at = [0]
         self._read(source)
         self._flush()
         for node in range(len(self.tags) - 1, 0, -1):
@@ -120,55 +124,61 @@ class Page:
         self.parents.append(self._stack[-1])
         self.last.append(len(self.tags) - 1)
         self.aside.append(_aside(tag, attrs))
+        self._open_at.setdefault(tag, []).append(len(self._stack))
+        if tag not in INLINE:
+            self._block_at.append(len(self._stack))
         self._stack.append(len(self.tags) - 1)
 
+    def _depth(self, tags: Iterable[str]) -> int:
+        """The innermost open one of the tags, 0 for none."""
+        return max((self._open_at[t][-1] for t in tags if self._open_at.get(t)), default=0)
+
     def _close(self, tag: str) -> None:
         if tag in ("html", "body", "head"):
             return
-        if tag == "p" and all(self.tags[n] != "p" for n in self._stack):
+        depth = self._depth((tag,))
+        if not depth and tag == "p":
             self._flush()
-            return
-        for depth in range(len(self._stack) - 1, 0, -1):
-            open_ = self.tags[self._stack[depth]]
-            if open_ == tag:
-                self._cut(depth)
-                return
-            if tag in INLINE and open_ not in INLINE:
-                return
+        elif depth > (self._block_at[-1] if tag in INLINE else 0):
+            self._cut(depth)
 
     def _pop_to(self, wanted: set[str], bounds: set[str]) -> None:
-        for depth in range(len(self._stack) - 1, 0, -1):
-            open_ = self.tags[self._stack[depth]]
-            if open_ in wanted:
-                self._cut(depth)
-                return
-            if open_ in bounds:
-                return
+        depth = self._depth(wanted)
+        if depth > self._depth(bounds - wanted):
+            self._cut(depth)
 
     def _cut(self, depth: int) -> None:
-        gone = [self.tags[n] for n in self._stack[depth:]]
-        if any(t not in INLINE for t in gone):
+        if self._block_at[-1] >= depth:
             self._flush()
-        self._in_link -= gone.count("a")
-        del self._stack[depth:]
+        while len(self._stack) > depth:
+            tag = self.tags[self._stack.pop()]
+            self._open_at[tag].pop()
+            self._in_link -= tag == "a"
+            if tag not in INLINE:
+                self._block_at.pop()
 
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split())
         if text:
-            depth = len(self._stack) - 1
-            while depth and self.tags[self._stack[depth]] in INLINE:
-                depth -= 1
-            self.blocks.append((self._stack[depth], text, min(self._links, len(text))))
+            self.blocks.append((self._stack[self._block_at[-1]], text, min(self._links, len(text))))
         self._text, self._links = [], 0
 
-    def inside(self, node: int, top: int) -> bool:
-        return top <= node <= self.last[top]
-
     def ancestors(self, node: int) -> Iterator[int]:
         while node >= 0:
             yield node
             node = self.parents[node]
 
+    def sums(self, blocks: list[tuple[int, str, int]]) -> tuple[list[int], list[int]]:
+        """Characters and characters in links below each node."""
+        sizes, links = [0] * len(self.tags), [0] * len(self.tags)
+        for node, text, linked in blocks:
+            sizes[node] += len(text)
+            links[node] += linked
+        for node in range(len(self.tags) - 1, 0, -1):
+            sizes[self.parents[node]] += sizes[node]
+            links[self.parents[node]] += links[node]
+        return sizes, links
+
 
 #: How surely a subtree is no article.
 NOT, PERHAPS, SURELY = 0, 1, 2
@@ -200,11 +210,7 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = Page(source)
-    sizes, links = [0] * len(page.tags), [0] * len(page.tags)
-    for node, text, linked in page.blocks:
-        for up in page.ancestors(node):
-            sizes[up] += len(text)
-            links[up] += linked
+    sizes, links = page.sums(page.blocks)
     whole = sizes[0]
     # Set aside what is no article; of what is so perhaps, not what holds most of the page.
     dropped, within = [False] * len(page.tags), [False] * len(page.tags)
@@ -217,11 +223,8 @@ def main_text(source: str | None) -> str:
         dropped[node] = dropped[up] or (page.aside[node] > NOT and not heavy) or links_only
     blocks = [(n, t, k) for n, t, k in page.blocks if not dropped[n]]
 
-    sizes, links, points = [0] * len(page.tags), [0] * len(page.tags), [0.0] * len(page.tags)
-    for node, text, linked in blocks:
-        for up in page.ancestors(node):
-            sizes[up] += len(text)
-            links[up] += linked
+    (sizes, links), points = page.sums(blocks), [0.0] * len(page.tags)
+    for node, text, _ in blocks:
         if len(text) < PARAGRAPH:
             continue
         worth = 1 + text.count(",") + min(len(text) / 100, 3)
