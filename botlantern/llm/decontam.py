@@ -7,7 +7,8 @@ required its necessary prefix is one token: its rarest shingle over all document
 1. count how often each benchmark shingle stands in the documents (pre-aggregated in the tasks);
    windows with a shingle that stands nowhere are gone;
 2. order each window's shingles by rarity and keep the rarest with its place in the window;
-3. find these prefix tokens in the documents, with the words around them;
+3. find these prefix tokens in the documents, with the words around them as far as a window with
+   such a token reaches (a token of fewer than five words is its window);
 4. join on the token, apply the length bound (the document has as many words) and the positional
    bound (the window, laid at its place, lies inside it), and compare the words themselves.
 
@@ -90,7 +91,7 @@ def _count_shingles(bits, sizes: list[int]):
 _CANDIDATE = pa.struct([("hash", pa.int64()), ("pos", pa.int32()), ("lead", pa.int32()), ("around", pa.string())])
 
 
-def _find_prefixes(bits, sizes: list[int], window: int):
+def _find_prefixes(bits, sizes: list[int], window: int, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -100,11 +101,12 @@ def _find_prefixes(bits, sizes: list[int], window: int):
                 found: list[list[dict]] = [[] for _ in run_]
                 for k in sizes:
                     at, hashes = _places(words, bits.value, k)
+                    reach = window if k == shingle else k
                     docs = np.searchsorted(words.first, at, side="right") - 1
                     for w, h, d in zip(at.tolist(), _signed(hashes).tolist(), docs.tolist(), strict=True):
                         a, b = int(words.first[d]), int(words.first[d + 1])
-                        s = max(a, w - window + k)
-                        found[d].append({"hash": h, "pos": w - a, "lead": w - s, "around": words.text(s, min(b, w + window)).decode()})
+                        s = max(a, w - reach + k)
+                        found[d].append({"hash": h, "pos": w - a, "lead": w - s, "around": words.text(s, min(b, w + reach)).decode()})
                 keys = [hashlib.blake2b(repr(i).encode() + b"\0" + t, digest_size=16).digest() for i, t in zip(ids[lo : lo + len(run_)], run_, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys, pa.binary()), pa.array(ids[lo : lo + len(run_)], pa.int64()), batch.column(2).slice(lo, len(run_)), pa.array(words.counts().astype(np.int64)), pa.array(found, pa.list_(_CANDIDATE))],
@@ -133,7 +135,7 @@ def _scan(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int) -> t
     prefixes = cut(ranked.where("rarest.n > 0").select("window", "size", "rarest.hash", "rarest.offset"))
 
     bits = spark.sparkContext.broadcast(bit_filter(prefixes.select("hash")))
-    found = stored(texts.mapInArrow(_find_prefixes(bits, sizes, window), "key binary, doc_id long, text_hash long, n_words long, candidates array<struct<hash:long,pos:int,lead:int,around:string>>"), "decontam")
+    found = stored(texts.mapInArrow(_find_prefixes(bits, sizes, window, shingle), "key binary, doc_id long, text_hash long, n_words long, candidates array<struct<hash:long,pos:int,lead:int,around:string>>"), "decontam")
     places = found.where(F.size("candidates") > 0).select("key", "n_words", F.inline("candidates"))
     fits = (F.col("pos") >= F.col("offset")) & (F.col("pos") - F.col("offset") + F.col("size") <= F.col("n_words")) & (F.col("lead") >= F.col("offset"))
     laid = F.array_join(F.slice(F.split("around", " "), F.col("lead") - F.col("offset") + 1, F.col("size")), " ")
