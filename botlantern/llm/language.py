@@ -8,10 +8,11 @@ do not adapt while a text is scored, so its code length is a sum over its byte 4
 has one fixed length in each language. The language with the shortest code wins; the score is its
 share of 2**-length over all languages, from 0 to 1.
 
-The trees are fitted on a bounded sample of labelled rows: `SAMPLE_ROWS` documents a language, drawn
-by a hash of the row, among those of at most `SAMPLE_BYTES` bytes, for `MOST_LANGUAGES` labels at most. What reaches the driver is the
-sample's distinct 4-grams with counts, at most SAMPLE_ROWS * SAMPLE_BYTES a language. Only text and
-lang of rows that are not held out are learnt from; a prediction sees the text alone.
+The trees are fitted on a bounded sample of labelled rows, whole texts: for each language at most
+`SAMPLE_ROWS` documents and SAMPLE_ROWS * SAMPLE_BYTES bytes (or one longer document), drawn by a hash
+of the row; those of more than SAMPLE_BYTES bytes come after all others. What reaches the driver is
+the sample's distinct 4-grams with counts, which the bytes bound for each language. Only text and lang
+of rows that are not held out are learnt from; a prediction sees the text alone.
 
 Defined cases: a null text or one without a letter is `und` with score 0, as is every text where
 nothing could be learnt. Rows without lang teach nothing. A null doc_id counts as held out. Repeated
@@ -28,12 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut, small_batches
 
 SAMPLE_ROWS = 256
 SAMPLE_BYTES = 65_536
-#: Labels that are learnt, the most frequent ones.
-MOST_LANGUAGES = 1000
 #: Lots of the draw.
 DRAWS = 1 << 40
 #: What stands before a text's first byte.
@@ -140,16 +139,17 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES
     """The model of the labelled rows of `docs` (doc_id, text, lang) that are not held out."""
     small_batches(docs.sparkSession)
     labelled = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    labelled = labelled.where(~held_out(F.col("doc_id"))).where("lang is not null and text <> ''").where(F.octet_length("text") <= most_bytes)
-    labelled = labelled.withColumn("draw", F.pmod(F.xxhash64("doc_id", "text"), F.lit(DRAWS)))
-    # Lots below a bar give about four times the rows wanted, whatever the table's size; those of
-    # the smallest draws are taken.
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not sizes:
-        return Model({})
-    bars = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(DRAWS, 4 * rows * DRAWS // r["count"] + 1))])
-    drawn = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    sample = labelled.where(F.col("draw") < bars[F.col("lang")]).withColumn("rank", F.row_number().over(drawn)).where(F.col("rank") <= rows)
+    labelled = labelled.where(~held_out(F.col("doc_id"))).where("lang is not null and text <> ''")
+    size = F.octet_length("text")
+    labelled = labelled.withColumns({"bytes": size.cast("long"), "long": size > most_bytes, "draw": F.pmod(F.xxhash64("doc_id", "text"), F.lit(DRAWS))})
+    # Lots below a bar give about four times the rows wanted, whatever the table's size. Equal rows have
+    # one lot; the smallest lots within the bounds are taken.
+    bars = labelled.groupBy("lang", "long").agg(F.least(F.lit(DRAWS), (F.lit(4.0 * rows * DRAWS) / F.count("*")).cast("long") + 1).alias("bar"))
+    lots = labelled.select("lang", "long", "draw", "bytes").join(bars, ["lang", "long"]).where("draw < bar").groupBy("lang", "long", "draw").agg(F.max("bytes").alias("bytes"))
+    drawn = Window.partitionBy("lang").orderBy("long", "draw")
+    lots = lots.withColumns({"rank": F.row_number().over(drawn), "all": F.sum("bytes").over(drawn.rowsBetween(Window.unboundedPreceding, 0))})
+    lots = cut(lots.where((F.col("rank") == 1) | ((F.col("rank") <= rows) & (F.col("all") <= rows * most_bytes))).select("lang", "long", "draw"))
+    sample = labelled.join(lots, ["lang", "long", "draw"]).groupBy("lang", "long", "draw").agg(F.first("text").alias("text"))
     counted = sample.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return Model({x: (g["gram"].to_numpy().astype(_U), g["n"].to_numpy(dtype=np.float64)) for x, g in counted.groupby("lang")})
 
