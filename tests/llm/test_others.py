@@ -192,6 +192,15 @@ def test_held_out_accuracy_and_sources(spark):
     assert language_digest(docs.limit(0)).count() == 0
 
 
+def test_languages_with_long_documents_only_are_learnt(spark):
+    rows = [(2 * i, "thondr einsa " * (200 + i), "long") for i in range(20)] + [(2 * i + 1, "ñolque cióda", "short") for i in range(40)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (100, 10):
+        model = fit(docs, rows=8, most_bytes=most)
+        assert model.langs == ["long", "short"]
+        assert {(r.doc_id % 2, r.lang_pred) for r in identify(docs, model).collect()} == {(0, "long"), (1, "short")}
+
+
 # --- licences -----------------------------------------------------------------------------
 
 
