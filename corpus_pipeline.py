@@ -44,8 +44,8 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; texts that are null or have no letter go.
 
-    If no language could be learnt (no labelled row that is not held out and not too long), none is
-    told, and the text alone decides: those that are null or have no letter go.
+    If no language could be learnt (no labelled row that is not held out), none is told, and the text
+    alone decides: those that are null or have no letter go.
     """
     small_batches(spark)
     text, model = F.col("text").cast("string"), fit(docs)
