@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import small_batches, stored
 
 SAMPLE_ROWS = 256
 SAMPLE_BYTES = 65_536
@@ -145,10 +145,11 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES
     # Lots below a bar give about four times the rows wanted, whatever the table's size. Equal rows have
     # one lot; the smallest lots within the bounds are taken.
     bars = labelled.groupBy("lang", "long").agg(F.least(F.lit(DRAWS), (F.lit(4.0 * rows * DRAWS) / F.count("*")).cast("long") + 1).alias("bar"))
+    bars = stored(bars, "bars")  # files tell Spark their size, so texts are not shuffled for a small table
     lots = labelled.select("lang", "long", "draw", "bytes").join(bars, ["lang", "long"]).where("draw < bar").groupBy("lang", "long", "draw").agg(F.max("bytes").alias("bytes"))
     drawn = Window.partitionBy("lang").orderBy("long", "draw")
     lots = lots.withColumns({"rank": F.row_number().over(drawn), "all": F.sum("bytes").over(drawn.rowsBetween(Window.unboundedPreceding, 0))})
-    lots = cut(lots.where((F.col("rank") == 1) | ((F.col("rank") <= rows) & (F.col("all") <= rows * most_bytes))).select("lang", "long", "draw"))
+    lots = stored(lots.where((F.col("rank") == 1) | ((F.col("rank") <= rows) & (F.col("all") <= rows * most_bytes))).select("lang", "long", "draw"), "lots")
     sample = labelled.join(lots, ["lang", "long", "draw"]).groupBy("lang", "long", "draw").agg(F.first("text").alias("text"))
     counted = sample.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return Model({x: (g["gram"].to_numpy().astype(_U), g["n"].to_numpy(dtype=np.float64)) for x, g in counted.groupby("lang")})
