@@ -151,7 +151,8 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES
     lots = lots.withColumns({"rank": F.row_number().over(drawn), "all": F.sum("bytes").over(drawn.rowsBetween(Window.unboundedPreceding, 0))})
     lots = stored(lots.where((F.col("rank") == 1) | ((F.col("rank") <= rows) & (F.col("all") <= rows * most_bytes))).select("lang", "long", "draw"), "lots")
     sample = labelled.join(lots, ["lang", "long", "draw"]).groupBy("lang", "long", "draw").agg(F.first("text").alias("text"))
-    counted = sample.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    # A language's sample is bounded, so one task counts it whole.
+    counted = sample.select("lang", "text").repartition("lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return Model({x: (g["gram"].to_numpy().astype(_U), g["n"].to_numpy(dtype=np.float64)) for x, g in counted.groupby("lang")})
 
 
