@@ -444,13 +444,20 @@ def _(spark, d):
 # --- logs ---------------------------------------------------------------------------------
 
 
+def _stored(events: DataFrame) -> DataFrame:
+    """Events as a table in the shared folder, from which a query's branches read."""
+    path = shared_folder(events.sparkSession, "events")
+    events.where("kind is not null").write.parquet(path)
+    return events.sparkSession.read.schema(events.schema).parquet(path)
+
+
 def _parsed(spark, d):
-    return parse_logs(A.log_lines(spark, d), Config())
+    return parse_logs(A.log_lines(spark, d), Config(), keep=_stored)
 
 
 @query("p_parse_outcomes", _WITH + _LOG + " SELECT CASE WHEN bad THEN 'invalid' WHEN kind IN ('finish', 'empty', 'failed', 'usage') THEN 'ai' WHEN kind IN ('ok', 'fail') THEN 'image' ELSE 'ignored' END AS outcome, count(*) AS lines FROM g GROUP BY 1")
 def _(spark, d):
-    return _parsed(spark, d).outcomes
+    return parse_logs(A.log_lines(spark, d), Config()).outcomes
 
 
 @query(

@@ -3,10 +3,12 @@
 Lines have a stream (one bot's log), a file, an offset in it and a value (JSON). Their total order is
 by file key, then offset. What a sequential parser would remember becomes windows:
 
-- chat calls are paired by model: a segment begins at a start or after an end;
+- ends of chat calls take the latest start of their model since its last end;
 - image outcomes take the latest request of their provider since its last success;
-- the latest command and the latest model mention are carried forward over a whole stream. That has
-  no key but the stream, so it takes two steps: inside each file, then over one row a file.
+- image outcomes take the latest command, token usage the latest model mention of the stream.
+
+Each of these carries a value forward in two steps: inside each file, then over one row for each file
+and key. So no window grows with what one bot, model or provider says, only with its files.
 
 Only lines that matter to a step go through it, so windows see a small part of the log.
 """
@@ -14,6 +16,7 @@ Only lines that matter to a step go through it, so windows see a small part of t
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -57,6 +60,8 @@ class ParsedLogs:
     outcomes: DataFrame
     #: Events that say something to a parser.
     known: DataFrame
+    #: All classified events; kept ones are the caller's to unpersist.
+    events: DataFrame
 
 
 def _reject(constant: str):
@@ -134,18 +139,23 @@ def classified(events: DataFrame, config: Config) -> DataFrame:
 _ORDER = ["file_key", "offset"]
 
 
-def carry_forward(rows: DataFrame, value: Column, name: str) -> DataFrame:
-    """Adds `name`: the latest value that is not null, of this row or of one before it in the stream."""
-    rows = rows.withColumn("_own", value)
-    inside = Window.partitionBy("stream", "file").orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_local", F.last("_own", ignorenulls=True).over(inside))
-    last = F.max_by("_own", F.when(F.col("_own").isNotNull(), F.col("offset")))
-    files = rows.groupBy("stream", "file", "file_key").agg(last.alias("_last"))
-    # One row a file: as many as the stream has files.
-    before = Window.partitionBy("stream").orderBy("file_key").rowsBetween(Window.unboundedPreceding, -1)
-    inherited = files.withColumn("_inherited", F.last("_last", ignorenulls=True).over(before)).select("stream", "file", "_inherited")
-    joined = rows.join(inherited, ["stream", "file"])
-    return joined.withColumn(name, F.coalesce("_local", "_inherited")).drop("_own", "_local", "_inherited")
+def carry_forward(rows: DataFrame, values: dict[str, Column], keys: tuple[str, ...] = ("stream",), current: bool = True) -> DataFrame:
+    """Adds each named value as it was last not null among the rows of equal keys: up to this row, or before it.
+
+    A value should be a struct, so that one with a null field can take back an earlier one.
+    """
+    rows = rows.withColumns({f"_own_{n}": v for n, v in values.items()})
+    inside = Window.partitionBy(*keys, "file_key").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0 if current else -1)
+    rows = rows.withColumns({f"_local_{n}": F.last(f"_own_{n}", ignorenulls=True).over(inside) for n in values})
+    last = [F.max_by(f"_own_{n}", F.when(F.col(f"_own_{n}").isNotNull(), F.col("offset"))).alias(f"_last_{n}") for n in values]
+    files = rows.groupBy(*keys, "file_key").agg(*last)
+    # One row for each file and key.
+    before = Window.partitionBy(*keys).orderBy("file_key").rowsBetween(Window.unboundedPreceding, -1)
+    inherited = files.select(*keys, "file_key", *[F.last(f"_last_{n}", ignorenulls=True).over(before).alias(f"_inherited_{n}") for n in values])
+    joined = rows.join(inherited, [*keys, "file_key"], "left")
+    for n in values:
+        joined = joined.withColumn(n, F.coalesce(f"_local_{n}", f"_inherited_{n}")).drop(f"_own_{n}", f"_local_{n}", f"_inherited_{n}")
+    return joined
 
 
 def _request_id(ts: Column, model: Column, content: Column) -> Column:
@@ -161,36 +171,18 @@ def _typed(rows: DataFrame, ddl: str) -> DataFrame:
     return rows.select(*columns)
 
 
-def pair_chats(rows: DataFrame) -> DataFrame:
-    """Ends of chat calls with what their start and first token lines said.
-
-    `rows`: stream, model, kind (start, first, finish, empty), ts, content and their order. A segment
-    holds at most one start, as its first row, and at most one end, as its last.
-    """
-    w = Window.partitionBy("stream", "model").orderBy(*_ORDER)
-    opens = (F.col("kind") == "start") | F.coalesce(F.lag("kind").over(w).isin("finish", "empty"), F.lit(False))
-    rows = rows.withColumn("_opens", opens.cast("int"))
-    rows = rows.withColumn("segment", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    is_end = F.col("kind").isin("finish", "empty")
-    first = F.when(F.col("kind") == "first", F.struct(*_ORDER, _group(F.col("content"), FIRST_TOKEN, 1).cast("long").alias("ms")))
-    return (
-        rows.groupBy("stream", "model", "segment")
-        .agg(
-            F.max(F.when(F.col("kind") == "start", F.struct("ts", "content"))).alias("start"),
-            F.max(first).alias("first"),
-            F.max(F.when(is_end, F.struct("ts", "content", "kind"))).alias("end"),
-        )
-        .where("end is not null")
-    )
-
-
 def chat_requests(events: DataFrame) -> DataFrame:
-    kinds = F.col("kind").isin("start", "first", "finish", "empty")
-    rows = events.where(kinds).select("stream", "file_key", "offset", "kind", "ts", "content", _group(F.col("name"), CHAT_NAME, 1).alias("model"))
-    pairs = pair_chats(rows)
-    of = lambda c: F.coalesce(F.col(f"start.{c}"), F.col(f"end.{c}"))
-    done = F.col("end.kind") == "finish"
-    number = lambda i: _group(F.col("end.content"), CHAT_FINISH, i).try_cast("long")
+    """Ends of chat calls with what their start and first token lines said."""
+    is_start, is_end = F.col("kind") == "start", F.col("kind").isin("finish", "empty")
+    rows = events.where(F.col("kind").isin("start", "first", "finish", "empty"))
+    rows = rows.select("stream", "file_key", "offset", "kind", "ts", "content", _group(F.col("name"), CHAT_NAME, 1).alias("model"))
+    # A start takes back an earlier first token, an end both.
+    start = F.when(is_start | is_end, F.struct(F.when(is_start, F.col("ts")).alias("ts"), F.when(is_start, F.col("content")).alias("content")))
+    first = F.struct(F.when(F.col("kind") == "first", _group(F.col("content"), FIRST_TOKEN, 1).cast("long")).alias("ms"))
+    pairs = carry_forward(rows, {"start": start, "first": first}, ("stream", "model"), current=False).where(is_end)
+    of = lambda c: F.coalesce(F.col(f"start.{c}"), F.col(c))
+    done = F.col("kind") == "finish"
+    number = lambda i: _group(F.col("content"), CHAT_FINISH, i).try_cast("long")
     tokens = lambda i: F.when(done, number(i)).otherwise(F.lit(0))
     return pairs.select(
         _request_id(of("ts"), F.col("model"), of("content")).alias("id"),
@@ -202,7 +194,7 @@ def chat_requests(events: DataFrame) -> DataFrame:
         tokens(3).alias("completionTokens"),
         (tokens(2) + tokens(3)).alias("totalTokens"),
         F.when(done, number(1)).alias("latencyMs"),
-        F.when(F.col("start").isNotNull(), F.col("first.ms")).alias("firstTokenLatencyMs"),
+        F.when(F.col("start.ts").isNotNull(), F.col("first.ms")).alias("firstTokenLatencyMs"),
         done.alias("success"),
         F.when(~done, F.lit("OUTPUT_EMPTY_CONTENT")).alias("errorCode"),
     )
@@ -232,7 +224,7 @@ def mentioned_model(clean: Column) -> Column:
 
 def usage_requests(events: DataFrame, config: Config) -> DataFrame:
     rows = events.where(F.col("kind").isin("model", "usage")).select("stream", "file", "file_key", "offset", "kind", "ts", "clean")
-    rows = carry_forward(rows, F.when(F.col("kind") == "model", F.struct(mentioned_model(F.col("clean")).alias("model"), "ts")), "mention")
+    rows = carry_forward(rows, {"mention": F.when(F.col("kind") == "model", F.struct(mentioned_model(F.col("clean")).alias("model"), "ts"))})
     usage = rows.where("kind = 'usage'")
     fresh = F.col("ts") - F.col("mention.ts") < MODEL_TTL
     model = first_filled(F.when(fresh, F.col("mention.model")), F.lit(config.default_model).cast("string"), F.lit("unknown"))
@@ -256,16 +248,12 @@ def image_outcomes(events: DataFrame) -> DataFrame:
     rows = rows.select("stream", "file", "file_key", "offset", "kind", "ts", "clean")
     part = lambda i: _trimmed(_group(F.col("clean"), COMMAND_CONTEXT, i))
     context = F.struct(part(1).alias("user"), part(2).alias("command"), part(3).alias("platform"), "ts")
-    rows = carry_forward(rows, F.when(F.col("kind") == "command", context), "context").where("kind <> 'command'")
+    rows = carry_forward(rows, {"context": F.when(F.col("kind") == "command", context)}).where("kind <> 'command'")
     provider = F.when(F.col("kind") == "image_request", first_filled(_group(F.col("clean"), r"provider: '([^']+)'", 1), F.lit("unknown"))).otherwise(_group(F.col("clean"), IMAGE_EVENT, 1))
     rows = rows.withColumn("provider", provider)
-    w = Window.partitionBy("stream", "provider").orderBy(*_ORDER)
-    done = F.sum((F.col("kind") == "image_ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("segment", F.coalesce(done, F.lit(0)))
-    asked = F.struct(F.nullif(_group(F.col("clean"), r"modelId: '([^']+)'", 1), F.lit("")).alias("model"), _group(F.col("clean"), r"numImages: (\d+)", 1).try_cast("long").alias("n"))
-    inside = Window.partitionBy("stream", "provider", "segment").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("asked", F.last(F.when(F.col("kind") == "image_request", asked), ignorenulls=True).over(inside))
-    rows = rows.where("kind <> 'image_request'")
+    is_request = F.col("kind") == "image_request"
+    asked = F.struct(F.when(is_request, F.nullif(_group(F.col("clean"), r"modelId: '([^']+)'", 1), F.lit(""))).alias("model"), F.when(is_request, _group(F.col("clean"), r"numImages: (\d+)", 1).try_cast("long")).alias("n"))
+    rows = carry_forward(rows, {"asked": F.when(F.col("kind").isin("image_request", "image_ok"), asked)}, ("stream", "provider"), current=False).where(~is_request)
     ok = F.col("kind") == "image_ok"
     fresh = F.col("ts") - F.col("context.ts") < COMMAND_TTL
     n = F.col("asked.n")
@@ -323,10 +311,16 @@ def outcome_of(status: Column, kind: Column) -> Column:
     )
 
 
-def parse_logs(lines: DataFrame, config: Config | None = None) -> ParsedLogs:
+def on_disk(events: DataFrame) -> DataFrame:
+    return events.persist(StorageLevel.DISK_ONLY)
+
+
+def parse_logs(lines: DataFrame, config: Config | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> ParsedLogs:
     """Records and outcome counts of lines (stream, file, offset, value).
 
-    Records of lines that were read twice have equal ids; writers keep one of them.
+    Records of lines that were read twice have equal ids; writers keep one of them. Every result but the
+    outcomes reads the events more than once; `keep` puts them where that is cheap (`on_disk`, or a stored
+    table), and what it keeps is the caller's to free.
     """
     config = config or Config()
     if "stream" not in lines.columns:
@@ -334,11 +328,13 @@ def parse_logs(lines: DataFrame, config: Config | None = None) -> ParsedLogs:
     events = classified(events_of(lines), config)
     # Every line is read and classified once; of those that say nothing only the outcome is kept.
     said = lambda c: F.when(F.col("kind").isNotNull(), F.col(c)).alias(c)
-    events = events.select("stream", "file", log_file_key(F.col("file")).alias("file_key"), "offset", "status", "kind", "ts", said("name"), said("content"), said("clean")).persist(StorageLevel.DISK_ONLY)
+    events = events.select("stream", "file", log_file_key(F.col("file")).alias("file_key"), "offset", "status", "kind", "ts", said("name"), said("content"), said("clean"))
+    if keep:
+        events = keep(events)
     timed = lambda df: df.withColumn("timestamp", instant_of_ms(F.col("ts"))).withColumn("date", day_of_ms(F.col("ts"))).withColumn("hour", hour_of_ms(F.col("ts")))
     known = events.where("kind is not null")
     parts = [_typed(timed(df), schemas.AI_REQUEST) for df in (chat_requests(known), failed_requests(known), usage_requests(known, config))]
     ai = parts[0].unionByName(parts[1]).unionByName(parts[2])
     images = _typed(timed(image_outcomes(known)), schemas.IMAGE_GENERATION)
     outcomes = events.groupBy(outcome_of(F.col("status"), F.col("kind")).alias("outcome")).agg(F.count("*").alias("lines"))
-    return ParsedLogs(ai, images, outcomes, known)
+    return ParsedLogs(ai, images, outcomes, known, events)

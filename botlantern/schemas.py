@@ -34,6 +34,7 @@ PRIMARY_KEYS = {
     "ai_model_daily": ["date", "source", "provider", "modelId"],
     "image_generation": ["id"],
     "log_offset": ["fileName"],
+    "log_offset_v2": ["fileName"],
     "ai_daily_dirty": ["date"],
     "log_import_state": ["key"],
 }

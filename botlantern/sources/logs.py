@@ -1,7 +1,7 @@
 """The `botlog` data source: directories of daily log files, `YYYY-MM-DD-N.log`, that are appended to.
 
     spark.dataSource.register(BotLogSource)
-    spark.read.format("botlog").load(path)          # all files, or option names
+    spark.read.format("botlog").load(path)          # all files, or options names or ranges
     spark.readStream.format("botlog").load(path)    # newest maxFiles files, as they grow
 
 Rows: stream (the directory), file, offset (bytes), value (a line). Lines are split on bytes and
@@ -16,8 +16,10 @@ read; a batch takes at most maxBytesPerFile of a file, but always one line at le
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
+import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -75,6 +77,36 @@ def discover_after(path: str, cursor: str | None, most: int, names: Callable[[st
     return _stat(path, heapq.nsmallest(most, later, key=sort_key))
 
 
+class Discovery:
+    """A pass over a directory that may be interrupted: the newest files, or the oldest after a cursor.
+
+    Only names are held, at most twice as many as wanted. What is found is given when the pass has come
+    to its end, so it never depends on how often the pass was interrupted.
+    """
+
+    #: Names between looks at the clock.
+    STEP = 1000
+
+    def __init__(self, path: str, most: int, after: str | None = None, newest: bool = False, names: Callable[[str], Iterable[str]] = log_names):
+        self.path, self.most, self.after, self.newest = path, most, after, newest
+        self.names, self.found = iter(names(path)), []
+
+    def _best(self) -> list[str]:
+        return (heapq.nlargest if self.newest else heapq.nsmallest)(self.most, self.found, key=sort_key)
+
+    def advance(self, seconds: float | None = None, clock: Callable[[], float] = time.monotonic) -> list[LogFile] | None:
+        """The files in order, or None if the time ran out first; the next call goes on from there."""
+        end = None if seconds is None else clock() + seconds
+        for i, name in enumerate(self.names, 1):
+            if self.after is None or sort_key(name) > sort_key(self.after):
+                self.found.append(name)
+                if len(self.found) >= 2 * self.most:
+                    self.found = self._best()
+            if end is not None and i % self.STEP == 0 and clock() >= end:
+                return None
+        return _stat(self.path, sorted(self._best(), key=sort_key))
+
+
 def read_lines(file: str, start: int, end: int, tail: bool = False, chunk: int = CHUNK) -> Iterator[tuple[int, str]]:
     """(offset, line) of the lines that begin in [start, end); `tail`: one without a newline, too.
 
@@ -148,9 +180,12 @@ class BotLogReader(DataSourceReader):
         self.path = path
         self.chunk = int(options.get("chunkBytes", CHUNK))
         self.names = [n for n in options.get("names", "").split(",") if n]
+        self.ranges = json.loads(options.get("ranges", "null"))
         self.newest_tail = options.get("tail", "true").lower() == "true"
 
     def partitions(self) -> list[LogRange]:
+        if self.ranges is not None:  # name, start and end of whole lines
+            return [LogRange(self.path, name, a, min(end, a + SPLIT)) for name, start, end in self.ranges for a in range(start, end, SPLIT)]
         files = _stat(self.path, self.names or log_names(self.path))
         files.sort(key=lambda f: sort_key(f.name))
         return [LogRange(self.path, f.name, a, min(f.size, a + SPLIT), self.newest_tail) for f in files for a in range(0, f.size, SPLIT)]
@@ -165,8 +200,11 @@ class BotLogStreamReader(DataSourceStreamReader):
         self.chunk = int(options.get("chunkBytes", CHUNK))
         self.files = int(options.get("maxFiles", 64))
         self.bytes = int(options.get("maxBytesPerFile", 8 << 20))
-        if min(self.chunk, self.files, self.bytes) <= 0:
+        self.seconds = int(options.get("maxScanMs", 120_000)) / 1000
+        if min(self.chunk, self.files, self.bytes, self.seconds) <= 0:
             raise ValueError("limits must be positive")
+        #: A pass over the directory that ran out of time.
+        self.scan: Discovery | None = None
         #: What was planned last; unknown after a restart, when files are taken to their ends.
         self.known: dict | None = None
 
@@ -182,8 +220,15 @@ class BotLogStreamReader(DataSourceStreamReader):
         return before["pos"]
 
     def latestOffset(self) -> dict:
-        found = {}
-        for f in discover_recent(self.path, self.files):
+        self.scan = self.scan or Discovery(self.path, self.files, newest=True)
+        files = self.scan.advance(self.seconds)
+        # Until the pass has come to its end there is nothing new.
+        while files is None and self.known is None:
+            files = self.scan.advance(self.seconds)
+        if files is None:
+            return self.known
+        self.scan, found = None, {}
+        for f in files:
             file = os.path.join(self.path, f.name)
             start = self._from(self.known["files"].get(f.name), f.size, f.mtime_ms) if self.known else 0
             end = min(f.size, start + self.bytes) if self.known else f.size

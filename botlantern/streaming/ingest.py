@@ -8,6 +8,8 @@ is rebuilt at the end of a batch; if that fails its markers stay and the next ba
 from __future__ import annotations
 
 import datetime as dt
+import json
+import os
 import time
 from collections.abc import Callable
 
@@ -19,13 +21,17 @@ from .. import schemas
 from ..config import Config
 from ..operators.facts import add_counts
 from ..operators.rollup import Rollup
-from ..plans.parse import classified, events_of, open_lines, outcome_of, parse_logs
-from ..sources.logs import BotLogSource, discover_after
+from ..plans.parse import classified, events_of, on_disk, open_lines, outcome_of, parse_logs
+from ..sources.logs import BotLogSource, Discovery, LogFile, last_line_end, sort_key
+from ..sources.offsets import LogOffsets
 from ..sources.tables import Tables
 from .state import matched, records, said
 
 # Waits after failures, in ms; later ones stay at the last.
 BACKOFF_MS = (60_000, 300_000, 900_000, 3_600_000)
+#: Bytes that are looked at together for the end of a file's last line.
+TAIL_CHUNK = 64 << 10
+OPEN = "stream string, file string, offset long, value string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -41,7 +47,7 @@ class LiveIngest:
 
     def lines(self) -> DataFrame:
         c = self.config
-        options = {"maxFiles": c.max_recent_files, "maxBytesPerFile": c.max_bytes_per_file_per_cycle, "chunkBytes": c.log_read_chunk_bytes}
+        options = {"maxFiles": c.max_recent_files, "maxBytesPerFile": c.max_bytes_per_file_per_cycle, "chunkBytes": c.log_read_chunk_bytes, "maxScanMs": c.max_scan_duration_ms}
         return self.spark.readStream.format("botlog").options(**options).load(c.log_directory)
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
@@ -69,7 +75,9 @@ class LiveIngest:
         return self._start(processingTime=f"{self.config.log_watch_interval_ms} milliseconds")
 
     def run_once(self) -> StreamingQuery:
-        """Take what is there now, then end."""
+        """Take what is there now, then end; nothing if a query is running."""
+        if self.busy():
+            return self.query
         query = self._start(availableNow=True)
         query.awaitTermination()
         return query
@@ -85,8 +93,11 @@ class LiveIngest:
 class HistoryImport:
     """Reads older files in order, batch by batch, with its progress in the table log_import_state.
 
-    What a batch leaves open (calls, image requests, the last mention and command) is stored by the
-    name of its last file and goes in front of the next batch, so records don't depend on batches.
+    A batch takes whole files up to the first one whose last line has no end yet; of that one it takes
+    the whole lines, and the cursor stays before it, so the next batch goes on inside it. What a batch
+    leaves open (calls, image requests, the last mention and command, how far the last file was read)
+    is stored by the bytes read so far and goes in front of the next batch, so records don't depend on
+    batches. A batch that is repeated after a crash starts from the same state and writes the same.
     """
 
     KEY = "historical"
@@ -94,7 +105,10 @@ class HistoryImport:
     def __init__(self, spark: SparkSession, tables: Tables, config: Config, now: Callable[[], float] = time.time):
         self.spark, self.tables, self.config, self.now = spark, tables, config, now
         self.rollup = Rollup(tables)
+        self.offsets = LogOffsets(tables)
         self.running = False
+        #: A pass over the directory that ran out of time, and its cursor.
+        self.scan: tuple[str | None, Discovery] | None = None
         spark.dataSource.register(BotLogSource)
 
     def state(self) -> dict:
@@ -133,10 +147,38 @@ class HistoryImport:
         retry = self._at() + dt.timedelta(milliseconds=wait)
         return self.patch(status="failed", failedAt=self._at(), nextRetryAt=retry, consecutiveFailures=failures, lastError=str(error)[:1023])
 
+    def _cursor(self, state: dict) -> str | None:
+        names = [n for n in (state["cursorFileName"], self.first_cursor()) if n]
+        return max(names, key=sort_key, default=None)
+
+    def _files(self, cursor: str | None) -> list[LogFile] | None:
+        """The next files, or None if the pass over the directory ran out of time."""
+        if not self.scan or self.scan[0] != cursor:
+            self.scan = cursor, Discovery(self.config.log_directory, self.config.max_historical_files_per_batch, after=cursor)
+        try:
+            files = self.scan[1].advance(self.config.max_scan_duration_ms / 1000)
+        except Exception:
+            self.scan = None
+            raise
+        if files is not None:
+            self.scan = None
+        return files
+
+    def _ranges(self, files: list[LogFile], begun: dict[str, int]) -> list[tuple[LogFile, int, int]]:
+        """Whole lines (file, start, end) of the files up to the first that does not end with one."""
+        found = []
+        for f in files:
+            start = begun.get(f.name, 0)
+            start = start if start <= f.size else 0
+            found.append((f, start, last_line_end(os.path.join(self.config.log_directory, f.name), start, f.size, TAIL_CHUNK)))
+            if found[-1][2] < f.size:
+                break
+        return found
+
     def run_once(self) -> dict:
         """One batch of files; returns the state after it."""
         state = self.state()
-        if self.config.historical_import_mode == "disabled" or state["status"] in ("completed", "paused"):
+        if self.running or self.config.historical_import_mode == "disabled" or state["status"] in ("completed", "paused"):
             return state
         if state["status"] == "failed":
             if state["nextRetryAt"] and self._at() < state["nextRetryAt"]:
@@ -144,43 +186,68 @@ class HistoryImport:
             state = self.patch(status="running", lastError=None)
         self.running = True
         try:
-            cursor = state["cursorFileName"] or self.first_cursor()
-            files = discover_after(self.config.log_directory, cursor, self.config.max_historical_files_per_batch)
+            files = self._files(self._cursor(state))
             if state["status"] == "idle":
                 state = self.patch(status="running", startedAt=self._at())
+            if files is None:
+                return state
             if not files:
                 return self.patch(status="completed", completedAt=self._at())
-            counts = self.load([f.name for f in files], state["cursorFileName"])
+            done = state["processedBytes"] or 0
+            ranges = self._ranges(files, self._begun(done))
+            whole = [f for f, _, end in ranges if end >= f.size]
+            size = sum(end - start for _, start, end in ranges)
+            if not whole and not size:
+                return state  # the next file has no whole line yet
+            counts = self.load(ranges, done) if size else (0, 0)
             state = self.patch(
-                cursorFileName=files[-1].name, processedFiles_delta=len(files), processedBytes_delta=sum(f.size for f in files),
+                cursorFileName=whole[-1].name if whole else state["cursorFileName"], processedFiles_delta=len(whole), processedBytes_delta=size,
                 importedAiRecords_delta=counts[0], importedImageRecords_delta=counts[1], consecutiveFailures=0, failedAt=None, nextRetryAt=None, lastError=None,
-            )
-            self.tables.remove(self._open_path(cursor))
+            )
+            if size:
+                self.tables.remove(self._open_path(done))
+            if len(whole) < len(ranges):
+                f, _, end = ranges[-1]
+                self.offsets.update(f.name, f.size, end, f.mtime_ms)
             return state
         except Exception as error:
             return self._fail(error)
         finally:
             self.running = False
 
-    def _open_path(self, cursor: str | None) -> str:
-        return f"{self.tables.path('log_import_open')}/{cursor}"
-
-    def load(self, names: list[str], cursor: str | None = None) -> tuple[int, int]:
-        """Parse whole files as one batch, after what the batch up to `cursor` left open, and write their records; how many of each kind."""
-        lines = self.spark.read.format("botlog").option("names", ",".join(names)).load(self.config.log_directory)
-        if cursor and self.tables.exists(self._open_path(cursor)):
-            left = "stream string, file string, offset long, value string"
-            lines = lines.select("stream", "file", "offset", "value").unionByName(self.spark.read.schema(left).parquet(self._open_path(cursor)))
-        parsed = parse_logs(lines, self.config)
+    def _open_path(self, done: int) -> str:
+        return f"{self.tables.path('log_import_open')}/{done}"
+
+    def _open(self, done: int) -> DataFrame | None:
+        """What the batch that came to `done` bytes left open: lines, and a row without value for a file that is half read."""
+        path = self._open_path(done)
+        return self.spark.read.schema(OPEN).parquet(path) if done and self.tables.exists(path) else None
+
+    def _begun(self, done: int) -> dict[str, int]:
+        left = self._open(done)
+        return {r.file: r.offset for r in left.where("value is null").collect()} if left is not None else {}
+
+    def load(self, ranges: list[tuple[LogFile, int, int]], done: int = 0) -> tuple[int, int]:
+        """Parse lines (file, start, end) as one batch, after what the batch up to `done` bytes left open, and write their records; how many of each kind."""
+        parts = json.dumps([(f.name, start, end) for f, start, end in ranges])
+        lines = self.spark.read.format("botlog").option("ranges", parts).load(self.config.log_directory)
+        left = self._open(done)
+        if left is not None:
+            lines = lines.unionByName(left.where("value is not null"))
+        parsed = parse_logs(lines, self.config, keep=on_disk)
         ai, images = parsed.ai.persist(), parsed.images.persist()
         try:
             self.rollup.record(ai)
             self.tables.upsert_dated("image_generation", images)
             counts = ai.count(), images.count()
-            open_lines(parsed.known).coalesce(1).write.mode("overwrite").parquet(self._open_path(names[-1]))
+            still = open_lines(parsed.known)
+            last, _, end = ranges[-1]
+            if end < last.size:
+                still = still.unionByName(self.spark.createDataFrame([("", last.name, end, None)], OPEN))
+            still.coalesce(1).write.mode("overwrite").parquet(self._open_path(done + sum(e - s for _, s, e in ranges)))
         finally:
-            ai.unpersist()
-            images.unpersist()
+            for df in (ai, images, parsed.events):
+                df.unpersist()
         self.rollup.recompute()
         return counts
 

@@ -2,8 +2,9 @@
 
 Spark picks out what a line says (`said`); the state of a log stream then pairs starts with ends and
 attaches context across micro-batches. Rows of a key may come in several chunks and in any order, so
-they are sorted by file key and offset first. The state is one small JSON value a stream: the open
-calls and requests, the last model mention and the last command.
+they are sorted by file key and offset first. Chat calls are kept by stream and model; all else, which
+shares the last command and the last model mention, by stream. The state of a key is one small JSON
+value: open calls and requests, the last mention and the last command.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def said(events: DataFrame) -> DataFrame:
 
 
 class Matcher:
-    """The state of one stream; `step` takes a line and gives a row of RECORD or nothing."""
+    """The state of one key; `step` takes a line and gives a row of RECORD or nothing."""
 
     def __init__(self, state: dict | None = None):
         self.state = state or {"calls": {}, "asked": {}, "mention": None, "command": None}
@@ -125,7 +126,8 @@ class MatchLines(StatefulProcessor):
 
 def matched(rows: DataFrame) -> DataFrame:
     """Streaming rows of SAID to rows of RECORD."""
-    return rows.groupBy("stream").transformWithStateInPandas(MatchLines(), outputStructType=RECORD, outputMode="append", timeMode="none")
+    lane = F.when(F.col("kind").isin("start", "first", "finish", "empty", "failed"), F.col("key")).otherwise("")
+    return rows.withColumn("lane", lane).groupBy("stream", "lane").transformWithStateInPandas(MatchLines(), outputStructType=RECORD, outputMode="append", timeMode="none")
 
 
 def records(rows: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:

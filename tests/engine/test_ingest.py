@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from botlantern.config import Config
 from botlantern.operators.ai import model_daily
 from botlantern.operators.rollup import Rollup
+from botlantern.sources import tables as stored_tables
+from botlantern.sources.logs import Discovery, sort_key
+from botlantern.sources.offsets import LogOffsets
 from botlantern.sources.tables import Tables
 from botlantern.streaming.ingest import HistoryImport, LiveIngest, flush_counts, flushed_counts
 
@@ -144,16 +147,95 @@ def test_history_goes_through_its_states(spark, tables, tmp_path):
 
 def test_history_does_not_depend_on_batches(spark, tmp_path):
     folder, found = tmp_path / "logs", []
-    write_log(folder, random_log(9, 120), 20)
-    for size in (2, 500):
+    write_log(folder, random_log(9, 120), 40)
+    for size in (1, 500):
         own = Tables(spark, f"file://{tmp_path}/tables{size}")
         h = HistoryImport(spark, own, Config(log_directory=str(folder), historical_import_mode="full", max_historical_files_per_batch=size))
         for _ in range(9):
             if h.run_once()["status"] == "completed":
                 break
-        assert h.state()["status"] == "completed" and h.state()["processedFiles"] == 6
+        assert h.state()["status"] == "completed" and h.state()["processedFiles"] == 3
         found.append([sorted(map(str, own.read(n).collect())) for n in ("ai_request", "image_generation")])
     assert found[0] == found[1] and all(found[0])
+    want = simulate(random_log(9, 120))
+    assert stored(own) == (unique(want[0]), unique(want[1]))
+
+
+def test_history_stops_at_the_first_file_without_an_end(spark, tables, tmp_path):
+    lines, folder = random_log(5, 90), tmp_path / "logs"
+    write_log(folder, lines, 30)
+    half = folder / "2024-01-01-2.log"
+    whole = half.read_bytes()
+    cut = len(whole) // 2
+    half.write_bytes(whole[:cut])
+    h = HistoryImport(spark, tables, Config(log_directory=str(folder), historical_import_mode="full"))
+    first = h.run_once()
+    read = whole[:cut].rfind(b"\n") + 1
+    assert (first["status"], first["cursorFileName"], first["processedFiles"]) == ("running", "2024-01-01-1.log", 1)
+    offset = LogOffsets(tables).get(half.name)
+    assert (offset["lastOffset"], offset["size"]) == (read, cut) and LogOffsets(tables).get("2024-01-01-1.log") is None
+    # Nothing new: nothing changes.
+    assert h.run_once()["processedBytes"] == first["processedBytes"]
+    half.write_bytes(whole)
+    state = HistoryImport(spark, tables, h.config).run_once()
+    assert (state["cursorFileName"], state["processedFiles"]) == ("2024-01-01-3.log", 3)
+    assert state["processedBytes"] == sum(f.stat().st_size for f in folder.iterdir()) and h.run_once()["status"] == "completed"
+    want = simulate(lines)
+    assert stored(tables) == (unique(want[0]), unique(want[1]))
+
+
+def test_a_pass_over_the_directory_goes_on_where_its_time_ran_out(spark, tables, tmp_path):
+    names = [f"2024-01-{d:02}-{i}.log" for i in range(9, 0, -1) for d in range(1, 29)]
+    for n in names:
+        (tmp_path / n).write_text("x\n")
+    ticks = iter(range(10**6))
+    for newest in (False, True):
+        scan = Discovery(str(tmp_path), 5, after="2024-01-02-3.log", newest=newest, names=lambda _: names)
+        scan.STEP = 50
+        tries = 0
+        while (found := scan.advance(2, lambda: next(ticks))) is None:
+            tries += 1
+        order = sorted(names, key=sort_key)
+        later = order[order.index("2024-01-02-3.log") + 1 :]
+        assert tries and [f.name for f in found] == (later[-5:] if newest else later[:5])
+    h = HistoryImport(spark, tables, Config(log_directory=str(tmp_path), historical_import_mode="full", max_historical_files_per_batch=9))
+    h._files, real = lambda cursor: None, h._files
+    assert h.run_once()["status"] == "running" and h.run_once()["cursorFileName"] is None
+    h._files = real
+    assert h.run_once()["processedFiles"] == 9
+
+
+def test_offsets_of_files(spark, tables):
+    offsets = LogOffsets(tables)
+    assert offsets.get("a") is None and offsets.get_many([]) == {}
+    old = spark.createDataFrame([("a", 5, 3), ("b", 7, 7)], "fileName string, size long, lastOffset long").withColumn("updatedAt", F.current_timestamp())
+    tables.replace_small("log_offset_v2", old)
+    offsets.update("a", 9, 9, 1)
+    offsets.update("c", 1, 1, 2)
+    offsets.update("c", 4, 2, 3)
+    got = {k: (v["size"], v["lastOffset"], v["mtimeMs"]) for k, v in offsets.get_many(["a", "b", "c", "d"]).items()}
+    assert got == {"a": (9, 9, 1), "b": (7, 7, 0), "c": (4, 2, 3)}
+
+
+def test_a_busy_date_is_written_by_several_tasks(spark, tables, monkeypatch):
+    monkeypatch.setattr(stored_tables, "FILE_ROWS", 100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    r = Rollup(tables)
+    r.record(requests(spark, [(f"a{i}", 10, "p", "m", 1, True) for i in range(1000)] + [("b", 11, "p", "m", 1, True)]))
+    assert tables.read("ai_request").where("date = 10").select(F.input_file_name()).distinct().count() > 1
+    assert tables.read("ai_request").count() == 1001
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_one_live_query_at_a_time(spark, tables, tmp_path):
+    (tmp_path / "logs").mkdir()
+    live = LiveIngest(spark, tables, f"file://{tmp_path}/checkpoint", Config(log_directory=str(tmp_path / "logs")))
+    query = live.start()
+    try:
+        assert live.busy() and live.run_once() is query and live.start() is query
+    finally:
+        live.stop()
+    assert not live.busy()
 
 
 def test_history_waits_after_failures(spark, tables, tmp_path):

@@ -7,7 +7,7 @@ import random
 import pytest
 
 from botlantern.config import Config
-from botlantern.plans.parse import parse_logs, read_event
+from botlantern.plans.parse import on_disk, parse_logs, read_event
 from botlantern.sources.logs import BotLogSource, BotLogStreamReader, discover_after, discover_recent, last_line_end, read_lines, sort_key
 
 SCHEMA = "stream string, file string, offset long, value string"
@@ -20,8 +20,11 @@ def line(name, content, ts, **more):
 
 def parse(spark, lines, config=None, files=None):
     rows = [("s", (files or {}).get(i, "2024-01-01-1.log"), i, v) for i, v in enumerate(lines)]
-    p = parse_logs(spark.createDataFrame(rows, SCHEMA), config)
-    return p.ai.collect(), p.images.collect(), {r.outcome: r.lines for r in p.outcomes.collect()}
+    p = parse_logs(spark.createDataFrame(rows, SCHEMA), config, keep=on_disk)
+    try:
+        return p.ai.collect(), p.images.collect(), {r.outcome: r.lines for r in p.outcomes.collect()}
+    finally:
+        p.events.unpersist()
 
 
 CHAT = "[聊天模型] [gpt-4]"
