@@ -1,4 +1,8 @@
-"""The whole dashboard: every figure as a DataFrame, or all of them folded into one row."""
+"""The whole dashboard: every figure as a DataFrame, or all of them folded into one row.
+
+Figures of all periods come from one reduction: each fact table is read once, summed by day (or cut to
+the newest records that any figure shows) and stored; the figures read those small tables.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions import open_ended
+from ..sources.tables import shared_folder
 from . import ai, dashboard, images
 
+#: Newest AI requests that the ranking of users looks at.
+RANKED_REQUESTS = 5000
+
 
 @dataclass(frozen=True)
 class Inputs:
@@ -25,6 +34,30 @@ class Inputs:
     images: DataFrame
 
 
+def _stored(df: DataFrame, what: str) -> DataFrame:
+    path = shared_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def reduced(t: Inputs, as_of: int, config: Config) -> Inputs:
+    """The inputs as far as figures need them: facts by day, the newest requests, rows of the longest period."""
+    longest = max(*dashboard.PERIODS, config.recent_day_count)
+    recent = lambda df: df.where(open_ended(F.col("date"), as_of, longest))
+    # The newest requests of a shorter period are among the newest of the longest one.
+    requests = ai.newest(t.ai_requests.select("id", "timestamp", "date", "userId", "totalTokens"), as_of, longest, RANKED_REQUESTS)
+    return Inputs(
+        commands=_stored(recent(t.commands).groupBy("date", "userId", "name").agg(F.sum("count").alias("count")), "commands-by-day"),
+        messages=_stored(recent(t.messages).groupBy("date", "hour", "type").agg(F.sum("count").alias("count")), "messages-by-day"),
+        profiles=t.profiles,
+        users=t.users,
+        channels=t.channels,
+        ai_requests=_stored(requests, "newest-requests"),
+        ai_daily=_stored(recent(t.ai_daily), "daily"),
+        images=_stored(recent(t.images).select("date", "styleName", "commandName", "numImages", "success", "freeUsed", "purchasedUsed"), "recent-images"),
+    )
+
+
 def period_figures(t: Inputs, as_of: int, days: int) -> dict[str, DataFrame]:
     """The figures of one period."""
     return {
@@ -62,6 +95,7 @@ def cards(t: Inputs, as_of: int, config: Config) -> DataFrame:
 def figures(t: Inputs, as_of: int, config: Config | None = None) -> dict[str, DataFrame]:
     """All figures by name; those of periods as name_days."""
     config = config or Config()
+    t = reduced(t, as_of, config)
     found = {"cards": cards(t, as_of, config), "dau_history": dashboard.dau_history(t.commands, as_of, config.recent_day_count), "message_by_date": dashboard.message_by_date(t.messages, as_of)}
     for days in dashboard.PERIODS:
         found |= {f"{name}_{days}": df for name, df in period_figures(t, as_of, days).items()}

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..config import Config
 from ..functions import day_label, infer_provider_chat, infer_provider_model, infer_source, last_segment, log_file_key, strip_ansi, utf16_length
 from ..operators import ai, dashboard, facts, images, payload, rollup
+from ..sources.logs import BotLogSource
 from ..sources.tables import Tables, shared_folder
-from ..streaming.ingest import flush_counts, flushed_counts
+from ..streaming.ingest import HistoryImport, LiveIngest, flush_counts, flushed_counts
 from . import adapters as A
 from . import views
-from .parse import parse_logs
+from .parse import _typed, parse_logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = A.AS_OF
@@ -515,6 +520,109 @@ def _(spark, d):
     return _parsed(spark, d).images.select("id", F.col("userId").alias("user_id"), F.col("commandName").alias("command"), "platform")
 
 
+_OUTCOMES = " SELECT CASE WHEN bad THEN 'invalid' WHEN kind IN ('finish', 'empty', 'failed', 'usage') AND NOT (%s) THEN 'ai' WHEN kind IN ('ok', 'fail') THEN 'image' ELSE 'ignored' END AS outcome, count(*) AS lines FROM g GROUP BY 1"
+
+
+@query("f9_source_gate", _WITH + _LOG + _OUTCOMES % "kind <> 'usage'")
+def _(spark, d):
+    """Outcomes when one source is not tracked."""
+    return parse_logs(A.log_lines(spark, d), Config(tracked_sources={"yesimbot": False, "image-generator": True, "chat-luna": True})).outcomes
+
+
+@query("f12_heartbeats", _WITH + _LOG + _OUTCOMES % "kind IN ('finish', 'empty') AND pos % 5 = 0")
+def _(spark, d):
+    """Outcomes when every fifth chat line comes from the heartbeat's logger, which is skipped."""
+    value = F.when(F.col("offset") % 5 == 0, F.regexp_replace("value", r'^\{"name":"\[聊天模型\] [^"]*"', '{"name":"[心跳处理器] x"')).otherwise(F.col("value"))
+    return parse_logs(A.log_lines(spark, d).withColumn("value", value), Config()).outcomes
+
+
+@query("x10_adapter_mention", _SQL["j7_model_context"])
+def _(spark, d):
+    """Token usage after mentions of the other form, modelId=..."""
+    lines = A.log_lines(spark, d).withColumn("value", F.regexp_replace("value", "使用模型： ", "modelId="))
+    rows = parse_logs(lines, Config(), keep=_stored).ai.where("source = 'chatluna'")
+    return rows.select("id", F.unix_millis("timestamp").alias("ms"), F.col("modelId").alias("model"), "provider", F.col("promptTokens").alias("prompt"), F.col("completionTokens").alias("completion"), F.col("totalTokens").alias("total"))
+
+
+# --- log files ----------------------------------------------------------------------------
+
+
+def _log_folder(spark: SparkSession, d: str) -> str:
+    """The log lines as files in a folder that driver and executors share."""
+    folder = re.sub(r"^file:/*", "/", shared_folder(spark, "logs"))
+    os.makedirs(folder)
+
+    def write(lines: pd.DataFrame) -> pd.DataFrame:
+        name = lines["file"].iloc[0]
+        with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
+            f.writelines(v + "\n" for v in lines.sort_values("offset")["value"])
+        return pd.DataFrame({"file": [name], "lines": [len(lines)]})
+
+    A.log_lines(spark, d).groupBy("file").applyInPandas(write, "file string, lines long").agg(F.sum("lines")).collect()
+    return folder
+
+
+def _ingested(tables: Tables) -> DataFrame:
+    rows = tables.read("ai_request")
+    return rows.select("id", F.unix_millis("timestamp").alias("ms"), F.col("modelId").alias("model"), F.col("promptTokens").alias("prompt"), F.col("completionTokens").alias("completion"), F.col("firstTokenLatencyMs").alias("first_token"), "success")
+
+
+_INGESTED = f"SELECT id, ms, model, prompt, completion, first_token, success FROM ({_SQL['j8_chat_pairing']}) UNION SELECT id, ms, model, prompt, completion, NULL, true FROM ({_SQL['j7_model_context']})"
+
+
+@query(
+    "s10_log_source",
+    _WITH + _LOG + " SELECT (d::VARCHAR)[1:4] || '-' || (d::VARCHAR)[5:6] || '-' || (d::VARCHAR)[7:8] || '-' || seq || '.log' AS file, count(*) AS lines, count(*) FILTER (bad) AS bad, count(*) FILTER (odd) AS odd, 0::BIGINT AS first_offset FROM g GROUP BY ALL",
+)
+def _(spark, d):
+    """Lines of a directory of log files."""
+    spark.dataSource.register(BotLogSource)
+    lines = spark.read.format("botlog").load(_log_folder(spark, d))
+    return lines.groupBy("file").agg(F.count("*").alias("lines"), F.count_if(F.col("value") == "not-json").alias("bad"), F.count_if(F.col("value") == "[1]").alias("odd"), F.min("offset").alias("first_offset"))
+
+
+@query("t_live_ingest", _INGESTED)
+def _(spark, d):
+    """AI requests that the live stream stores from a directory of log files."""
+    tables = Tables(spark, shared_folder(spark, "live"))
+    LiveIngest(spark, tables, f"{tables.root}/checkpoint", Config(log_directory=_log_folder(spark, d), max_recent_files=1024)).run_once()
+    return _ingested(tables)
+
+
+@query("t_history_import", _INGESTED)
+def _(spark, d):
+    """AI requests that the historical import stores, in batches of files with what they leave open carried on."""
+    tables = Tables(spark, shared_folder(spark, "history"))
+    history = HistoryImport(spark, tables, Config(log_directory=_log_folder(spark, d), historical_import_mode="full", max_historical_files_per_batch=200))
+    while history.run_once()["status"] == "running":
+        pass
+    if history.state()["status"] != "completed":
+        raise RuntimeError(history.state()["lastError"])
+    return _ingested(tables)
+
+
+@query("t_rollup_of_stored_requests", _SQL["a15_model_daily"])
+def _(spark, d):
+    """The rollup after two batches of requests are stored, their dates marked and rebuilt."""
+    found = rollup.Rollup(Tables(spark, shared_folder(spark, "rollup")))
+    rows = _typed(A.ai_requests(spark, d), schemas.AI_REQUEST)
+    for part in ("hour < 12", "hour >= 12"):
+        found.record(rows.where(part))
+    found.recompute()
+    return found.tables.read("ai_model_daily")
+
+
+@query(
+    "a24_overview_by_period",
+    _WITH + _AIR + " " + " UNION ALL ".join(f"SELECT {p} AS period, sum(requestCount)::BIGINT AS total_requests, sum(totalTokens)::BIGINT AS total_tokens, (SELECT count(*) FROM (SELECT DISTINCT modelId, provider FROM daily WHERE {_open(p)})) AS models FROM daily WHERE {_open(p)}" for p in (7, 30, 90)),
+)
+def _(spark, d):
+    """Figures of the three periods from the dashboard's one reduction."""
+    found = payload.figures(_inputs(spark, d), AS_OF, Config())
+    rows = [found[f"ai_overview_{p}"].select(F.lit(p).alias("period"), "total_requests", "total_tokens").join(found[f"model_share_{p}"].agg(F.count("*").alias("models"))) for p in dashboard.PERIODS]  # one row each
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 # --- views --------------------------------------------------------------------------------
 
 

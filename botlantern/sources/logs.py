@@ -177,8 +177,9 @@ def _read(part: LogRange, chunk: int) -> Iterator[tuple]:
 
 class BotLogReader(DataSourceReader):
     def __init__(self, path: str, options: dict):
+        options = {k.lower(): v for k, v in options.items()}
         self.path = path
-        self.chunk = int(options.get("chunkBytes", CHUNK))
+        self.chunk = int(options.get("chunkbytes", CHUNK))
         self.names = [n for n in options.get("names", "").split(",") if n]
         self.ranges = json.loads(options.get("ranges", "null"))
         self.newest_tail = options.get("tail", "true").lower() == "true"
@@ -196,11 +197,12 @@ class BotLogReader(DataSourceReader):
 
 class BotLogStreamReader(DataSourceStreamReader):
     def __init__(self, path: str, options: dict):
+        options = {k.lower(): v for k, v in options.items()}
         self.path = path
-        self.chunk = int(options.get("chunkBytes", CHUNK))
-        self.files = int(options.get("maxFiles", 64))
-        self.bytes = int(options.get("maxBytesPerFile", 8 << 20))
-        self.seconds = int(options.get("maxScanMs", 120_000)) / 1000
+        self.chunk = int(options.get("chunkbytes", CHUNK))
+        self.files = int(options.get("maxfiles", 64))
+        self.bytes = int(options.get("maxbytesperfile", 8 << 20))
+        self.seconds = int(options.get("maxscanms", 120_000)) / 1000
         if min(self.chunk, self.files, self.bytes, self.seconds) <= 0:
             raise ValueError("limits must be positive")
         #: A pass over the directory that ran out of time.

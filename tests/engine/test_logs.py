@@ -210,3 +210,14 @@ def test_batch_source(spark, tmp_path):
     rows = spark.read.format("botlog").load(str(tmp_path)).collect()
     assert sorted((r.file, r.offset, r.value) for r in rows) == [("2024-01-01-1.log", 0, "a"), ("2024-01-01-1.log", 2, "b"), ("2024-01-01-1.log", 4, "end"), ("2024-01-01-2.log", 0, "c")]
     assert spark.read.format("botlog").option("names", "2024-01-01-2.log").load(str(tmp_path)).count() == 1
+
+
+def test_options_of_a_query_reach_the_source(spark, tmp_path):
+    """Spark hands options over in lower case."""
+    for i in range(1, 6):
+        (tmp_path / f"2024-01-01-{i}.log").write_text("x\n")
+    spark.dataSource.register(BotLogSource)
+    rows = spark.readStream.format("botlog").option("maxFiles", 3).load(str(tmp_path))
+    query = rows.writeStream.format("memory").queryName("three_files").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.file for r in spark.table("three_files").collect()) == [f"2024-01-01-{i}.log" for i in (3, 4, 5)]
