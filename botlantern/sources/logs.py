@@ -28,6 +28,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 _NAME = re.compile(r"(\d{4})-(\d{2})-(\d{2})-(\d+)\.log")
 #: Bytes that one task reads of a large file.
 SPLIT = 64 << 20
+#: Bytes up to which one task reads several small files.
+PACK = 1 << 20
 CHUNK = 1 << 20
 
 SortKey = tuple[int, int, str]
@@ -162,17 +164,32 @@ def last_line_end(file: str, start: int, end: int, chunk: int = CHUNK) -> int:
 
 
 @dataclass
-class LogRange(InputPartition):
+class LogRanges(InputPartition):
+    """Ranges (name, start, end) of files of one directory."""
+
     stream: str
-    name: str
-    start: int
-    end: int
+    ranges: list[tuple[str, int, int]]
     tail: bool = False
 
 
-def _read(part: LogRange, chunk: int) -> Iterator[tuple]:
-    for offset, line in read_lines(os.path.join(part.stream, part.name), part.start, part.end, part.tail, chunk):
-        yield part.stream, part.name, offset, line
+def _packed(stream: str, ranges: Iterable[tuple[str, int, int]], tail: bool = False) -> list[LogRanges]:
+    """Tasks for ranges of files: large ones are split, small ones share a task."""
+    parts, size = [], PACK
+    for name, start, end in ranges:
+        for a in range(start, end, SPLIT):
+            b = min(end, a + SPLIT)
+            if size + b - a > PACK:
+                parts.append(LogRanges(stream, [], tail))
+                size = 0
+            parts[-1].ranges.append((name, a, b))
+            size += b - a
+    return parts
+
+
+def _read(part: LogRanges, chunk: int) -> Iterator[tuple]:
+    for name, start, end in part.ranges:
+        for offset, line in read_lines(os.path.join(part.stream, name), start, end, part.tail, chunk):
+            yield part.stream, name, offset, line
 
 
 class BotLogReader(DataSourceReader):
@@ -184,14 +201,14 @@ class BotLogReader(DataSourceReader):
         self.ranges = json.loads(options.get("ranges", "null"))
         self.newest_tail = options.get("tail", "true").lower() == "true"
 
-    def partitions(self) -> list[LogRange]:
+    def partitions(self) -> list[LogRanges]:
         if self.ranges is not None:  # name, start and end of whole lines
-            return [LogRange(self.path, name, a, min(end, a + SPLIT)) for name, start, end in self.ranges for a in range(start, end, SPLIT)]
+            return _packed(self.path, self.ranges)
         files = _stat(self.path, self.names or log_names(self.path))
         files.sort(key=lambda f: sort_key(f.name))
-        return [LogRange(self.path, f.name, a, min(f.size, a + SPLIT), self.newest_tail) for f in files for a in range(0, f.size, SPLIT)]
+        return _packed(self.path, [(f.name, 0, f.size) for f in files], self.newest_tail)
 
-    def read(self, partition: LogRange) -> Iterator[tuple]:
+    def read(self, partition: LogRanges) -> Iterator[tuple]:
         return _read(partition, self.chunk)
 
 
@@ -242,16 +259,16 @@ class BotLogStreamReader(DataSourceStreamReader):
         self.known = {"files": found}
         return self.known
 
-    def partitions(self, start: dict, end: dict) -> list[LogRange]:
+    def partitions(self, start: dict, end: dict) -> list[LogRanges]:
         parts = []
         for name, to in sorted(end["files"].items(), key=lambda x: sort_key(x[0])):
             begin = self._from(start["files"].get(name), to["size"], to["mtime"])
             if begin > to["pos"]:
                 begin = 0
-            parts += [LogRange(self.path, name, a, min(to["pos"], a + SPLIT)) for a in range(begin, to["pos"], SPLIT)]
-        return parts
+            parts.append((name, begin, to["pos"]))
+        return _packed(self.path, parts)
 
-    def read(self, partition: LogRange) -> Iterator[tuple]:
+    def read(self, partition: LogRanges) -> Iterator[tuple]:
         return _read(partition, self.chunk)
 
 
