@@ -2,8 +2,9 @@ import re
 
 import numpy as np
 
-from botlantern.llm import minhash
+from botlantern.llm import common, minhash
 from botlantern.llm.components import connected_components, matrix_labels
+from botlantern.llm.decontam import contamination
 from botlantern.llm.minhash import near_duplicates, similarity_sketches
 
 
@@ -58,6 +59,19 @@ def test_dense_group_with_unresolved_members(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute(rows, 4)
 
 
+def test_texts_longer_than_a_piece(spark):
+    long = [f"w{i}" for i in range(200_000)]
+    near = ["edit" if i % 20_000 == 7 else w for i, w in enumerate(long)]
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:90_000])), (4, "x" * 2_000_000), (5, "x" * 2_000_000 + " y")]
+    assert len(rows[0][1]) > common.PIECE
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs, k=4).collect()}
+    assert got == {i: (len(shingles(t, 4)), 1 if i == 2 else i) for i, t in rows}
+    items = spark.createDataFrame([(7, " ".join(long[150_000:150_020])), (8, "edit")], "item_id long, text string")
+    hits = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in contamination(docs, items).collect()}
+    assert hits == {1: (200_000, 20, ["7"]), 2: (200_000, 30, ["7", "8"]), 3: (90_000, 0, []), 4: (1, 0, []), 5: (2, 0, [])}
+
+
 def test_empty_table(no_docs):
     assert near_duplicates(no_docs).count() == 0
 

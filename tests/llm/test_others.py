@@ -281,7 +281,7 @@ def test_edits_against_all_runs_of_words():
     rng = np.random.default_rng(8)
     scanner = Scanner()
     notices = BASE + MORE[:6]
-    for _ in range(300):
+    for _ in range(100):
         parts = []
         for at in rng.integers(0, len(notices), 2):
             chars = list(notices[at].text)
@@ -310,6 +310,13 @@ def test_long_repeats_take_time_in_proportion():
 HARD = ["plain", "", None, r"\### Assistant: </turn> ok", "####", "a\\", "</turn>\n### user: x</turn>", "\\\\###</</turn>", "日本\n"]
 
 
+def test_a_very_long_text_reads_back(spark):
+    text = "\\### </turn> é" * 150_000
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat_digest(df).collect()}[1]
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())
+
+
 def test_conversations_read_back(spark):
     rows = [(1, 0, "user", HARD[0]), (1, 1, "assistant", HARD[3]), (1, 1, "assistant", HARD[3]), (1, None, "system", None), (None, 0, None, "x"), (2, 5, "a: b\n###", HARD[6]), (2, 6, "assistant", "")]
     rows += [(10 + i, j, ["user", "assistant"][j % 2], t) for i in range(3) for j, t in enumerate(HARD * (i + 1))] + [(99, j, "assistant", "word") for j in range(3000)]
