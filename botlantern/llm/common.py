@@ -56,10 +56,20 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return path
 
 
-def clean(spark: SparkSession) -> None:
-    """Remove the tables that this process has written to the shared folder; results read from them end."""
-    while _NAMED:
-        remove_folder(spark, _NAMED.pop())
+def named() -> int:
+    """How many folders this process has named so far."""
+    return len(_NAMED)
+
+
+def clean(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Remove the tables that this process has written to the shared folder, but `since` earlier ones and `keep`.
+
+    Results read from them end.
+    """
+    gone = [path for path in _NAMED[since:] if path != keep]
+    _NAMED[since:] = [path for path in _NAMED[since:] if path == keep]
+    for path in gone:
+        remove_folder(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
