@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from botlantern.llm.common import bit_filter, passing, read_table, shared_folder, small_batches, stored
+from botlantern.llm.common import bit_filter, clean, named, passing, read_table, shared_folder, small_batches, stored
 from botlantern.llm.decontam import contamination
 from botlantern.llm.language import fit, has_letter, predicted
 from botlantern.llm.minhash import surplus
@@ -86,10 +86,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, begun = read_table(spark, sf_dir, "documents"), named()
     for name, stage in STAGES:
         made = stage(spark, docs, sf_dir)
         path = shared_folder(spark, f"pipeline-{name}")
         made.write.parquet(path)
         docs = spark.read.schema(made.schema).parquet(path)
+        clean(spark, begun, keep=path)  # what the stage has read and stored
     return docs
