@@ -3,10 +3,10 @@
 A text is lower-cased (A-Z) and written as its words with one space between. A notice that may bear
 k edits is cut into k + 1 seeds: whatever k edits do, one seed stays as it is. Seeds are found
 exactly; a match that has the seed starts at most k bytes from where the seed would have it. From
-each word start there the edit distance to the notice is computed at each word's end in reach
-(bit-parallel, one step a byte); at most k edits match. The notice's telling words, those that set it
-apart from other notices, must stand in a match: a short one as it is, one of five letters or more with
-one edit at most. What shares words with a match of fewer edits (or as many, further left) is not
+each word start there to each word's end in reach the regex library matches the whole stretch with at
+most k errors and tells how many (anchored at both ends, so that no match hides another). The notice's
+telling words, those that set it apart from other notices, must stand in a match: a short one as it is,
+one of five letters or more with one edit at most. What shares words with a match of fewer edits (or as many, further left) is not
 reported. A match without edits is exact; one with edits has a score of 1 - edits / length.
 
 The base notices are a fixed part of the dictionary; their exact places are counted apart. Every text
@@ -25,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,10 +95,7 @@ class Phrase:
         self.signs = [(b" " + w + b" ",) if len(w) < LONG_WORD else (w[: len(w) // 2], w[len(w) // 2 :]) for w in self.telling]
         fixed = all(len(w) < LONG_WORD and w in self.telling for w in self.text.split())
         self.edits = 0 if fixed else len(self.text) // chars_per_edit
-        #: For each byte, the places of the phrase where it stands, as bits.
-        self.places = [0] * 256
-        for i, byte in enumerate(self.text):
-            self.places[byte] |= 1 << i
+        self.pattern = regex.compile(b"(?b)(?:%b){e<=%d}" % (regex.escape(self.text), self.edits))
         self.exact = b" " + self.text + b" "
         bounds = np.linspace(0, len(self.text), self.edits + 2).astype(int).tolist()
         self.seeds = [(a, self.text[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)] if self.edits else []
@@ -117,19 +115,13 @@ class Phrase:
         return sorted(found)
 
     def ends(self, text: bytes, start: int) -> Iterator[tuple[int, int]]:
-        """(end, edits) of the matches from `start` to a word's end: Myers' columns of the edit distance."""
+        """(end, edits) of the matches from `start` to a word's end."""
         size = len(self.text)
-        every, last = (1 << size) - 1, 1 << (size - 1)
-        up, down, edits = every, 0, size
-        for end in range(start, min(len(text) - 1, start + size + self.edits)):
-            same = self.places[text[end]]
-            diagonal = (((same & up) + up) ^ up) | same | down
-            more, less = down | ~(diagonal | up), up & diagonal
-            edits += bool(more & last) - bool(less & last)
-            more, less = (more << 1) | 1, less << 1
-            up, down = (less | ~(diagonal | more)) & every, more & diagonal & every
-            if edits <= self.edits and text[end + 1] == 0x20:
-                yield end + 1, edits
+        end = text.find(b" ", start + size - self.edits, start + size + self.edits + 1)
+        while end >= 0:
+            if self.tells(text[start:end]) and (m := self.pattern.fullmatch(text, start, end)):
+                yield end, sum(m.fuzzy_counts)
+            end = text.find(b" ", end + 1, start + size + self.edits + 1)
 
     def tells(self, matched: bytes) -> bool:
         words = matched.split(b" ")
@@ -153,7 +145,7 @@ class Phrase:
                 continue
             reach = text[start - 1 : start + len(self.text) + self.edits + 1]
             if all(any(sign in reach for sign in either) for either in self.signs):
-                near.extend((edits, start, end) for end, edits in self.ends(text, start) if self.tells(text[start:end]))
+                near.extend((edits, start, end) for end, edits in self.ends(text, start))
         for edits, start, end in sorted(near):
             i = bisect_left(starts, end)
             if not (i and ends[i - 1] > start):
