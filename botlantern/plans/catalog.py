@@ -679,6 +679,28 @@ def _(spark, d):
     return views.failure_percent(ai.failure_rate(_daily(spark, d), AS_OF, DAYS))
 
 
+@query("v5_failure_ratio", _WITH + _AIR + f" SELECT model_id, round(fail_rate, 4) AS ratio FROM ({_FAIL})")
+def _(spark, d):
+    return views.failure_ratio(ai.failure_rate(_daily(spark, d), AS_OF, DAYS))
+
+
+@query("d7_hour_tips", _WITH + _MSG + f""" SELECT h.hour || ':00-' || (h.hour + 1) || ':00' AS label, round(coalesce(n, 0)::DOUBLE / {DAYS}, 1) AS value FROM (SELECT unnest(range(0, 24)) AS hour) h
+LEFT JOIN (SELECT hour, sum(count) AS n FROM msg WHERE type = 'receive' AND {_past(DAYS)} GROUP BY hour) y USING (hour)""")
+def _(spark, d):
+    return views.hour_tips(dashboard.message_by_hour(A.message_events(spark, d), AS_OF, DAYS), "receive")
+
+
+@query("d7_history_tips", f"SELECT label, value, '星期' || substr('日一二三四五六', dayofweek(label::DATE)::INT + 1, 1) AS weekday FROM ({_SQL['v3_history_line']})")
+def _(spark, d):
+    return views.history_tips(views.history_line(dashboard.message_by_date(A.message_events(spark, d), AS_OF, 90), AS_OF, "send", 30))
+
+
+@query("v10_host_cards", _WITH + _CMD + f" SELECT user_count, user_increment, guild_count, guild_increment, round(recent_dau, 1) AS recent_dau, (SELECT sum(dau)::BIGINT FROM ({_DAU}) WHERE days_ago = 0) AS dau_today FROM ({_SQL['api_dashboard_cards']})")
+def _(spark, d):
+    inputs = _inputs(spark, d)
+    return views.host_cards(payload.cards(inputs, AS_OF, Config()), dashboard.dau_history(inputs.commands, AS_OF, 90))
+
+
 @query("v9_style_bars", _WITH + _IMG + f" SELECT style_name, total_images AS value FROM ({_STYLE})")
 def _(spark, d):
     return views.bars(images.style_rank(A.images(spark, d), AS_OF, DAYS), "style_name", "total_images")

@@ -38,6 +38,32 @@ def failure_percent(rates: DataFrame) -> DataFrame:
     return rates.select("model_id", F.round(F.col("fail_rate") * 100, 2).alias("percent")).orderBy("percent", "model_id")
 
 
+def failure_ratio(rates: DataFrame) -> DataFrame:
+    """Shares from 0 to 1, the largest first."""
+    return rates.select("model_id", F.round("fail_rate", 4).alias("ratio")).orderBy(F.desc("ratio"), "model_id")
+
+
+# Weekdays from Sunday on, and what stands before them.
+WEEK, WEEKDAY = "日一二三四五六", "星期"
+
+
+def hour_tips(by_hour: DataFrame, tab: str) -> DataFrame:
+    """The span of each hour and its messages a day."""
+    span = F.concat(F.col("hour"), F.lit(":00-"), F.col("hour") + 1, F.lit(":00"))
+    return by_hour.orderBy("hour").select(span.alias("label"), F.round(tab, 1).alias("value"))
+
+
+def history_tips(line: DataFrame) -> DataFrame:
+    """Points of a history line with their weekday's name."""
+    return line.withColumn("weekday", F.concat(F.lit(WEEKDAY), F.substring(F.lit(WEEK), F.dayofweek(F.to_date("label")), F.lit(1))))
+
+
+def host_cards(cards: DataFrame, history: DataFrame) -> DataFrame:
+    """Users, guilds and daily users; `history` has one row for today (days_ago 0)."""
+    today = history.where("days_ago = 0").agg(F.sum("dau").alias("dau_today"))
+    return cards.select("user_count", "user_increment", "guild_count", "guild_increment", F.round("recent_dau", 1).alias("recent_dau")).join(today)  # one row each
+
+
 def model_pie(share: DataFrame) -> DataFrame:
     return share.select(F.concat_ws("/", F.nullif("provider", F.lit("")), "model_id").alias("name"), F.col("token_count").alias("value")).orderBy(F.desc("value"), "name")
 
