@@ -10,9 +10,10 @@ passages give equal chunks wherever they stand. The store is four Parquet folder
     manifest   one row: format, width, documents, ids, chunks, root
 
 A root is a Merkle root: of a document over its chunks, of a shard over its documents, of the
-store over its shards. Reading joins recipes with chunks, checks every chunk's digest and every
-document's root, and puts each document's ids together again; verifying does the same with
-checksums in place of the ids.
+store over its shards. Reading first makes the shards' roots and sums anew from the recipes and holds
+them against those stored and against the manifest; then it joins recipes with chunks, checks every
+chunk's digest and every document's root, and puts each document's ids together again; verifying does
+the same with checksums in place of the ids. What is missing or altered is an error.
 
 Order and positions: recipes are range-partitioned by (doc_id, text_key); a shard is one range, so
 positions need one running sum over the shards (as many rows as partitions) and one inside each.
@@ -164,19 +165,39 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte_le
     ranged.select(F.spark_partition_id().alias("shard"), F.monotonically_increasing_id().alias("row"), "*").write.option("compression", "zstd").parquet(f"{path}/recipes")
     remove_folder(spark, made)
 
-    kept = spark.read.parquet(f"{path}/recipes").select("shard", "row", "n_tokens", "root")
-    shards = kept.repartition("shard").sortWithinPartitions("shard", "row").mapInPandas(_roots, "shard int, documents long, ids long, root binary")
+    shards = _shards(spark, path)
     # As many rows as partitions.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
     shards.write.parquet(f"{path}/shards")
-    rows = sorted(spark.read.parquet(f"{path}/shards").select("shard", "documents", "ids", "root").collect())
+    rows = _shard_rows(spark.read.parquet(f"{path}/shards"))
     n = spark.read.parquet(f"{path}/chunks").count()
     manifest = [("token-store-1", 4, sum(r[1] for r in rows), sum(r[2] for r in rows), n, bytearray(merkle_root([bytes(r[3]) for r in rows])))]
     spark.createDataFrame(manifest, "format string, width int, documents long, ids long, chunks long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
 
 
-def _unpacked(n: int, ids: bytes, key: bytes, unpress: zstandard.ZstdDecompressor) -> bytes:
+def _shards(spark: SparkSession, path: str) -> DataFrame:
+    """shard, documents, ids and root of each shard, from the recipes."""
+    kept = spark.read.parquet(f"{path}/recipes").select("shard", "row", "n_tokens", "root")
+    return kept.repartition("shard").sortWithinPartitions("shard", "row").mapInPandas(_roots, "shard int, documents long, ids long, root binary")
+
+
+def _shard_rows(shards: DataFrame) -> list[tuple[int, int, int, bytes]]:
+    """As many rows as partitions."""
+    return sorted((r["shard"], r["documents"], r["ids"], bytes(r["root"])) for r in shards.select("shard", "documents", "ids", "root").collect())
+
+
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """An error unless recipes, shards and manifest agree."""
+    made, manifest = _shard_rows(_shards(spark, path)), spark.read.parquet(f"{path}/manifest").first()
+    same = made == _shard_rows(spark.read.parquet(f"{path}/shards")) and merkle_root([r[3] for r in made]) == bytes(manifest["root"])
+    if not same or (sum(r[1] for r in made), sum(r[2] for r in made)) != (manifest["documents"], manifest["ids"]):
+        raise ValueError("recipes, shards and manifest do not agree")
+
+
+def _unpacked(n: int, ids: bytes | None, key: bytes, unpress: zstandard.ZstdDecompressor) -> bytes:
+    if ids is None:
+        raise ValueError("a chunk is missing")
     data = unpress.decompress(ids)
     raw = data if len(data) == 4 * n else np.frombuffer(data, dtype="<u2").astype("<u4").tobytes()
     if digest(raw) != bytes(key):
@@ -214,7 +235,8 @@ def _assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """The documents of a store: doc_id, start, n_tokens, ids (little-endian uint32), verified."""
     small_batches(spark)
-    used = _used(spark, path).join(spark.read.parquet(f"{path}/chunks"), "key")
+    check_manifest(spark, path)
+    used = _used(spark, path).join(spark.read.parquet(f"{path}/chunks"), "key", "left")
     parts = used.groupBy("row").agg(F.collect_list(F.struct("pos", "n", "key", "ids")).alias("parts"))
     # Doc ids may be null, which pandas would turn into floats.
     rows = _placed(spark, path).join(parts, "row").select(F.col("doc_id").cast("string").alias("doc_id"), "start", "n_tokens", "root", "parts")
@@ -271,6 +293,8 @@ def _document_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for lo, hi, root in zip(bounds, bounds[1:], batch.column(3).to_pylist(), strict=False):
             order = sorted(range(lo, hi), key=pos.__getitem__)
             crc = 0
+            if any(crcs[i] is None for i in order):
+                raise ValueError("a chunk is missing")
             for i in order:
                 crc = (_times(_shift(4 * n[i], known), crc) if crc else 0) ^ crcs[i]
             if merkle_root([keys[i] for i in order]) != root:
@@ -286,8 +310,9 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
     that use it, so the ids themselves are not shuffled.
     """
     small_batches(spark)
+    check_manifest(spark, path)
     sums = spark.read.parquet(f"{path}/chunks").select("key", "n", "ids").mapInArrow(_chunk_sums, "key binary, n long, crc long")
-    parts = _used(spark, path).join(sums, "key").groupBy("row").agg(F.collect_list(F.struct("pos", "n", "key", "crc")).alias("parts"))
+    parts = _used(spark, path).join(sums, "key", "left").groupBy("row").agg(F.collect_list(F.struct("pos", "n", "key", "crc")).alias("parts"))
     rows = _placed(spark, path).join(parts, "row").select("doc_id", "start", "n_tokens", "root", "parts")
     return rows.mapInArrow(_document_sums, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -137,6 +137,22 @@ def test_a_changed_chunk_is_found(spark, docs, tmp_path):
             check(spark, path).collect()
 
 
+def test_missing_parts_are_found(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/store"
+    write_store(docs.where("doc_id < 5"), path, tokenizer_path("byte_bpe_50k.json"))
+    chunks = spark.read.parquet(f"{path}/chunks").select("key", "n", "ids").collect()
+    spark.createDataFrame([tuple(c) for c in chunks[1:]], "key binary, n long, ids binary").write.mode("overwrite").parquet(f"{path}/chunks")
+    for check in (verify_store, read_store):
+        with pytest.raises(Exception, match="a chunk is missing"):
+            check(spark, path).collect()
+    recipes = spark.read.parquet(f"{path}/recipes")
+    rows, schema = recipes.collect(), recipes.schema
+    for left in (rows[1:], [rows[0], *rows[:-1]]):
+        spark.createDataFrame(left, schema).write.mode("overwrite").parquet(f"{path}/recipes")
+        with pytest.raises(ValueError, match="do not agree"):
+            verify_store(spark, path)
+
+
 def test_store_of_an_empty_table(no_docs):
     assert token_digest(no_docs).count() == 0
 
