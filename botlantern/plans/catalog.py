@@ -452,7 +452,7 @@ def _(spark, d):
 def _stored(events: DataFrame) -> DataFrame:
     """Events as a table in the shared folder, from which a query's branches read."""
     path = shared_folder(events.sparkSession, "events")
-    events.where("kind is not null").write.parquet(path)
+    events.write.parquet(path)
     return events.sparkSession.read.schema(events.schema).parquet(path)
 
 
