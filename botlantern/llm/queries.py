@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, embeddings, extraction, language, licenses, minhash, packing, sharding, token_store
+from . import chat, decontam, embeddings, extraction, filter_audit, language, licenses, minhash, packing, sharding, token_store
 from .common import read_table
 
 
@@ -50,6 +50,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(read_table(spark, sf_dir, "conversations"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_license_scan": op9_license_scan,
         "op10_chat_format": op10_chat_format,
+        "op11_filter_audit": op11_filter_audit,
     }
 
 
@@ -71,4 +76,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_minhash_dedup": minhash.SQL,
         "op6_embedding_dedup": embeddings.SQL,
         "op10_chat_format": chat.SQL,
+        "op11_filter_audit": filter_audit.SQL,
     }
