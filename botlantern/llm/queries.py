@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, embeddings, extraction, filter_audit, language, licenses, minhash, packing, sharding, token_store
+from . import chat, decontam, embeddings, extraction, filter_audit, language, licenses, minhash, packing, secrets, sharding, token_store, whitening
 from .common import read_table
 
 
@@ -54,6 +54,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_digest(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -67,6 +75,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_license_scan": op9_license_scan,
         "op10_chat_format": op10_chat_format,
         "op11_filter_audit": op11_filter_audit,
+        "op12_secret_scan": op12_secret_scan,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 
@@ -77,4 +87,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_embedding_dedup": embeddings.SQL,
         "op10_chat_format": chat.SQL,
         "op11_filter_audit": filter_audit.SQL,
+        "op12_secret_scan": secrets.SQL,
     }
