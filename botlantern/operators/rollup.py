@@ -1,8 +1,9 @@
 """The daily rollup of AI requests, rebuilt for the dates that new records touched.
 
-`rebuilt` is the plan: one job over all dirty dates. `Rollup` keeps it on stored tables: raw records,
-then dirty markers are written; the markers go only after their dates are rebuilt, so a crash at any
-point is mended by the next run. Repeating a batch changes nothing.
+`rebuilt` is the plan: one job over all dirty dates. `Rollup` keeps it on stored tables: records and the
+markers of their dates are one commit; markers go only after their dates are rebuilt from records that
+were there when the markers were, so a crash at any point is mended by the next run, and dates that
+another writer marks meanwhile stay marked. Repeating a batch changes nothing.
 """
 
 from __future__ import annotations
@@ -43,36 +44,49 @@ class Rollup:
         self.tables = tables
 
     def record(self, requests: DataFrame) -> list[int]:
-        """Write raw records, then mark their dates."""
-        dates = self.tables.upsert_dated("ai_request", normalised(requests))
-        if dates:
-            self.mark(dates)
+        """Write raw records and mark their dates."""
+        return self.tables.commit(lambda change: self.add(change, requests))
+
+    @staticmethod
+    def add(change, requests: DataFrame) -> list[int]:
+        """Raw records and the marks of their dates as part of a commit."""
+        dates = change.upsert("ai_request", normalised(requests))
+        change.mark(dates)
         return dates
 
     def mark(self, dates: list[int]) -> None:
-        rows = self.tables.spark.createDataFrame([(d,) for d in dates], "date int").withColumn("updatedAt", F.current_timestamp())
-        self.tables.upsert_small("ai_daily_dirty", rows)
+        self.tables.commit(lambda change: change.mark(dates))
 
     def pending(self) -> list[int]:
-        return sorted(r[0] for r in self.tables.read("ai_daily_dirty").select("date").collect())
+        return sorted(int(d) for d in self.tables.state().dirty)
 
     def has_pending_dates(self) -> bool:
         return bool(self.pending())
 
-    def clear(self, dates: list[int]) -> None:
+    def clear(self, dates: list[int], at: int | None = None) -> None:
+        """Unmark dates, but those that were marked after a commit."""
         if dates:
-            self.tables.replace_small("ai_daily_dirty", self.tables.read("ai_daily_dirty").where(~F.col("date").isin(dates)))
+            self.tables.commit(lambda change: change.clear(dates, at))
 
     def rebuild(self, dates: list[int]) -> int:
-        """Make the rollup of dates anew, in one job."""
-        requests = self.tables.read("ai_request").where(F.col("date").isin(dates))
-        return self.tables.replace_dates("ai_model_daily", model_daily(requests), dates)
+        """Make the rollup of dates anew, in one job; once more if another writer has rebuilt one of them meanwhile."""
+
+        def work(change) -> int:
+            requests = change.read("ai_request").where(F.col("date").isin(dates))
+            rows = model_daily(requests).persist()
+            try:
+                return change.replace("ai_model_daily", rows, dates)
+            finally:
+                rows.unpersist()
+
+        return self.tables.commit(work)
 
     def recompute(self) -> RecomputeSummary:
         """Rebuild all dirty dates; if that fails, each by itself, so that one bad date stops no other."""
         summary = RecomputeSummary()
         try:
-            todo = self.pending()
+            state = self.tables.state()
+            at, todo = state.version, sorted(int(d) for d in state.dirty)
         except Exception:
             summary.pending_state_unknown = True
             return summary
@@ -90,7 +104,7 @@ class Rollup:
                     summary.failed_dates.append(date)
         summary.dates = done
         try:
-            self.clear(done)
+            self.clear(done, at)
             summary.pending_after = self.pending()
         except Exception:
             # Dates that could not be cleared count as pending.

@@ -585,7 +585,7 @@ def _(spark, d):
 def _(spark, d):
     """AI requests that the live stream stores from a directory of log files."""
     tables = Tables(spark, shared_folder(spark, "live"))
-    LiveIngest(spark, tables, f"{tables.root}/checkpoint", Config(log_directory=_log_folder(spark, d), max_recent_files=1024)).run_once()
+    LiveIngest(spark, tables, f"{tables.root}/checkpoint", Config(log_directory=_log_folder(spark, d), max_recent_files=1024, log_read_batch_lines=50_000)).drain()
     return _ingested(tables)
 
 
@@ -593,7 +593,7 @@ def _(spark, d):
 def _(spark, d):
     """AI requests that the historical import stores, in batches of files with what they leave open carried on."""
     tables = Tables(spark, shared_folder(spark, "history"))
-    history = HistoryImport(spark, tables, Config(log_directory=_log_folder(spark, d), historical_import_mode="full", max_historical_files_per_batch=200))
+    history = HistoryImport(spark, tables, Config(log_directory=_log_folder(spark, d), historical_import_mode="full", max_historical_files_per_batch=200, log_read_batch_lines=50_000))
     while history.run_once()["status"] == "running":
         pass
     if history.state()["status"] != "completed":

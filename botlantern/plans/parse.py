@@ -15,15 +15,12 @@ Only lines that matter to a step go through it, so windows see a small part of t
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schemas
 from ..config import Config
@@ -58,37 +55,34 @@ class ParsedLogs:
     ai: DataFrame
     images: DataFrame
     outcomes: DataFrame
-    #: Events that say something to a parser.
+    #: Events that say something to a parser; kept ones are the caller's to unpersist.
     known: DataFrame
-    #: All classified events; kept ones are the caller's to unpersist.
-    events: DataFrame
 
 
-def _reject(constant: str):
-    raise ValueError(constant)
+def _once(value: Column) -> Column:
+    """A column that is computed in a step of its own: filters and other columns that use it don't repeat it."""
+    return F.explode_outer(F.array(value))
 
 
-def read_event(line: str | None) -> tuple[str, str | None, str | None, float | None]:
-    """(status, name, content, timestamp): invalid is no JSON; other is no object; else object."""
-    try:
-        found = json.loads(line or "", parse_constant=_reject)
-    except (ValueError, RecursionError):
-        return "invalid", None, None, None
-    if not isinstance(found, dict):
-        return "other", None, None, None
-    text = lambda k: found.get(k) if isinstance(found.get(k), str) else None
-    at = found.get("timestamp")
-    at = float(at) if isinstance(at, (int, float)) and not isinstance(at, bool) else None
-    return "object", text("name"), text("content"), at
+def strict_json(text: Column) -> Column:
+    """A JSON text as an array variant with its one value; null unless it is one value from end to end.
 
-
-_EVENT = T.StructType([T.StructField("status", T.StringType()), T.StructField("name", T.StringType()), T.StructField("content", T.StringType()), T.StructField("timestamp", T.DoubleType())])
+    Spark's parser stops after a value. Inside brackets of ours it stops too early only at a closing
+    bracket of the text's own, so texts that have one are parsed between braces, too: what is behind a
+    value can't go on as a list and as an object. Of repeated keys the last counts, as long as the session
+    allows them (`events_of` sees to it). Values nested deeper than 1000 levels, numbers of over 1000 digits
+    and lines of over 128 MB are no JSON here.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    held = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    one = lambda v: F.variant_get(v, "$[0]", "variant").isNotNull() & F.variant_get(v, "$[1]", "variant").isNull()
+    return F.element_at(F.transform(F.array(listed), lambda v: F.when(one(v) & (~text.contains("]") | held.isNotNull()), v)), 1)
 
 
-@F.pandas_udf(_EVENT)
-def strict_event(lines: pd.Series) -> pd.DataFrame:
-    """Strict JSON: Spark's own readers take single quotes, trailing text or no repeated keys."""
-    return pd.DataFrame([read_event(x) for x in lines], columns=["status", "name", "content", "timestamp"])
+def _field(listed: Column, name: str, kinds: str, to: str) -> Column:
+    """A field of the one value, if it has one of some kinds: a variant's other values would be cast."""
+    found = F.variant_get(listed, f"$[0].{name}", "variant")
+    return F.when(F.schema_of_variant(found).rlike(kinds), F.try_variant_get(listed, f"$[0].{name}", to))
 
 
 def _group(content: Column, pattern: str, i: int) -> Column:
@@ -100,11 +94,20 @@ def _trimmed(c: Column) -> Column:
 
 
 def events_of(lines: DataFrame) -> DataFrame:
-    """Lines with status, name, content and ts (ms); a line without its three fields has no content."""
-    event = lines.withColumn("_e", strict_event("value"))
-    filled = (F.col("_e.name") != "") & (F.col("_e.content") != "") & (F.col("_e.timestamp") != 0)
-    kept = lambda c: F.when(filled, F.col(f"_e.{c}"))
-    return event.select(*lines.columns, F.col("_e.status").alias("status"), kept("name").alias("name"), kept("content").alias("content"), kept("timestamp").cast("long").alias("ts"))
+    """Lines with status, name, content and ts (ms); a line without its three fields has no content.
+
+    Status: invalid is no JSON; other is no object; else object.
+    """
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    found = lines.select("*", _once(strict_json(F.col("value"))).alias("_json"))
+    # JSON tells its kind by its first character.
+    status = F.when(F.col("_json").isNull(), "invalid").when(F.col("value").rlike(r"^[ \t\n\r]*\{"), "object").otherwise("other")
+    fields = [_field(F.col("_json"), *f).alias(f[0]) for f in (("name", "^STRING", "string"), ("content", "^STRING", "string"), ("timestamp", "^(BIGINT|DOUBLE|DECIMAL)", "double"))]
+    found = found.select(*lines.columns, status.alias("status"), _once(F.when(status == "object", F.struct(*fields))).alias("_e"))
+    ts = F.col("_e.timestamp").try_cast("long")
+    filled = (F.col("_e.name") != "") & (F.col("_e.content") != "") & (F.col("_e.timestamp") != 0) & ts.isNotNull()
+    event = F.when(filled, F.struct(F.col("_e.name"), F.col("_e.content"), ts.alias("ts")))
+    return found.select(*lines.columns, "status", _once(event).alias("_e")).select(*lines.columns, "status", "_e.name", "_e.content", "_e.ts")
 
 
 def classified(events: DataFrame, config: Config) -> DataFrame:
@@ -133,7 +136,7 @@ def classified(events: DataFrame, config: Config) -> DataFrame:
         .when(image & outcome.isin(*IMAGE_SUCCESS), "image_ok")
         .when(image & outcome.isin(*IMAGE_FAILURE), "image_failed")
     )
-    return events.withColumn("kind", kind)
+    return events.select("*", _once(kind).alias("kind"))
 
 
 _ORDER = ["file_key", "offset"]
@@ -318,23 +321,20 @@ def on_disk(events: DataFrame) -> DataFrame:
 def parse_logs(lines: DataFrame, config: Config | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> ParsedLogs:
     """Records and outcome counts of lines (stream, file, offset, value).
 
-    Records of lines that were read twice have equal ids; writers keep one of them. Every result but the
-    outcomes reads the events more than once; `keep` puts them where that is cheap (`on_disk`, or a stored
-    table), and what it keeps is the caller's to free.
+    Records of lines that were read twice have equal ids; writers keep one of them. Records read the known
+    events more than once; `keep` puts those where that is cheap (`on_disk`, or a stored table), and what
+    it keeps is the caller's to free. Outcomes need all lines and are counted in a pass of their own.
     """
     config = config or Config()
     if "stream" not in lines.columns:
         lines = lines.withColumn("stream", F.lit(""))
     events = classified(events_of(lines), config)
-    # Every line is read and classified once; of those that say nothing only the outcome is kept.
-    said = lambda c: F.when(F.col("kind").isNotNull(), F.col(c)).alias(c)
-    events = events.select("stream", "file", log_file_key(F.col("file")).alias("file_key"), "offset", "status", "kind", "ts", said("name"), said("content"), said("clean"))
+    outcomes = events.groupBy(outcome_of(F.col("status"), F.col("kind")).alias("outcome")).agg(F.count("*").alias("lines"))
+    known = events.where("kind is not null").select("stream", "file", log_file_key(F.col("file")).alias("file_key"), "offset", "kind", "ts", "name", "content", "clean")
     if keep:
-        events = keep(events)
+        known = keep(known)
     timed = lambda df: df.withColumn("timestamp", instant_of_ms(F.col("ts"))).withColumn("date", day_of_ms(F.col("ts"))).withColumn("hour", hour_of_ms(F.col("ts")))
-    known = events.where("kind is not null")
     parts = [_typed(timed(df), schemas.AI_REQUEST) for df in (chat_requests(known), failed_requests(known), usage_requests(known, config))]
     ai = parts[0].unionByName(parts[1]).unionByName(parts[2])
     images = _typed(timed(image_outcomes(known)), schemas.IMAGE_GENERATION)
-    outcomes = events.groupBy(outcome_of(F.col("status"), F.col("kind")).alias("outcome")).agg(F.count("*").alias("lines"))
-    return ParsedLogs(ai, images, outcomes, known, events)
+    return ParsedLogs(ai, images, outcomes, known)

@@ -10,7 +10,9 @@ dropped. Executors read the directory by the same path as the driver, so it must
 
 Streaming offsets hold, for each file that is followed, how far it was read and its size and time,
 so a file that shrank or went back in time is read anew. Only lines that end with a newline are
-read; a batch takes at most maxBytesPerFile of a file, but always one line at least.
+read; a batch takes at most maxBytesPerFile bytes and maxLinesPerFile lines of a file, but always one
+line at least. Spark does not tell a Python source where a restarted query stands; the option known,
+the newest offset of its checkpoint as JSON, does, so limits hold for the first batch as well.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import heapq
 import json
 import os
 import re
+import sys
 import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -163,6 +166,25 @@ def last_line_end(file: str, start: int, end: int, chunk: int = CHUNK) -> int:
     return start
 
 
+def budget_end(file: str, start: int, end: int, most_bytes: int, most_lines: int, chunk: int = CHUNK) -> int:
+    """Where to stop reading whole lines of [start, end): within so many bytes and lines, but after one line at least."""
+    to = last_line_end(file, start, min(end, start + most_bytes), chunk)
+    with open(file, "rb") as f:
+        f.seek(start)
+        at = start
+        while at < to and (data := f.read(min(chunk, to - at))):
+            lines = data.count(b"\n")
+            if lines < most_lines:
+                most_lines -= lines
+                at += len(data)
+                continue
+            place = -1
+            for _ in range(most_lines):
+                place = data.index(b"\n", place + 1)
+            return at + place + 1
+    return to
+
+
 @dataclass
 class LogRanges(InputPartition):
     """Ranges (name, start, end) of files of one directory."""
@@ -219,13 +241,14 @@ class BotLogStreamReader(DataSourceStreamReader):
         self.chunk = int(options.get("chunkbytes", CHUNK))
         self.files = int(options.get("maxfiles", 64))
         self.bytes = int(options.get("maxbytesperfile", 8 << 20))
+        self.lines = int(options.get("maxlinesperfile", sys.maxsize))
         self.seconds = int(options.get("maxscanms", 120_000)) / 1000
-        if min(self.chunk, self.files, self.bytes, self.seconds) <= 0:
+        if min(self.chunk, self.files, self.bytes, self.lines, self.seconds) <= 0:
             raise ValueError("limits must be positive")
         #: A pass over the directory that ran out of time.
         self.scan: Discovery | None = None
-        #: What was planned last; unknown after a restart, when files are taken to their ends.
-        self.known: dict | None = None
+        #: What was planned last; where a restart does not know it, files are taken to their ends.
+        self.known: dict | None = json.loads(options.get("known", "null"))
 
     def initialOffset(self) -> dict:
         self.known = {"files": {}}
@@ -250,9 +273,8 @@ class BotLogStreamReader(DataSourceStreamReader):
         for f in files:
             file = os.path.join(self.path, f.name)
             start = self._from(self.known["files"].get(f.name), f.size, f.mtime_ms) if self.known else 0
-            end = min(f.size, start + self.bytes) if self.known else f.size
             try:
-                pos = last_line_end(file, start, end, self.chunk)
+                pos = budget_end(file, start, f.size, self.bytes, self.lines, self.chunk) if self.known else last_line_end(file, start, f.size, self.chunk)
             except FileNotFoundError:
                 continue
             found[f.name] = {"pos": pos, "size": f.size, "mtime": f.mtime_ms}

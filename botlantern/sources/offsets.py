@@ -26,6 +26,9 @@ class LogOffsets:
     def get(self, name: str) -> dict | None:
         return self.get_many([name]).get(name)
 
-    def update(self, name: str, size: int, last_offset: int, mtime_ms: int) -> None:
+    def row(self, name: str, size: int, last_offset: int, mtime_ms: int) -> DataFrame:
         row = self.tables.spark.createDataFrame([(name, size, last_offset, mtime_ms)], "fileName string, size long, lastOffset long, mtimeMs long")
-        self.tables.upsert_small("log_offset", row.withColumn("updatedAt", F.current_timestamp()).select(*[part.split(" ")[0] for part in schemas.LOG_OFFSET.split(", ")]))
+        return row.withColumn("updatedAt", F.current_timestamp()).select(*[part.split(" ")[0] for part in schemas.LOG_OFFSET.split(", ")])
+
+    def update(self, name: str, size: int, last_offset: int, mtime_ms: int) -> None:
+        self.tables.upsert_small("log_offset", self.row(name, size, last_offset, mtime_ms))

@@ -1,8 +1,9 @@
 """Ingestion of log directories: a live stream of the newest files and an import of the older ones.
 
-Each micro-batch writes raw records, then dirty dates, then images; Spark commits its checkpoint
-after that, so a failed batch comes again, and upserts by primary key make that harmless. The rollup
-is rebuilt at the end of a batch; if that fails its markers stay and the next batch tries again.
+What a batch brings is one commit of the stored tables: raw records, dirty dates, images, and how far it
+came, as the number of a micro-batch or as state, offsets and what is open of the import. A batch that
+was cut off leaves nothing; one that comes again after its commit changes nothing. The rollup is rebuilt
+at the end of a batch; if that fails its markers stay and the next batch tries again.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from __future__ import annotations
 import datetime as dt
 import json
 import os
+import threading
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +25,9 @@ from ..config import Config
 from ..operators.facts import add_counts
 from ..operators.rollup import Rollup
 from ..plans.parse import classified, events_of, on_disk, open_lines, outcome_of, parse_logs
-from ..sources.logs import BotLogSource, Discovery, LogFile, last_line_end, sort_key
+from ..sources.logs import BotLogSource, Discovery, LogFile, budget_end, sort_key
 from ..sources.offsets import LogOffsets
-from ..sources.tables import Tables
+from ..sources.tables import Change, State, Tables, kept, restored
 from .state import matched, records, said
 
 # Waits after failures, in ms; later ones stay at the last.
@@ -32,6 +35,7 @@ BACKOFF_MS = (60_000, 300_000, 900_000, 3_600_000)
 #: Bytes that are looked at together for the end of a file's last line.
 TAIL_CHUNK = 64 << 10
 OPEN = "stream string, file string, offset long, value string"
+STATE_NAMES = [part.split(" ")[0] for part in schemas.IMPORT_STATE.split(", ")]
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -45,20 +49,36 @@ class LiveIngest:
         spark.dataSource.register(BotLogSource)
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
+    def known(self) -> str:
+        """The newest offset that Spark has planned in the checkpoint, as JSON; of a new one, that nothing was read."""
+        log = f"{self.checkpoint.rstrip('/')}/offsets"
+        numbers = [int(n) for n in self.tables._list(log) if n.isdigit()]
+        found = [part for part in self.tables._text(f"{log}/{max(numbers)}").split("\n") if part.startswith('{"files"')] if numbers else []
+        return found[0] if found else '{"files": {}}'
+
     def lines(self) -> DataFrame:
         c = self.config
-        options = {"maxFiles": c.max_recent_files, "maxBytesPerFile": c.max_bytes_per_file_per_cycle, "chunkBytes": c.log_read_chunk_bytes, "maxScanMs": c.max_scan_duration_ms}
+        options = {"maxFiles": c.max_recent_files, "maxBytesPerFile": c.max_bytes_per_file_per_cycle, "maxLinesPerFile": c.log_read_batch_lines, "chunkBytes": c.log_read_chunk_bytes, "maxScanMs": c.max_scan_duration_ms, "known": self.known()}
         return self.spark.readStream.format("botlog").options(**options).load(c.log_directory)
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
+        # Spark names the query by what its checkpoint says, so a new checkpoint is a new stream.
+        stream = self.spark.sparkContext.getLocalProperty("sql.streaming.queryId") or self.checkpoint
+
+        def work(change: Change) -> None:
+            if not change.done(stream, batch_id):
+                ai, images = records(batch, self.config)
+                self.rollup.add(change, ai)
+                change.upsert("image_generation", images)
+                change.batch(stream, batch_id)
+
         batch.persist()
         try:
-            ai, images = records(batch, self.config)
-            self.rollup.record(ai)
-            self.tables.upsert_dated("image_generation", images)
+            self.tables.commit(work)
         finally:
             batch.unpersist()
         self.rollup.recompute()
+        self.tables.compact()
 
     def _start(self, **trigger) -> StreamingQuery:
         events = classified(events_of(self.lines()), self.config)
@@ -75,13 +95,20 @@ class LiveIngest:
         return self._start(processingTime=f"{self.config.log_watch_interval_ms} milliseconds")
 
     def run_once(self) -> StreamingQuery:
-        """Take what is there now, then end; nothing if a query is running."""
+        """Take what one micro-batch may take of what is there now, then end; nothing if a query is running."""
         if self.busy():
             return self.query
         query = self._start(availableNow=True)
         query.awaitTermination()
         return query
 
+    def drain(self) -> int:
+        """Take all that is there now, in bounded micro-batches; returns how many had rows."""
+        batches = 0
+        while any(p["numInputRows"] for p in self.run_once().recentProgress):
+            batches += 1
+        return batches
+
     def busy(self) -> bool:
         return bool(self.query and self.query.isActive)
 
@@ -93,47 +120,54 @@ class LiveIngest:
 class HistoryImport:
     """Reads older files in order, batch by batch, with its progress in the table log_import_state.
 
-    A batch takes whole files up to the first one whose last line has no end yet; of that one it takes
-    the whole lines, and the cursor stays before it, so the next batch goes on inside it. What a batch
-    leaves open (calls, image requests, the last mention and command, how far the last file was read)
-    is stored by the bytes read so far and goes in front of the next batch, so records don't depend on
-    batches. A batch that is repeated after a crash starts from the same state and writes the same.
+    A batch takes whole lines of files, of each at most as many and as many bytes as the settings allow, up
+    to the first file that is not read to its end; the cursor stays before that one, so the next batch goes
+    on inside it. What a batch leaves open (calls, image requests, the last mention and command, how far
+    the last file was read) is in the same commit as its records, and goes in front of the next batch, so
+    records don't depend on batches.
     """
 
-    KEY = "historical"
+    KEY, OPEN_KEY = "historical", "historical_open"
 
     def __init__(self, spark: SparkSession, tables: Tables, config: Config, now: Callable[[], float] = time.time):
         self.spark, self.tables, self.config, self.now = spark, tables, config, now
         self.rollup = Rollup(tables)
         self.offsets = LogOffsets(tables)
         self.running = False
+        self._cancelled = threading.Event()
+        self._tag = f"history-{uuid.uuid4().hex}"
         #: A pass over the directory that ran out of time, and its cursor.
         self.scan: tuple[str | None, Discovery] | None = None
         spark.dataSource.register(BotLogSource)
 
+    def _blank(self) -> dict:
+        return {part.split(" ")[0]: (0 if part.endswith("long") else None) for part in schemas.IMPORT_STATE.split(", ")} | {"key": self.KEY, "status": "idle"}
+
+    def _state_of(self, base: State) -> dict:
+        found = base.states.get(self.KEY)
+        return {n: restored(v) for n, v in found["values"].items()} if found else self._blank()
+
     def state(self) -> dict:
-        found = self.tables.read("log_import_state").where(F.col("key") == self.KEY).collect()
-        if found:
-            return found[0].asDict()
-        blank = {part.split(" ")[0]: (0 if part.endswith("long") else None) for part in schemas.IMPORT_STATE.split(", ")}
-        return blank | {"key": self.KEY, "status": "idle"}
+        return self._state_of(self.tables.state())
 
     def _at(self) -> dt.datetime:
         return dt.datetime.fromtimestamp(self.now(), dt.timezone.utc).replace(tzinfo=None)
 
-    def patch(self, **changes) -> dict:
-        """Change fields; names with _delta are added to."""
-        state = self.state()
+    def _patched(self, change: Change, changes: dict) -> dict:
+        state = self._state_of(change.base)
         for name, value in changes.items():
             if name.endswith("_delta"):
                 state[name.removesuffix("_delta")] = (state[name.removesuffix("_delta")] or 0) + value
             else:
                 state[name] = value
         state["updatedAt"] = self._at()
-        names = [part.split(" ")[0] for part in schemas.IMPORT_STATE.split(", ")]
-        self.tables.upsert_small("log_import_state", self.spark.createDataFrame([tuple(state[n] for n in names)], schemas.IMPORT_STATE))
+        change.set_state(self.KEY, {n: kept(state[n]) for n in STATE_NAMES})
         return state
 
+    def patch(self, **changes) -> dict:
+        """Change fields; names with _delta are added to."""
+        return self.tables.commit(lambda change: self._patched(change, changes))
+
     def first_cursor(self) -> str | None:
         """In mode `recent`, files of the last days only, the first of them whole."""
         if self.config.historical_import_mode != "recent":
@@ -165,12 +199,12 @@ class HistoryImport:
         return files
 
     def _ranges(self, files: list[LogFile], begun: dict[str, int]) -> list[tuple[LogFile, int, int]]:
-        """Whole lines (file, start, end) of the files up to the first that does not end with one."""
-        found = []
+        """Whole lines (file, start, end) of the files, within the limits, up to the first that is not read to its end."""
+        c, found = self.config, []
         for f in files:
             start = begun.get(f.name, 0)
             start = start if start <= f.size else 0
-            found.append((f, start, last_line_end(os.path.join(self.config.log_directory, f.name), start, f.size, TAIL_CHUNK)))
+            found.append((f, start, budget_end(os.path.join(c.log_directory, f.name), start, f.size, c.max_bytes_per_file_per_cycle, c.log_read_batch_lines, TAIL_CHUNK)))
             if found[-1][2] < f.size:
                 break
         return found
@@ -185,6 +219,8 @@ class HistoryImport:
                 return state
             state = self.patch(status="running", lastError=None)
         self.running = True
+        self._cancelled.clear()
+        self.spark.sparkContext.addJobTag(self._tag)
         try:
             files = self._files(self._cursor(state))
             if state["status"] == "idle":
@@ -193,70 +229,84 @@ class HistoryImport:
                 return state
             if not files:
                 return self.patch(status="completed", completedAt=self._at())
-            done = state["processedBytes"] or 0
-            ranges = self._ranges(files, self._begun(done))
-            whole = [f for f, _, end in ranges if end >= f.size]
-            size = sum(end - start for _, start, end in ranges)
-            if not whole and not size:
+            ranges = self._ranges(files, self._begun())
+            if not any(end - start or end >= f.size for f, start, end in ranges):
                 return state  # the next file has no whole line yet
-            counts = self.load(ranges, done) if size else (0, 0)
-            state = self.patch(
-                cursorFileName=whole[-1].name if whole else state["cursorFileName"], processedFiles_delta=len(whole), processedBytes_delta=size,
-                importedAiRecords_delta=counts[0], importedImageRecords_delta=counts[1], consecutiveFailures=0, failedAt=None, nextRetryAt=None, lastError=None,
-            )
-            if size:
-                self.tables.remove(self._open_path(done))
-            if len(whole) < len(ranges):
-                f, _, end = ranges[-1]
-                self.offsets.update(f.name, f.size, end, f.mtime_ms)
-            return state
+            return self.load(ranges, state)
         except Exception as error:
-            return self._fail(error)
+            return self.state() if self._cancelled.is_set() else self._fail(error)
         finally:
+            self.spark.sparkContext.removeJobTag(self._tag)
             self.running = False
 
-    def _open_path(self, done: int) -> str:
-        return f"{self.tables.path('log_import_open')}/{done}"
+    def cancel(self) -> None:
+        """End the jobs of a batch that is running; its commit is made whole or not at all, and it is no failure."""
+        self._cancelled.set()
+        self.spark.sparkContext.cancelJobsWithTag(self._tag)
 
-    def _open(self, done: int) -> DataFrame | None:
-        """What the batch that came to `done` bytes left open: lines, and a row without value for a file that is half read."""
-        path = self._open_path(done)
-        return self.spark.read.schema(OPEN).parquet(path) if done and self.tables.exists(path) else None
+    def _left(self) -> dict:
+        """What the last batch left open: a folder of lines, and the file that is half read."""
+        return (self.tables.state().states.get(self.OPEN_KEY) or {}).get("values") or {}
 
-    def _begun(self, done: int) -> dict[str, int]:
-        left = self._open(done)
-        return {r.file: r.offset for r in left.where("value is null").collect()} if left is not None else {}
+    def _begun(self) -> dict[str, int]:
+        left = self._left()
+        return {left["file"]: left["offset"]} if left.get("file") else {}
 
-    def load(self, ranges: list[tuple[LogFile, int, int]], done: int = 0) -> tuple[int, int]:
-        """Parse lines (file, start, end) as one batch, after what the batch up to `done` bytes left open, and write their records; how many of each kind."""
+    def load(self, ranges: list[tuple[LogFile, int, int]], state: dict) -> dict:
+        """Parse lines (file, start, end) as one batch, after what the last batch left open, and commit what they bring; the state after it."""
+        left, new = self._left(), {"path": f"{self.tables.path('log_import_open')}/{uuid.uuid4().hex}"}
         parts = json.dumps([(f.name, start, end) for f, start, end in ranges])
         lines = self.spark.read.format("botlog").option("ranges", parts).load(self.config.log_directory)
-        left = self._open(done)
-        if left is not None:
-            lines = lines.unionByName(left.where("value is not null"))
+        if left:
+            lines = lines.unionByName(self.spark.read.schema(OPEN).parquet(left["path"]))
+        whole = [f for f, _, end in ranges if end >= f.size]
+        last, _, end = ranges[-1]
+        if end < last.size:
+            new |= {"file": last.name, "offset": end}
         parsed = parse_logs(lines, self.config, keep=on_disk)
         ai, images = parsed.ai.persist(), parsed.images.persist()
         try:
-            self.rollup.record(ai)
-            self.tables.upsert_dated("image_generation", images)
             counts = ai.count(), images.count()
-            still = open_lines(parsed.known)
-            last, _, end = ranges[-1]
-            if end < last.size:
-                still = still.unionByName(self.spark.createDataFrame([("", last.name, end, None)], OPEN))
-            still.coalesce(1).write.mode("overwrite").parquet(self._open_path(done + sum(e - s for _, s, e in ranges)))
+            open_lines(parsed.known).coalesce(1).write.parquet(new["path"])
+
+            def work(change: Change) -> dict:
+                now = self._state_of(change.base)
+                if (now["cursorFileName"], now["processedBytes"]) != (state["cursorFileName"], state["processedBytes"]) or now["status"] != "running":
+                    return now  # another importer was here, or a reset
+                self.rollup.add(change, ai)
+                change.upsert("image_generation", images)
+                if end < last.size:
+                    change.upsert("log_offset", self.offsets.row(last.name, last.size, end, last.mtime_ms))
+                change.set_state(self.OPEN_KEY, new)
+                if self._cancelled.is_set():
+                    raise RuntimeError("cancelled")
+                return self._patched(change, {
+                    "cursorFileName": whole[-1].name if whole else now["cursorFileName"], "processedFiles_delta": len(whole), "processedBytes_delta": sum(e - s for _, s, e in ranges),
+                    "importedAiRecords_delta": counts[0], "importedImageRecords_delta": counts[1], "consecutiveFailures": 0, "failedAt": None, "nextRetryAt": None, "lastError": None,
+                })
+
+            after = self.tables.commit(work)
         finally:
-            for df in (ai, images, parsed.events):
+            for df in (ai, images, parsed.known):
                 df.unpersist()
+        gone = left if self._left().get("path") == new["path"] else new
+        if gone:
+            self.tables.remove(gone["path"])
         self.rollup.recompute()
-        return counts
+        self.tables.compact()
+        return after
 
     def reset(self) -> str:
         """Start over, unless a batch is running; records that come again replace their equals."""
         if self.running:
             return "busy"
-        blank = {part.split(" ")[0]: (0 if part.endswith("long") else None) for part in schemas.IMPORT_STATE.split(", ")}
-        self.patch(**(blank | {"key": self.KEY, "status": "idle"}))
+
+        def work(change: Change) -> None:
+            self._patched(change, self._blank())
+            change.set_state(self.OPEN_KEY, {})
+
+        self.tables.commit(work)
+        self.scan = None
         return "ok"
 
 
@@ -280,20 +330,69 @@ class CycleLog(StreamingQueryListener):
         pass
 
 
-def flush_counts(events: DataFrame, tables: Tables, name: str, facts: Callable[[DataFrame], DataFrame], checkpoint: str, interval_ms: int = 600_000, once: bool = False) -> StreamingQuery:
-    """Store the hourly counts of a stream of events at each interval, as parts that readers add up.
+class CountFlush:
+    """Hourly counts of a stream of events, stored when an interval is over, when the hour changes, or on demand.
 
-    A part goes by its micro-batch's number and is overwritten if the batch is repeated, so nothing
-    is counted twice.
+    Each micro-batch writes its counts beside the table, by its number, so a batch that is repeated counts
+    once. A flush adds up all that is there since the last one and commits sums and the last number
+    together: counted twice or lost is nothing, wherever it is cut off.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        facts(batch).write.mode("overwrite").parquet(f"{tables.path(name)}_parts/batch={batch_id}")
+    def __init__(self, tables: Tables, name: str, facts: Callable[[DataFrame], DataFrame], checkpoint: str, interval_ms: int = 600_000, now: Callable[[], float] = time.time):
+        self.tables, self.name, self.facts, self.checkpoint, self.interval_ms, self.now = tables, name, facts, checkpoint, interval_ms, now
+        self.last = now()
+        self.folder, self.stream = f"{tables.path(name)}_waiting", f"flush {checkpoint}"
+        self._one = threading.Lock()
+
+    def start(self, events: DataFrame, every_ms: int = 10_000, once: bool = False) -> StreamingQuery:
+        trigger = {"availableNow": True} if once else {"processingTime": f"{every_ms} milliseconds"}
+        return events.writeStream.foreachBatch(self.write).option("checkpointLocation", self.checkpoint).trigger(**trigger).start()
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        with self._one:
+            if self.tables.state().batches.get(self.stream, -1) < number:
+                self.facts(batch).write.mode("overwrite").parquet(f"{self.folder}/batch={number}")
+        if self.due():
+            self.flush()
+
+    def due(self) -> bool:
+        hour = lambda at: dt.datetime.fromtimestamp(at, dt.timezone.utc).replace(minute=0, second=0, microsecond=0)
+        return self.now() - self.last > self.interval_ms / 1000 or hour(self.now()) != hour(self.last)
+
+    def _waiting(self) -> list[int]:
+        """Micro-batches that are written to their end and not flushed yet."""
+        done = self.tables.state().batches.get(self.stream, -1)
+        found = [int(n.removeprefix("batch=")) for n in self.tables._list(self.folder) if n.startswith("batch=")]
+        return sorted(n for n in found if n > done and self.tables.exists(f"{self.folder}/batch={n}"))
+
+    def waiting(self) -> DataFrame | None:
+        """Counts that are not flushed yet."""
+        parts = [f"{self.folder}/batch={n}" for n in self._waiting()]
+        return add_counts(self.tables.spark.read.parquet(*parts), key=schemas.PRIMARY_KEYS[self.name]) if parts else None
+
+    def flush(self) -> list[int]:
+        """Store what waits; returns the micro-batches that it was."""
+        with self._one:
+            numbers = self._waiting()
+            if numbers:
+                rows = self.tables.spark.read.parquet(*[f"{self.folder}/batch={n}" for n in numbers])
+                self.tables.add_counts(self.name, rows, self.stream, numbers[-1])
+            self.last = self.now()
+            done = self.tables.state().batches.get(self.stream, -1)
+            for n in self.tables._list(self.folder):
+                if n.startswith("batch=") and int(n.removeprefix("batch=")) <= done:
+                    self.tables.remove(f"{self.folder}/{n}")
+            return numbers
 
-    trigger = {"availableNow": True} if once else {"processingTime": f"{interval_ms} milliseconds"}
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+def flush_counts(events: DataFrame, tables: Tables, name: str, facts: Callable[[DataFrame], DataFrame], checkpoint: str, interval_ms: int = 600_000, once: bool = False) -> StreamingQuery:
+    """Store the hourly counts of a stream of events at each interval and at each change of the hour."""
+    return CountFlush(tables, name, facts, checkpoint, interval_ms).start(events, once=once)
 
 
 def flushed_counts(tables: Tables, name: str) -> DataFrame:
-    """The sums of all parts."""
-    return add_counts(tables.spark.read.parquet(f"{tables.path(name)}_parts"), key=schemas.PRIMARY_KEYS[name])
+    """What is stored, and what waits for the next flush."""
+    key, folder = schemas.PRIMARY_KEYS[name], f"{tables.path(name)}_waiting"
+    parts = [f"{folder}/{n}" for n in tables._list(folder) if n.startswith("batch=") and tables.exists(f"{folder}/{n}")]
+    stored = tables.read(name).select(*key, "count")
+    return add_counts(stored, tables.spark.read.parquet(*parts), key=key) if parts else stored

@@ -72,14 +72,14 @@ def test_one_bad_date_stops_no_other_and_stays_pending(spark, tables, monkeypatc
 def test_markers_that_cannot_be_cleared_count_as_pending(spark, tables, monkeypatch):
     r = Rollup(tables)
     r.record(requests(spark, [("a", 10, None, "m", 5, True)]))
-    monkeypatch.setattr(r, "clear", lambda dates: (_ for _ in ()).throw(OSError("no")))
+    monkeypatch.setattr(r, "clear", lambda dates, at: (_ for _ in ()).throw(OSError("no")))
     summary = r.recompute()
     assert summary.pending_after == [10] and summary.pending_state_unknown
 
 
 def test_raw_write_failure_leaves_nothing_marked(spark, tables, monkeypatch):
     r = Rollup(tables)
-    monkeypatch.setattr(tables, "upsert_dated", lambda *a: (_ for _ in ()).throw(OSError("disk")))
+    monkeypatch.setattr(tables, "write_layer", lambda *a: (_ for _ in ()).throw(OSError("disk")))
     with pytest.raises(OSError, match="disk"):
         r.record(requests(spark, [("a", 10, None, "m", 5, True)]))
     assert not r.has_pending_dates()

@@ -7,7 +7,7 @@ import random
 import pytest
 
 from botlantern.config import Config
-from botlantern.plans.parse import on_disk, parse_logs, read_event
+from botlantern.plans.parse import events_of, on_disk, parse_logs
 from botlantern.sources.logs import BotLogSource, BotLogStreamReader, discover_after, discover_recent, last_line_end, read_lines, sort_key
 
 SCHEMA = "stream string, file string, offset long, value string"
@@ -24,7 +24,7 @@ def parse(spark, lines, config=None, files=None):
     try:
         return p.ai.collect(), p.images.collect(), {r.outcome: r.lines for r in p.outcomes.collect()}
     finally:
-        p.events.unpersist()
+        p.known.unpersist()
 
 
 CHAT = "[聊天模型] [gpt-4]"
@@ -80,6 +80,54 @@ def test_image_context(spark):
     assert not parse(spark, [line(CHAT, FINISH, T0)], Config(tracked_sources={"yesimbot": False}))[0]
 
 
+def read_event(value):
+    """(status, name, content, timestamp) by Python's reader."""
+
+    def reject(constant):
+        raise ValueError(constant)
+
+    try:
+        found = json.loads(value or "", parse_constant=reject)
+    except (ValueError, RecursionError):
+        return "invalid", None, None, None
+    if not isinstance(found, dict):
+        return "other", None, None, None
+    text = lambda k: found.get(k) if isinstance(found.get(k), str) else None
+    at = found.get("timestamp")
+    return "object", text("name"), text("content"), float(at) if isinstance(at, (int, float)) and not isinstance(at, bool) else None
+
+
+def odd_lines():
+    rng = random.Random(4)
+    sound = ['{"name":"a","content":"b","timestamp":1700000000000}', line("é\u2028", "x\"]}\\", T0), "[1]", "null", '"s"', "1", "-0.5e3", "[]", "{}", '[{"a":[1,{"b":"]"}]}]', ' {"name" : "n" ,\t"content":"c]","timestamp":1.5e3}\r']
+    found = sound + ["", " ", None, "x", "nul", "01", "1.", ".5", "+1", "NaN", "-Infinity", "'a'", "{a:1}", '{"a":1,}', "[1,]", "[,1]", '"\t"', '"\\x"', '"\\u12"', "/*c*/1", "1//c", "\ufeff1", "1\x00", "\x0b1", "{\"a\"}", '{"a":1', '"open', "tru", "True"]
+    found += [s + t for s in sound for t in (" ", "1", ",1", "]", "}", "],[2", '},{"v":2', "]]", "}}", '],"x":[1', ' ] {"v":1}', "] }", "} ]", ', "x": 1', "]x", "[", "{", "\n", "//", ",")]
+    found += [t + s for s in sound for t in ("]", "}", "[", "{", "1,", "],", '"v":', "1],[", '1},{"v":')]
+    found += ['{"name":"a","name":"b","content":"c","timestamp":1,"timestamp":2}', '{"name":5,"content":"c","timestamp":1}', '{"name":"n","content":["c"],"timestamp":1}', '{"name":null,"content":null,"timestamp":null}']
+    found += [f'{{"name":"n","content":"c","timestamp":{t}}}' for t in ("true", '"5"', "0", "-0", "0.0", "0.5", "-5", "1e3", "1E400", "1e30", "12345678901234567890", "9007199254740993", "1.7e12", "123456789012345678901234567890123456789012", "[1]", "{}")]
+    found += ['{"name":"n","content":"\\u00e9\\ud83d\\ude00\\n\\/","timestamp":1}', '{"name":"","content":"c","timestamp":1}', '{"Name":"n","content":"c","timestamp":1}', '{"a":{"name":"n"},"name":"m","content":"c","timestamp":3}', '{"na.me":1,"name":"n","content":"c","timestamp":3}', "[" * 200 + "]" * 200, "[" * 200 + "]" * 201]
+    letters = '{}[]",:1a \\'
+    return found + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(3000)]
+
+
+def test_strict_json_agrees_with_another_reader(spark):
+    lines = odd_lines()
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, value string")
+    found = events_of(rows)
+    assert "Python" not in found._jdf.queryExecution().toString()
+    got = {r.i: (r.status, r.name, r.content, r.ts) for r in found.collect()}
+    for i, value in enumerate(lines):
+        status, name, content, at = read_event(value)
+        filled = name and content and at and abs(at) < 2**63
+        assert got[i] == (status, *((name, content, int(at)) if filled else (None,) * 3)), value
+
+
+def test_lone_surrogates_and_limits_of_json(spark):
+    lines = ['{"name":"n\\ud800","content":"c","timestamp":1}', "[" * 1500 + "]" * 1500, "1" * 1500, line("n", "x" * 3_000_000, T0)]
+    got = events_of(spark.createDataFrame(list(enumerate(lines)), "i int, value string")).orderBy("i").collect()
+    assert [r.status for r in got] == ["object", "invalid", "invalid", "object"] and got[0].ts == 1 and len(got[3].content) == 3_000_000
+
+
 def simulate(lines):
     """A plain parser that goes line by line."""
     calls, asked, mention, command, ai, images = {}, {}, None, None, [], []
