@@ -4,7 +4,9 @@ A page is read into a tree (unclosed and misnested tags are mended as browsers d
 blocks. Subtrees that are no article are set aside: scripts, styles, menus, headers, footers, asides
 and forms by tag or role; adverts, notices, sidebars, comments and the like by the words of class
 and id; what is less sure (forms, widgets, headers) stays if it holds most of the page, and a header
-if an article holds it. Each paragraph then gives its parent points for its length and commas, half of
+if an article holds it. Attributes are read by whole names, the first of a name counting. An id with
+other words than those of such things and of layout is a heading's slug and tells nothing, and inside an
+article one of ambiguous words (rail, side, share) does not set prose aside. Each paragraph then gives its parent points for its length and commas, half of
 them to the grandparent and a third to the next; a container's points are discounted by the share of
 its text that is in links. The best container is taken, up to the article or main element around it,
 with those siblings that score like it or are prose. All that is left in them is kept; outside an
@@ -41,17 +43,29 @@ RAW = frozenset("script style textarea title template noscript iframe svg math o
 #: Elements and roles that hold no article text.
 ASIDE_TAGS = frozenset("nav footer aside form button dialog menu fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-#: Words of class and id that tell of other things than an article, and beginnings of such words.
-ASIDE_WORDS = frozenset(
-    "ad ads adv adsense outbrain taboola nav navigation pager pagination masthead topbar toolbar side aside rail foot reply replies respond disqus discussion "
-    "consent gdpr notice notices alert modal overlay subscribe subscription share sharing social related recommended recommendations trending".split()
+#: Words of names that tell of other things than an article, and beginnings of such words.
+SURE_WORDS = frozenset("adsense outbrain taboola masthead pagination disqus gdpr consent cookie cookies comment comments commentlist commentform".split())
+SURE_STEMS = ("advert", "sponsor", "promo", "navbar", "breadcrumb", "sidebar", "footer", "newsletter")
+#: Words that tell of the same only where a name has no words but these, sure ones and those of layout.
+PLAIN_WORDS = frozenset(
+    "ad ads adv nav navigation menu menus pager topbar toolbar side aside rail foot banner popup reply replies respond discussion notice notices alert alerts modal "
+    "overlay subscribe subscription signup share sharing social related recommended recommendations trending".split()
 )
-ASIDE_STEMS = ("advert", "sponsor", "promo", "banner", "navbar", "menu", "breadcrumb", "sidebar", "footer", "comment", "cookie", "popup", "newsletter", "signup")
 #: Words that tell of the same less surely: what bears them stays if it holds most of the page.
 PERHAPS_WORDS = frozenset("widget widgets header head copyright legal login register popular tags tagcloud".split())
+LAYOUT_WORDS = frozenset(
+    "left right top bottom upper lower inner outer main primary secondary site page box block blocks container wrapper wrap section area list bar col column columns content body "
+    "button buttons btn link links item items icon icons panel slot unit group row grid holder form title count thread threads post posts article articles story stories news js the my "
+    "module region zone frame stack sticky fixed float mobile desktop small large default user users reader readers leave add new all more first last text for".split()
+)
 ARTICLE_WORDS = frozenset("article articlebody main content body entry story post text page".split())
 #: A name of an article's container may hold words of other things, but not these.
-NEVER_STEMS = ("ad", "ads", "advert", "comment", "sidebar", "footer", "nav", "menu", "related", "cookie", "sponsor", "newsletter")
+NEVER_WORDS = frozenset("ad ads nav menu related cookie cookies comment comments commentlist commentform".split())
+NEVER_STEMS = ("advert", "sidebar", "footer", "sponsor", "newsletter")
+#: Elements that are named for links to them.
+ANCHORS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+#: Characters, not in links, of a part of an article that its name alone does not set aside.
+PROSE = 100
 PARAGRAPH = 25
 
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW}
@@ -61,7 +75,7 @@ _TOKEN = re.compile(
     r"|</?[a-zA-Z][^>]*(?:>|\Z)|(?P<text><?[^<]+|<)",
     re.DOTALL,
 )
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))?)?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: A start tag closes an open one of these, up to the bounding elements.
@@ -180,8 +194,34 @@ class Page:
         return sizes, links
 
 
-#: How surely a subtree is no article.
-NOT, PERHAPS, SURELY = 0, 1, 2
+#: How surely a subtree is no article; what is named so may be prose of an article for all that.
+NOT, PERHAPS, NAMED, SURELY = 0, 1, 2, 3
+
+
+def attributes(source: str) -> dict[str, str]:
+    """Names in lower case with their values; of a name that comes again the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(source):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _told(name: str, is_id: bool) -> tuple[int, bool]:
+    """What one class or an id tells, and whether it can't be an article's container.
+
+    Ids are slugs of headings as well as names: one that has a word besides those of layout tells nothing.
+    """
+    words = [w.lower() for w in _WORD.findall(name)]
+    sure = [w for w in words if w in SURE_WORDS or w.startswith(SURE_STEMS)]
+    plain = all(w in SURE_WORDS or w.startswith(SURE_STEMS) or w in PLAIN_WORDS or w in PERHAPS_WORDS or w in LAYOUT_WORDS or w.isdigit() for w in words)
+    never = any(w in NEVER_WORDS or w.startswith(NEVER_STEMS) for w in words)
+    if sure and (plain or not is_id):
+        return SURELY, never
+    if not plain:
+        return NOT, False
+    if any(w in PLAIN_WORDS for w in words):
+        return NAMED if is_id else SURELY, never
+    return PERHAPS if any(w in PERHAPS_WORDS for w in words) else NOT, False
 
 
 def _aside(tag: str, attrs: str) -> int:
@@ -191,18 +231,18 @@ def _aside(tag: str, attrs: str) -> int:
         kind = SURELY if tag in ASIDE_TAGS else NOT
     if not attrs or kind == SURELY:
         return kind
-    found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(attrs)}
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
+    found = attributes(attrs)
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.IGNORECASE):
         return SURELY
     if found.get("role", "").lower() in ASIDE_ROLES:
         return SURELY
-    words = {w.lower() for w in _WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-    never = any(w in NEVER_STEMS or w.startswith(tuple(x for x in NEVER_STEMS if len(x) > 4)) for w in words)
-    if not never and (words & ARTICLE_WORDS or tag in ("article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre")):
+    names = [(c, False) for c in found.get("class", "").split()] + ([(found["id"], True)] if found.get("id") and tag not in ANCHORS else [])
+    told = [_told(*name) for name in names]
+    never = any(n for _, n in told)
+    article = any(w.lower() in ARTICLE_WORDS for name, _ in names for w in _WORD.findall(name))
+    if not never and (article or tag in ("article", "main") or tag in ANCHORS):
         return kind
-    if words & ASIDE_WORDS or never or any(w.startswith(ASIDE_STEMS) for w in words):
-        return SURELY
-    return max(kind, PERHAPS if words & PERHAPS_WORDS else NOT)
+    return max([kind, *[t for t, _ in told]])
 
 
 def main_text(source: str | None) -> str:
@@ -219,6 +259,8 @@ def main_text(source: str | None) -> str:
         within[node] = within[up] or tag in ("article", "main")
         # An article's own header has its title.
         heavy = page.aside[node] == PERHAPS and (sizes[node] > 0.6 * whole or (tag == "header" and within[up]))
+        # So do its sections, whatever the words of their headings.
+        heavy |= page.aside[node] == NAMED and within[up] and sizes[node] - links[node] >= PROSE and links[node] < 0.25 * sizes[node]
         links_only = not within[node] and tag in ("ul", "ol", "dl", "table", "div", "section") and sizes[node] and links[node] > 0.7 * sizes[node] and 2 * sizes[node] < whole
         dropped[node] = dropped[up] or (page.aside[node] > NOT and not heavy) or links_only
     blocks = [(n, t, k) for n, t, k in page.blocks if not dropped[n]]
