@@ -8,11 +8,14 @@ do not adapt while a text is scored, so its code length is a sum over its byte 4
 has one fixed length in each language. The language with the shortest code wins; the score is its
 share of 2**-length over all languages, from 0 to 1.
 
-The trees are fitted on a bounded sample of labelled rows, whole texts: for each language at most
-`SAMPLE_ROWS` documents and SAMPLE_ROWS * SAMPLE_BYTES bytes (or one longer document), drawn by a hash
-of the row; those of more than SAMPLE_BYTES bytes come after all others. What reaches the driver is
-the sample's distinct 4-grams with counts, which the bytes bound for each language. Only text and lang
-of rows that are not held out are learnt from; a prediction sees the text alone.
+The trees are fitted on a bounded sample of labelled rows, whole texts. One bound holds for all of it:
+`SAMPLE_TOTAL` bytes, shared evenly among the languages, of which the `SAMPLE_LABELS` with most rows are
+learnt. A language has at most `SAMPLE_ROWS` documents within its share, drawn by a hash of the row; those
+of more than SAMPLE_BYTES bytes come after all others. Languages whose first document is beyond their
+share have that one, shortest first, as far as another SAMPLE_TOTAL bytes go (one always); the rest are not learnt. So
+what reaches the driver and each worker, the sample's distinct 4-grams and their counts, has a bound
+whatever the labels are. Only text and lang of rows that are not held out are learnt from; a prediction
+sees the text alone.
 
 Defined cases: a null text or one without a letter is `und` with score 0, as is every text where
 nothing could be learnt. Rows without lang teach nothing. A null doc_id counts as held out. Repeated
@@ -33,6 +36,12 @@ from .common import small_batches, stored
 
 SAMPLE_ROWS = 256
 SAMPLE_BYTES = 65_536
+SAMPLE_TOTAL = 4 << 20
+SAMPLE_LABELS = 1000
+#: Code lengths, languages x known grams, that are worked out ahead; beyond it they are looked up in the trees.
+TABLE = 16 << 20
+#: Bits that a text's code may have beyond its plain bytes before its language counts as unknown.
+SLACK = 256
 #: Lots of the draw.
 DRAWS = 1 << 40
 #: What stands before a text's first byte.
@@ -57,11 +66,19 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct grams and counts of each language of some rows (lang, text), all of which are here."""
+    found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lang in dict.fromkeys(langs):
-            grams, n = np.unique(_grams([t for x, t in zip(langs, texts, strict=True) if x == lang])[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+        own: dict[str, list[str]] = {}
+        for lang, text in zip(langs, texts, strict=True):
+            own.setdefault(lang, []).append(text)
+        for lang, some in own.items():
+            found.setdefault(lang, []).append(np.unique(_grams(some)[0], return_counts=True))
+    for lang, parts in found.items():
+        grams, where = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+        n = np.bincount(where, weights=np.concatenate([c for _, c in parts])).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([grams.astype("<u4").tobytes()], pa.binary()), pa.array([n.astype("<u4").tobytes()], pa.binary())], names=["lang", "grams", "n"])
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,16 +119,19 @@ class Tree:
 
 
 class Model:
-    """The trees of all languages, with the lengths of every gram that any of them has seen."""
+    """The trees of all languages, with the lengths of every gram that any of them has seen where these are few enough."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(counts)
         self.trees = [Tree(*counts[x]) for x in self.langs]
         self.known = np.unique(np.concatenate([counts[x][0] for x in self.langs])) if self.langs else np.zeros(0, dtype=_U)
+        if len(self.known) * len(self.langs) > TABLE:
+            self.known = self.known[:0]
         self.costs = [t.lengths(self.known) for t in self.trees]
         # A slot names one of the known grams that fall into it; the others take the long way.
-        self.slots = np.zeros(1 << _SLOT_BITS, dtype=np.int32)
-        self.slots[self._slot(self.known)] = np.arange(len(self.known))
+        self.slots = np.zeros(1 << _SLOT_BITS if len(self.known) else 0, dtype=np.int32)
+        if len(self.known):
+            self.slots[self._slot(self.known)] = np.arange(len(self.known))
 
     @staticmethod
     def _slot(grams: np.ndarray) -> np.ndarray:
@@ -120,12 +140,12 @@ class Model:
     def bits(self, texts: list[str]) -> np.ndarray:
         """Code lengths, texts x languages; texts must not be empty."""
         grams, bounds = _grams(texts)
-        at = self.slots[self._slot(grams)]
-        missed = np.flatnonzero(self.known[at] != grams)
+        at = self.slots[self._slot(grams)] if len(self.known) else None
+        missed = np.flatnonzero(self.known[at] != grams) if len(self.known) else np.arange(len(grams))
         rare, where = np.unique(grams[missed], return_inverse=True)
         out = np.empty((len(texts), len(self.langs)))
         for j, (tree, costs) in enumerate(zip(self.trees, self.costs, strict=True)):
-            each = costs[at]
+            each = costs[at] if at is not None else np.empty(len(grams))
             each[missed] = tree.lengths(rare)[where]
             out[:, j] = np.add.reduceat(each, bounds[:-1])
         return out
@@ -135,7 +155,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Model:
+def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, total: int = SAMPLE_TOTAL, labels: int = SAMPLE_LABELS) -> Model:
     """The model of the labelled rows of `docs` (doc_id, text, lang) that are not held out."""
     small_batches(docs.sparkSession)
     labelled = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -144,22 +164,35 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES
     labelled = labelled.withColumns({"bytes": size.cast("long"), "long": size > most_bytes, "draw": F.pmod(F.xxhash64("doc_id", "text"), F.lit(DRAWS))})
     # Lots below a bar give about four times the rows wanted, whatever the table's size. Equal rows have
     # one lot; the smallest lots within the bounds are taken.
-    bars = labelled.groupBy("lang", "long").agg(F.least(F.lit(DRAWS), (F.lit(4.0 * rows * DRAWS) / F.count("*")).cast("long") + 1).alias("bar"))
-    bars = stored(bars, "bars")  # files tell Spark their size, so texts are not shuffled for a small table
+    sizes = stored(labelled.groupBy("lang", "long").agg(F.count("*").alias("n")), "sizes")  # files tell Spark their size, so texts are not shuffled for a small table
+    learnt = stored(sizes.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(labels).select("lang"), "learnt")
+    share = min(rows * most_bytes, total // max(1, learnt.count()))
+    bars = sizes.join(learnt, "lang").select("lang", "long", F.least(F.lit(DRAWS), (F.lit(4.0 * rows * DRAWS) / F.col("n")).cast("long") + 1).alias("bar"))
+    bars = stored(bars, "bars")
     lots = labelled.select("lang", "long", "draw", "bytes").join(bars, ["lang", "long"]).where("draw < bar").groupBy("lang", "long", "draw").agg(F.max("bytes").alias("bytes"))
     drawn = Window.partitionBy("lang").orderBy("long", "draw")
     lots = lots.withColumns({"rank": F.row_number().over(drawn), "all": F.sum("bytes").over(drawn.rowsBetween(Window.unboundedPreceding, 0))})
-    lots = stored(lots.where((F.col("rank") == 1) | ((F.col("rank") <= rows) & (F.col("all") <= rows * most_bytes))).select("lang", "long", "draw"), "lots")
-    sample = labelled.join(lots, ["lang", "long", "draw"]).groupBy("lang", "long", "draw").agg(F.first("text").alias("text"))
+    lots = stored(lots.where((F.col("rank") == 1) | ((F.col("rank") <= rows) & (F.col("all") <= share))), "lots")
+    # One row for each language, of which there are at most `labels`.
+    alone = lots.where((F.col("rank") == 1) & (F.col("bytes") > share)).withColumn("all", F.sum("bytes").over(Window.orderBy("bytes", "lang").rowsBetween(Window.unboundedPreceding, 0)))
+    fitting = lots.where(F.col("bytes") <= share).unionByName(alone.where((F.col("all") <= total) | (F.col("all") == F.col("bytes")))).select("lang", "long", "draw")
+    fitting = stored(fitting, "fitting")
+    sample = labelled.join(fitting, ["lang", "long", "draw"]).groupBy("lang", "long", "draw").agg(F.first("text").alias("text"))
     # A language's sample is bounded, so one task counts it whole.
-    counted = sample.select("lang", "text").repartition("lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    return Model({x: (g["gram"].to_numpy().astype(_U), g["n"].to_numpy(dtype=np.float64)) for x, g in counted.groupby("lang")})
+    counted = sample.select("lang", "text").repartition("lang").mapInArrow(_count, "lang string, grams binary, n binary").collect()
+    return Model({r.lang: (np.frombuffer(r.grams, dtype="<u4").astype(_U), np.frombuffer(r.n, dtype="<u4").astype(np.float64)) for r in counted})
 
 
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
+def unknown(text: Column, found: Column) -> Column:
+    """Whether the language of a text can't be told: it has no letter, or no language's code is shorter than its bytes as they stand, but for SLACK."""
+    size = F.octet_length(text)
+    return (found["lang_pred"] == "und") | (found["bits_per_byte"] * size > 8 * size + SLACK)
+
+
 def predicted(text: Column, model: Model) -> Column:
     """A column of lang_pred, score and bits_per_byte; the rest of a row stays where it is."""
     shared = SparkSession.getActiveSession().sparkContext.broadcast(model)
