@@ -72,7 +72,41 @@ MORE = (
     Notice("creative commons attribution sharealike", "cc-by-sa", "commons attribution sharealike"),
     Notice("creative commons attribution noderivatives", "cc-by-nd", "commons attribution noderivatives"),
     Notice("creative commons zero", "cc0", "commons zero"),
+    # Other wordings, identifiers and beginnings of whole texts. Words are those of a text, so "v3.0" is "v3 0".
+    Notice("apache license 2", "apache-2", "apache 2"),
+    Notice("apache license v2", "apache-2", "apache v2"),
+    Notice("apache 2 0", "apache-2", "apache 2 0"),
+    Notice("spdx license identifier mit", "mit", "mit"),
+    Notice("permission is hereby granted free of charge to any person obtaining a copy", "mit", "hereby granted obtaining"),
+    Notice("gnu general public license v2", "gpl-2", "gnu general v2"),
+    Notice("gnu general public license v3", "gpl-3", "gnu general v3"),
+    Notice("gnu lesser general public license v2 1", "lgpl-2.1", "lesser general v2"),
+    Notice("gnu lesser general public license v3", "lgpl-3", "lesser general v3"),
+    Notice("gnu affero general public license v3", "agpl-3", "affero general v3"),
+    Notice("gpl v2", "gpl-2", "gpl v2"),
+    Notice("gpl v3", "gpl-3", "gpl v3"),
+    Notice("gpl 2 0", "gpl-2", "gpl 2 0"),
+    Notice("gpl 3 0", "gpl-3", "gpl 3 0"),
+    Notice("gplv2", "gpl-2", "gplv2"),
+    Notice("gplv3", "gpl-3", "gplv3"),
+    Notice("lgpl 2 1", "lgpl-2.1", "lgpl 2 1"),
+    Notice("lgpl 3 0", "lgpl-3", "lgpl 3 0"),
+    Notice("agpl 3 0", "agpl-3", "agpl 3 0"),
+    Notice("2 clause bsd license", "bsd-2-clause", "2 clause bsd"),
+    Notice("3 clause bsd license", "bsd-3-clause", "3 clause bsd"),
+    Notice("bsd 2 clause", "bsd-2-clause", "bsd 2 clause"),
+    Notice("bsd 3 clause", "bsd-3-clause", "bsd 3 clause"),
+    Notice("redistribution and use in source and binary forms", "bsd", "redistribution source binary"),
+    Notice("mozilla public license v2", "mpl-2", "mozilla v2"),
+    Notice("mpl 2 0", "mpl-2", "mpl 2 0"),
+    Notice("boost software license 1", "bsl-1", "boost 1"),
+    Notice("cc0 1 0", "cc0", "cc0 1 0"),
+    Notice("cc by nc sa", "cc-by-nc-sa", "cc by nc sa"),
+    Notice("cc by nc nd", "cc-by-nc-nd", "cc by nc nd"),
+    Notice("cc by 4 0", "cc-by", "cc by 4 0"),
 )
+#: Stretches of text whose errors are remembered, for texts that repeat themselves.
+REMEMBERED = 1 << 16
 
 _SPACED = bytes(int(LOWER[b]) if ALNUM[LOWER[b]] else 0x20 for b in range(256))
 
@@ -98,6 +132,7 @@ class Phrase:
         self.pattern = regex.compile(b"(?b)(?:%b){e<=%d}" % (regex.escape(self.text), self.edits))
         self.exact = b" " + self.text + b" "
         bounds = np.linspace(0, len(self.text), self.edits + 2).astype(int).tolist()
+        self._errors: dict[bytes, int] = {}
         self.seeds = [(a, self.text[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)] if self.edits else []
 
     def starts(self, text: bytes) -> list[int]:
@@ -119,10 +154,20 @@ class Phrase:
         size = len(self.text)
         end = text.find(b" ", start + size - self.edits, start + size + self.edits + 1)
         while end >= 0:
-            if self.tells(text[start:end]) and (m := self.pattern.fullmatch(text, start, end)):
-                yield end, sum(m.fuzzy_counts)
+            if (edits := self.errors(text[start:end])) >= 0:
+                yield end, edits
             end = text.find(b" ", end + 1, start + size + self.edits + 1)
 
+    def errors(self, stretch: bytes) -> int:
+        """The edits of a stretch that matches, else -1."""
+        found = self._errors.get(stretch)
+        if found is None:
+            if len(self._errors) >= REMEMBERED:
+                self._errors.clear()
+            m = self.pattern.fullmatch(stretch) if self.tells(stretch) else None
+            found = self._errors[stretch] = sum(m.fuzzy_counts) if m else -1
+        return found
+
     def tells(self, matched: bytes) -> bool:
         words = matched.split(b" ")
         return all(t in words or (len(t) >= LONG_WORD and any(within_one_edit(t, w) for w in words)) for t in self.telling)

@@ -40,6 +40,15 @@ def test_shards_are_near_equal_and_slots_gapless(spark):
     assert all(len(x) == 1 for x in cold.values())
 
 
+def test_hot_copies_without_distinct_ids_are_split(spark):
+    for own in (None, 7):
+        rows = [(i, f"text {i} " + "x" * 40) for i in range(1200)] + [(own, "the hot text " * 10)] * 600
+        got = shard_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+        sizes = [sum(r.size for r in got if r.shard == s) for s in range(8)]
+        assert len(got) == 1800 and max(sizes) - min(sizes) < 0.15 * sum(sizes) / 8
+        assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(8))
+
+
 def test_shards_of_odd_numbers_and_empty_tables(spark, no_docs):
     assert shard_digest(no_docs).count() == 0
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a"), 50).alias("text")).withColumn("text", F.concat("text", "doc_id"))
@@ -201,6 +210,44 @@ def test_languages_with_long_documents_only_are_learnt(spark):
         assert {(r.doc_id % 2, r.lang_pred) for r in identify(docs, model).collect()} == {(0, "long"), (1, "short")}
 
 
+def test_many_labels_share_one_bound(spark, monkeypatch):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}q " * 40, f"l{i:03}") for i in range(400)] + [(1000 + i, "common words here", "many") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").where(~language.held_out(F.col("doc_id")))
+    few = fit(docs, labels=5)
+    assert len(few.langs) == 5 and "many" in few.langs
+    # Each has one document, longer than its share, and the shortest of them fit the other total.
+    some = fit(docs, total=1600)
+    assert 10 <= len(some.langs) <= 14 and "many" in some.langs
+    model = fit(docs)
+    assert len(model.langs) == docs.select("lang").distinct().count()
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(docs, model).collect()}
+    monkeypatch.setattr(language, "TABLE", 0)
+    long_way = fit(docs)
+    assert len(long_way.known) == 0 and {r.doc_id: (r.lang_pred, r.score) for r in identify(docs, long_way).collect()} == got
+
+
+def test_a_model_of_five_hundred_labels_is_bounded():
+    import pickle
+
+    rng = np.random.default_rng(3)
+    size = language.SAMPLE_TOTAL // 500
+    counts = {f"l{i}": (np.unique(rng.integers(0, 1 << 32, size, dtype=np.uint32)), np.ones(size)) for i in range(500)}
+    counts = {k: (g, n[: len(g)]) for k, (g, n) in counts.items()}
+    start = time.perf_counter()
+    model = Model(counts)
+    assert time.perf_counter() - start < 60 and len(pickle.dumps(model)) < 500 << 20
+    assert model.bits(["some text", "x"]).shape == (2, 500)
+
+
+def test_unknown_languages(spark):
+    texts = ["the tide and the mast " * 5, "the mast", "x", None, "", "12 %", "日本語テキストです" * 20, "qzx jqw vkq xzj " * 30]
+    docs = spark.createDataFrame([(1, texts[0] * 50, "en")] + [(None, t, None) for t in texts], "doc_id long, text string, lang string")
+    model = fit(docs)
+    found = docs.where("doc_id is null").withColumn("f", language.predicted(F.col("text"), model))
+    got = {r.text: r.u for r in found.withColumn("u", language.unknown(F.col("text"), F.col("f"))).collect()}
+    assert [got[t] for t in texts[:3]] == [False] * 3 and all(got[t] or got[t] is None for t in texts[3:7])
+
+
 # --- licences -----------------------------------------------------------------------------
 
 
@@ -270,6 +317,14 @@ def plain_labels(text, notices):
         ("gnu general public licence version 3", {"gpl-3"}),
         ("gnu lesser general public license version 3", {"lgpl-3"}),
         ("gnu general public license version 4", set()),
+        ("gnu general public license v3 0", {"gpl-3"}),
+        ("licensed under the apache license 2 0", {"apache-2"}),
+        ("apache license v2", {"apache-2"}),
+        ("the 3 clause bsd license", {"bsd-3-clause"}),
+        ("gpl v2 or later", {"gpl-2"}),
+        ("permission is hereby granted free of charge to any person obtaining a copy", {"mit"}),
+        ("cc by nc sa 4 0", {"cc-by-nc", "cc-by-nc-sa"}),
+        ("cc by nc nd", {"cc-by-nc", "cc-by-nc-nd"}),
     ],
 )
 def test_edits_never_change_what_tells_a_notice(text, labels):
@@ -303,6 +358,10 @@ def test_long_repeats_take_time_in_proportion():
         n, spans = Scanner().scan((notice * (1_000_000 // len(notice))).encode())
         assert n == len(notice.split()) * (1_000_000 // len(notice)) and (spans or notice == "license ")
         assert time.perf_counter() - start < 40
+    for notice in ("free and unencumbered software released into public domain the ", max((n.text for n in MORE), key=len) + " ", "redistribution use and in source and binary forms "):
+        start = time.perf_counter()
+        Scanner().scan((notice * (1_000_000 // len(notice))).encode())
+        assert time.perf_counter() - start < 10
 
 
 # --- chat ---------------------------------------------------------------------------------
@@ -340,6 +399,20 @@ def test_conversations_read_back(spark):
     assert read_conversations(format_conversations(df.limit(0))).count() == 0
 
 
+def test_a_long_message_is_read_in_little_memory():
+    import tracemalloc
+
+    from botlantern.llm.chat import _TURN
+
+    text = "### user: " + ("tide <mast> " + "x" * 500 + r"\\n") * 40_000 + "</turn>\n"
+    tracemalloc.start()
+    m = _TURN.match(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert m.end() == len(text) > 20_000_000 and peak < 3 * len(text)
+    assert not _TURN.match(text[:-3]) and not _TURN.match("### user: a")
+
+
 def test_template_language():
     t = compile_template("{# c #}{% for m in ms %}{% if loop.first %}<{% elif m.a == 'x' and not m['b'] %}({% else %}-{% endif %}{{ m.a | upper ~ '!' }}{% if loop.last %}>{% endif %}{% endfor %}")
     text = "".join(p for p, _ in t(ms=[{"a": "x"}, {"a": "x"}, {"a": "y", "b": 1}]))
