@@ -31,8 +31,8 @@ TEMPLATE = (
     "{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}"
     "</turn>\n{% endfor %}"
 )
-#: One turn of the template above: escaped role and text.
-_TURN = re.compile(rf"{re.escape(OPEN)} ((?:[^\\:]|\\.)*): ((?:\\.|(?!{re.escape(CLOSE)})[^\\])*){re.escape(CLOSE)}\n", re.DOTALL)
+#: One turn of the template above: escaped role and text. Runs of plain characters are taken whole and never given back.
+_TURN = re.compile(rf"{re.escape(OPEN)} ((?:[^\\:]++|\\.)*+): ((?:[^\\{CLOSE[0]}]++|\\.|(?!{re.escape(CLOSE)}){re.escape(CLOSE[0])})*+){re.escape(CLOSE)}\n", re.DOTALL)
 
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 _OUT = pa.schema([("conv_id", pa.int64()), ("place", pa.int64()), ("formatted", pa.string()), ("generated", pa.list_(_SPAN))])
