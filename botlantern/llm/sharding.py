@@ -10,7 +10,7 @@ bins, pre-aggregated in the tasks, so the driver sees 4096 rows a box at most an
 Rows that tie in the chosen dimension are told apart by a hash of their unit, narrowed alike.
 
 What is placed is a unit: all rows of one text, so copies share a shard. Texts whose copies exceed
-a tenth of a shard are split by id into units of about that size, lest a hot group unbalance
+a tenth of a shard are split by a hash of their rows' numbers into units of about that size, lest a hot group unbalance
 the shards; there can be at most 10 x shards of them, so their list has a proven bound.
 
 Slots count rows inside a shard from 0 in order of (doc_id, text hash), by one range partitioning
@@ -53,16 +53,17 @@ def _units(docs: DataFrame, shards: int) -> tuple[DataFrame, list[str], int]:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
         F.xxhash64("text").alias("text_hash"),
+        F.monotonically_increasing_id().alias("row"),
         *[_coordinate(docs, d).alias(f"x_{d}") for d in names],
     )
-    rows = cut(bare)
+    rows = cut(bare)  # which fixes the numbers of rows
     total = rows.agg(F.sum("size")).first()[0] or 0
     most = max(1, total // max(1, shards * GROUP_SHARE))
     # Their bytes sum to the total at most: shards x GROUP_SHARE of them.
     hot = rows.groupBy("text_hash").agg(F.sum("size").alias("bytes"), F.count("*").alias("copies")).where((F.col("bytes") > most) & (F.col("copies") > 1))
     hot = hot.select("text_hash", F.ceil(F.col("bytes") / F.lit(most)).alias("parts"))
-    part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    rows = rows.join(F.broadcast(hot), "text_hash", "left").withColumn("unit", F.xxhash64("text_hash", part)).drop("parts", "text_hash")
+    part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("row"), F.col("parts")))
+    rows = rows.join(F.broadcast(hot), "text_hash", "left").withColumn("unit", F.xxhash64("text_hash", part)).drop("parts", "text_hash", "row")
     return rows, names, total
 
 
