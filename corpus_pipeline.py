@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from botlantern.llm.common import bit_filter, clean, named, passing, read_table, shared_folder, small_batches, stored
 from botlantern.llm.decontam import contamination
-from botlantern.llm.language import fit, has_letter, predicted
+from botlantern.llm.language import fit, has_letter, predicted, unknown
 from botlantern.llm.minhash import surplus
 from botlantern.llm.packing import packed_digest
 
@@ -42,7 +42,10 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; texts that are null or have no letter go.
+    """Documents whose language can be told: the code of one language at least is shorter than the text's bytes, but for some slack.
+
+    What no language's model codes so is in none of them, or noise, and goes; so do texts that are null
+    or have no letter.
 
     If no language could be learnt (no labelled row that is not held out), none is told, and the text
     alone decides: those that are null or have no letter go.
@@ -52,7 +55,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if not model.langs:
         return docs.where(has_letter(text))
     found = predicted(text, model)
-    return docs.withColumn("_language", found).where("_language.lang_pred <> 'und'").drop("_language")
+    return docs.withColumn("_language", found).where(~unknown(text, F.col("_language"))).drop("_language")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
