@@ -548,8 +548,10 @@ def _(spark, d):
 
 
 def _log_folder(spark: SparkSession, d: str) -> str:
-    """The log lines as files in a folder that driver and executors share."""
+    """The log lines as files in a folder that driver and executors share, and that they can open as files."""
     folder = re.sub(r"^file:/*", "/", shared_folder(spark, "logs"))
+    if re.match(r"\w+:", folder):
+        raise ValueError(f"log files need a mounted folder as spark.checkpoint.dir, not {folder}")
     os.makedirs(folder)
 
     def write(lines: pd.DataFrame) -> pd.DataFrame:
@@ -612,6 +614,35 @@ def _(spark, d):
     return found.tables.read("ai_model_daily")
 
 
+@query("t_two_writers", _SQL["a15_model_daily"])
+def _(spark, d):
+    """The rollup after two writers stored requests of the same dates, one while the other was about to commit."""
+    root = shared_folder(spark, "writers")
+    one, two = (rollup.Rollup(Tables(spark, root)) for _ in range(2))
+    rows = _typed(A.ai_requests(spark, d), schemas.AI_REQUEST)
+
+    def slow(change) -> None:
+        one.add(change, rows.where("hour % 3 < 2"))
+        two.record(rows.where("hour % 3 > 0"))  # some requests come from both
+        two.recompute()
+
+    one.tables.commit(slow)
+    one.recompute()
+    return one.tables.read("ai_model_daily")
+
+
+@query("w1_layers_of_requests", _WITH + _AIR + " SELECT id, date, modelId, totalTokens, success FROM air")
+def _(spark, d):
+    """Requests after three upserts, of which later ones replace some rows: newest layers count, also once they are merged."""
+    tables = Tables(spark, shared_folder(spark, "layers"))
+    rows = _typed(A.ai_requests(spark, d), schemas.AI_REQUEST)
+    tables.upsert_dated("ai_request", rows.withColumn("totalTokens", F.lit(-1).cast("long")).where("hour < 20"))
+    tables.upsert_dated("ai_request", rows.withColumn("success", F.lit(False)).where("hour > 4"))
+    tables.upsert_dated("ai_request", rows)
+    tables.compact()
+    return tables.read("ai_request").select("id", "date", "modelId", "totalTokens", "success")
+
+
 @query(
     "a24_overview_by_period",
     _WITH + _AIR + " " + " UNION ALL ".join(f"SELECT {p} AS period, sum(requestCount)::BIGINT AS total_requests, sum(totalTokens)::BIGINT AS total_tokens, (SELECT count(*) FROM (SELECT DISTINCT modelId, provider FROM daily WHERE {_open(p)})) AS models FROM daily WHERE {_open(p)}" for p in (7, 30, 90)),
