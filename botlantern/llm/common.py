@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -46,28 +47,34 @@ def shared_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-#: Folders that this process has named in the shared one.
-_NAMED: list[str] = []
+class _Named(threading.local):
+    """Folders that a thread has named in the shared one: what runs beside it has its own."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_NAMED = _Named()
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
     path = f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    _NAMED.append(path)
+    _NAMED.paths.append(path)
     return path
 
 
 def named() -> int:
-    """How many folders this process has named so far."""
-    return len(_NAMED)
+    """How many folders this thread has named so far."""
+    return len(_NAMED.paths)
 
 
 def clean(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
-    """Remove the tables that this process has written to the shared folder, but `since` earlier ones and `keep`.
+    """Remove the tables that this thread has written to the shared folder, but `since` earlier ones and `keep`.
 
     Results read from them end.
     """
-    gone = [path for path in _NAMED[since:] if path != keep]
-    _NAMED[since:] = [path for path in _NAMED[since:] if path == keep]
+    gone = [path for path in _NAMED.paths[since:] if path != keep]
+    _NAMED.paths[since:] = [path for path in _NAMED.paths[since:] if path == keep]
     for path in gone:
         remove_folder(spark, path)
 
@@ -97,6 +104,15 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 FILTER_BITS = 1 << 22
 
 
+#: Bits of the largest filter, 32 MB.
+MOST_BITS = 1 << 28
+
+
+def filter_bits(n: int) -> int:
+    """Bits for n hashes: ten for each, so that one hash in ten that is not there passes, within bounds."""
+    return min(MOST_BITS, max(FILTER_BITS, 1 << (10 * n).bit_length()))
+
+
 def bit_filter(hashes: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
     """A filter of a column `hash` of longs, to be broadcast: `size` bits, whatever the rows.
 
