@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from botlantern.llm.common import bit_filter, clean, named, passing, read_table, shared_folder, small_batches, stored
+from botlantern.llm.common import bit_filter, clean, filter_bits, named, passing, read_table, shared_folder, small_batches, stored
 from botlantern.llm.decontam import contamination
 from botlantern.llm.language import fit, has_letter, predicted, unknown
 from botlantern.llm.minhash import surplus
@@ -22,12 +22,12 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of docs whose (doc_id, text) is not among `dropped` (doc_id, text_hash, and `first` or not).
 
     Where `first` is true, one row of that doc_id and text stays: the least by a hash of all columns.
-    A bit filter of fixed size tells most rows that stay; only the others meet the list in a join,
-    so whole texts are seldom shuffled.
+    A bit filter, sized by the list within bounds, tells most rows that stay; only the others meet the list
+    in a join, so whole texts are seldom shuffled.
     """
     first = F.col("first") if "first" in dropped.columns else F.lit(False)
     d = stored(dropped.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), first.alias("_first")).distinct(), "dropped")
-    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(d.select(F.xxhash64("_id", "_text").alias("hash"))))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(d.select(F.xxhash64("_id", "_text").alias("hash")), filter_bits(d.count())))
     doc_id, text = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
     suspect = passing(F.xxhash64(doc_id, text), bits)
     same = docs["doc_id"].cast("long").eqNullSafe(d["_id"]) & (F.xxhash64(docs["text"].cast("string")) == d["_text"])
