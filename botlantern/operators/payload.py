@@ -6,6 +6,7 @@ the newest records that any figure shows) and stored; the figures read those sma
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -115,3 +116,19 @@ def payload(t: Inputs, as_of: int, config: Config | None = None) -> DataFrame:
         part = _folded(df, name)
         row = part if row is None else row.join(part, "_one")
     return row.drop("_one")
+
+
+def stored_payload(tables, t: Inputs, as_of: int, config: Config | None = None) -> DataFrame:
+    """The payload, worked out once for a day and a state of the stored tables; later calls read what the first one wrote.
+
+    A commit to the tables makes it anew. Users and channels of the host are as they were at the first call.
+    """
+    config = config or Config()
+    folder, settings = f"{tables.root}/_payload", zlib.crc32(repr(config).encode())
+    name = f"{as_of}-{tables.state().version}-{settings}"
+    if not tables.exists(f"{folder}/{name}"):
+        payload(t, as_of, config).write.mode("overwrite").parquet(f"{folder}/{name}")
+        for old in tables._list(folder):
+            if old != name and old.endswith(f"-{settings}"):
+                tables.remove(f"{folder}/{old}")
+    return tables.spark.read.parquet(f"{folder}/{name}")

@@ -614,6 +614,16 @@ def _(spark, d):
     return found.tables.read("ai_model_daily")
 
 
+@query("w9_stored_images", f"SELECT DISTINCT id, ms, provider, model, num_images, success FROM ({_SQL['j9_image_outcome']})")
+def _(spark, d):
+    """Image records of the log after they were stored twice."""
+    tables = Tables(spark, shared_folder(spark, "images"))
+    found = _parsed(spark, d).images
+    for _ in range(2):
+        tables.upsert_dated("image_generation", found)
+    return tables.read("image_generation").select("id", F.unix_millis("timestamp").alias("ms"), "provider", F.col("modelId").alias("model"), F.col("numImages").alias("num_images"), "success")
+
+
 @query("t_two_writers", _SQL["a15_model_daily"])
 def _(spark, d):
     """The rollup after two writers stored requests of the same dates, one while the other was about to commit."""

@@ -3,6 +3,7 @@ import json
 from botlantern.config import Config
 from botlantern.operators import ai, dashboard, payload
 from botlantern.plans import catalog, views
+from botlantern.sources.tables import Tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,6 +20,22 @@ def test_payload_is_one_row_with_all_figures(spark):
     spark.catalog.clearCache()
 
 
+def test_a_stored_payload_is_made_once_for_a_state_of_the_tables(spark, tmp_path, monkeypatch):
+    made = []
+
+    def folded(t, as_of, config):
+        made.append(as_of)
+        return spark.createDataFrame([(as_of, len(made))], "day int, n int")
+
+    monkeypatch.setattr(payload, "payload", folded)
+    tables = Tables(spark, f"file://{tmp_path}/tables")
+    get = lambda day, config=None: tuple(payload.stored_payload(tables, None, day, config).first())
+    assert [get(5), get(5), get(6), get(6)] == [(5, 1), (5, 1), (6, 2), (6, 2)]
+    tables.commit(lambda change: change.mark([5]))
+    assert get(6) == (6, 3) and get(6, Config(recent_day_count=7)) == (6, 4) and get(6) == (6, 3)
+    assert len(tables._list(f"{tables.root}/_payload")) == 2
+
+
 def test_empty_tables_give_zeros(spark):
     none = payload.Inputs(*[df.limit(0) for df in vars(catalog._inputs(spark, SF)).values()])
     card = payload.cards(none, catalog.AS_OF, Config()).first()
