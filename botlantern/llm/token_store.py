@@ -84,14 +84,39 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
+class Merkle:
+    """A Merkle tree of leaves in order, of which only the roots of whole subtrees are held.
+
+    As if pairs of nodes were hashed level by level, an odd last one moving up.
+    """
+
+    def __init__(self):
+        self.n, self._whole = 0, []
+
+    def add(self, leaf: bytes) -> None:
+        self.n += 1
+        # A subtree of 2**k leaves is whole where k bits of the count end in zeros.
+        size = self.n
+        while size % 2 == 0:
+            leaf = digest(b"\1" + self._whole.pop() + leaf)
+            size //= 2
+        self._whole.append(leaf)
+
+    def root(self) -> bytes:
+        """The root of what was added; of nothing if nothing was."""
+        if not self._whole:
+            return digest(b"\0")
+        *left, node = self._whole
+        for other in reversed(left):
+            node = digest(b"\1" + other + node)
+        return node
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
-    """Pairs of nodes are hashed level by level; an odd last one moves up. No leaves: of nothing."""
-    if not leaves:
-        return digest(b"\0")
-    while len(leaves) > 1:
-        up = [digest(b"\1" + a + b) for a, b in zip(leaves[::2], leaves[1::2], strict=False)]
-        leaves = up + leaves[len(leaves) - len(leaves) % 2 :]
-    return leaves[0]
+    tree = Merkle()
+    for leaf in leaves:
+        tree.add(leaf)
+    return tree.root()
 
 
 _STORED = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("n", pa.int64()), ("ids", pa.binary()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("chunks", pa.list_(pa.binary())), ("root", pa.binary())])
@@ -130,14 +155,14 @@ def _encode(path: str, kind: str, end_id: int):
 
 
 def _roots(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The Merkle root and sums of each shard, which a task holds whole and in order."""
-    leaves: dict[int, list[bytes]] = {}
+    """The Merkle root and sums of each shard, whose rows a task reads in order."""
+    trees: dict[int, Merkle] = {}
     ids: dict[int, int] = {}
     for g in groups:
         for shard, n, root in zip(g["shard"], g["n_tokens"], g["root"], strict=True):
-            leaves.setdefault(shard, []).append(root)
+            trees.setdefault(shard, Merkle()).add(root)
             ids[shard] = ids.get(shard, 0) + n
-    yield pd.DataFrame({"shard": list(leaves), "documents": [len(x) for x in leaves.values()], "ids": list(ids.values()), "root": [merkle_root(x) for x in leaves.values()]})
+    yield pd.DataFrame({"shard": list(trees), "documents": [t.n for t in trees.values()], "ids": list(ids.values()), "root": [t.root() for t in trees.values()]})
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte_level", end_id: int = END_ID) -> None:

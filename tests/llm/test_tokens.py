@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from botlantern.llm import token_store
 from botlantern.llm.common import tokenizer_path
 from botlantern.llm.packing import LevelPacker, pack_documents, packed_digest
 from botlantern.llm.token_store import LEAST, MOST, _shift, _times, cut_points, merkle_root, read_store, token_digest, verify_store, write_store
@@ -190,3 +191,19 @@ def test_vocabularies_are_not_in_the_repository():
 def test_digest_columns(docs):
     assert packed_digest(docs).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert token_digest(docs.withColumn("start", F.lit(1))).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_merkle_roots_hold_few_nodes():
+    def by_levels(leaves):
+        if not leaves:
+            return token_store.digest(b"\0")
+        while len(leaves) > 1:
+            up = [token_store.digest(b"\1" + a + b) for a, b in zip(leaves[::2], leaves[1::2], strict=False)]
+            leaves = up + leaves[len(leaves) - len(leaves) % 2 :]
+        return leaves[0]
+
+    tree, leaves = token_store.Merkle(), []
+    for i in range(300):
+        assert tree.root() == by_levels(leaves) == token_store.merkle_root(leaves) and len(tree._whole) == bin(i).count("1")
+        leaves.append(token_store.digest(str(i).encode()))
+        tree.add(leaves[-1])
