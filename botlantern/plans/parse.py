@@ -48,6 +48,8 @@ IMAGE_FAILURE = ("generate_failed", "create_failed", "edit_failed")
 #: How long context stays fresh, in ms.
 COMMAND_TTL = 120_000
 MODEL_TTL = 300_000
+#: Beyond every offset: lines that are carried on stand this far before those of their file.
+CARRIED = 1 << 53
 
 
 @dataclass(frozen=True)
@@ -279,11 +281,14 @@ def image_outcomes(events: DataFrame) -> DataFrame:
 
 
 def open_lines(known: DataFrame) -> DataFrame:
-    """The lines (stream, file, offset, value) that records of later files may need, none of which makes one itself.
+    """The lines (stream, file, offset, value) that records of later lines may need, none of which makes one itself.
 
     Of each model the start without an end and its first token; of each provider the last request
-    without a success; of each stream the last model mention and the last command. `known`: events
-    with a kind. A line is written anew from its three fields.
+    without a success; of each stream the last model mention and the last command, unless by the stream's
+    last line they are no longer fresh. So there are four lines for each key at most, however long the log is.
+    `known`: events with a kind. A line is written anew from its three fields. It keeps its file, and its
+    offset comes before all that a file can have: what a file that was cut short or written anew says
+    later is behind it, too.
     """
     kind = F.col("kind")
     chat, image = kind.isin("start", "first", "finish", "empty"), kind.isin("image_request", "image_ok")
@@ -292,16 +297,20 @@ def open_lines(known: DataFrame) -> DataFrame:
     key = F.when(chat, _group(F.col("name"), CHAT_NAME, 1)).when(image, provider).otherwise("")
     group = F.when(chat, "chat").when(image, "image").otherwise(kind)
     value = F.to_json(F.struct("name", "content", F.col("ts").alias("timestamp")))
-    rows = rows.select("stream", group.alias("group"), key.alias("key"), "kind", F.struct(*_ORDER, "file", value.alias("value")).alias("line"))
+    rows = rows.select("stream", group.alias("group"), key.alias("key"), "kind", F.struct(*_ORDER, "file", "ts", value.alias("value")).alias("line"))
     last = lambda *kinds: F.max(F.when(kind.isin(*kinds), F.col("line")))
     ends = rows.groupBy("stream", "group", "key").agg(
         last("start").alias("start"), last("first").alias("first"), last("finish", "empty").alias("end"),
-        last("image_request").alias("asked"), last("image_ok").alias("done"), last("model", "command").alias("context"),
+        last("image_request").alias("asked"), last("image_ok").alias("done"), last("model", "command").alias("context"), F.max(F.struct("line.file_key", "line.offset", "line.ts")).alias("newest"),
     )
+    # One row for each key.
+    ends = ends.withColumn("now", F.max("newest").over(Window.partitionBy("stream"))["ts"])
     after = lambda a, b: F.col(b).isNull() | (F.col(a) > F.col(b))
-    kept = [F.when(after("start", "end"), F.col("start")), F.when(after("start", "end") & (F.col("first") > F.col("start")), F.col("first")), F.when(after("asked", "done"), F.col("asked")), F.col("context")]
+    fresh = F.col("now") - F.col("context.ts") < F.when(F.col("group") == "command", COMMAND_TTL).otherwise(MODEL_TTL)
+    kept = [F.when(after("start", "end"), F.col("start")), F.when(after("start", "end") & (F.col("first") > F.col("start")), F.col("first")), F.when(after("asked", "done"), F.col("asked")), F.when(fresh, F.col("context"))]
     lines = ends.select("stream", F.explode(F.array(*kept)).alias("line")).where("line is not null")
-    return lines.select("stream", "line.file", "line.offset", "line.value")
+    offset = F.col("line.offset")
+    return lines.select("stream", "line.file", F.when(offset < 0, offset).otherwise(offset - CARRIED).alias("offset"), "line.value")
 
 
 def outcome_of(status: Column, kind: Column) -> Column:
@@ -318,6 +327,18 @@ def on_disk(events: DataFrame) -> DataFrame:
     return events.persist(StorageLevel.DISK_ONLY)
 
 
+def known_of(events: DataFrame) -> DataFrame:
+    """Events that say something to a parser, with the place of their file."""
+    return events.where("kind is not null").select("stream", "file", log_file_key(F.col("file")).alias("file_key"), "offset", "kind", "ts", "name", "content", "clean")
+
+
+def records_of(known: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """AI requests and image generations of known events."""
+    timed = lambda df: df.withColumn("timestamp", instant_of_ms(F.col("ts"))).withColumn("date", day_of_ms(F.col("ts"))).withColumn("hour", hour_of_ms(F.col("ts")))
+    parts = [_typed(timed(df), schemas.AI_REQUEST) for df in (chat_requests(known), failed_requests(known), usage_requests(known, config))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]), _typed(timed(image_outcomes(known)), schemas.IMAGE_GENERATION)
+
+
 def parse_logs(lines: DataFrame, config: Config | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> ParsedLogs:
     """Records and outcome counts of lines (stream, file, offset, value).
 
@@ -330,11 +351,8 @@ def parse_logs(lines: DataFrame, config: Config | None = None, keep: Callable[[D
         lines = lines.withColumn("stream", F.lit(""))
     events = classified(events_of(lines), config)
     outcomes = events.groupBy(outcome_of(F.col("status"), F.col("kind")).alias("outcome")).agg(F.count("*").alias("lines"))
-    known = events.where("kind is not null").select("stream", "file", log_file_key(F.col("file")).alias("file_key"), "offset", "kind", "ts", "name", "content", "clean")
+    known = known_of(events)
     if keep:
         known = keep(known)
-    timed = lambda df: df.withColumn("timestamp", instant_of_ms(F.col("ts"))).withColumn("date", day_of_ms(F.col("ts"))).withColumn("hour", hour_of_ms(F.col("ts")))
-    parts = [_typed(timed(df), schemas.AI_REQUEST) for df in (chat_requests(known), failed_requests(known), usage_requests(known, config))]
-    ai = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    images = _typed(timed(image_outcomes(known)), schemas.IMAGE_GENERATION)
+    ai, images = records_of(known, config)
     return ParsedLogs(ai, images, outcomes, known)

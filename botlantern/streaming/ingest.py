@@ -1,8 +1,13 @@
 """Ingestion of log directories: a live stream of the newest files and an import of the older ones.
 
 What a batch brings is one commit of the stored tables: raw records, dirty dates, images, and how far it
-came, as the number of a micro-batch or as state, offsets and what is open of the import. A batch that
-was cut off leaves nothing; one that comes again after its commit changes nothing. The rollup is rebuilt
+came, as the number of a micro-batch or as state and offsets of the import, and what is open. A batch that
+was cut off leaves nothing; one that comes again after its commit changes nothing.
+
+Both phases turn lines into records by the same plan. What a batch leaves open (calls, image requests, the
+last mention and command) is a few lines in a folder that its commit names; they go in front of the next
+batch, so records don't depend on batches. A batch's work is dealt by files: memory is carried inside a
+file, then over one row for each file and key. The rollup is rebuilt
 at the end of a batch; if that fails its markers stay and the next batch tries again.
 """
 
@@ -24,11 +29,10 @@ from .. import schemas
 from ..config import Config
 from ..operators.facts import add_counts
 from ..operators.rollup import Rollup
-from ..plans.parse import classified, events_of, on_disk, open_lines, outcome_of, parse_logs
+from ..plans.parse import classified, events_of, known_of, on_disk, open_lines, outcome_of, records_of
 from ..sources.logs import BotLogSource, Discovery, LogFile, budget_end, sort_key
 from ..sources.offsets import LogOffsets
 from ..sources.tables import Change, State, Tables, kept, restored
-from .state import matched, records, said
 
 # Waits after failures, in ms; later ones stay at the last.
 BACKOFF_MS = (60_000, 300_000, 900_000, 3_600_000)
@@ -36,7 +40,19 @@ BACKOFF_MS = (60_000, 300_000, 900_000, 3_600_000)
 TAIL_CHUNK = 64 << 10
 OPEN = "stream string, file string, offset long, value string"
 STATE_NAMES = [part.split(" ")[0] for part in schemas.IMPORT_STATE.split(", ")]
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _with_open(known: DataFrame, left: dict, config: Config) -> DataFrame:
+    """Known events, after those that a batch before left open."""
+    if not left:
+        return known
+    lines = known.sparkSession.read.schema(OPEN).parquet(left["path"])
+    return known.unionByName(known_of(classified(events_of(lines), config)))
+
+
+def _open_of(tables: Tables, key: str) -> dict:
+    """What the last batch of a phase left open: a folder of lines, and of the import the file that is half read."""
+    return (tables.state().states.get(key) or {}).get("values") or {}
 
 
 class LiveIngest:
@@ -47,7 +63,6 @@ class LiveIngest:
         self.rollup = Rollup(tables)
         self.query: StreamingQuery | None = None
         spark.dataSource.register(BotLogSource)
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
     def known(self) -> str:
         """The newest offset that Spark has planned in the checkpoint, as JSON; of a new one, that nothing was read."""
@@ -64,27 +79,39 @@ class LiveIngest:
     def write(self, batch: DataFrame, batch_id: int) -> None:
         # Spark names the query by what its checkpoint says, so a new checkpoint is a new stream.
         stream = self.spark.sparkContext.getLocalProperty("sql.streaming.queryId") or self.checkpoint
+        if self.tables.state().batches.get(stream, -1) < batch_id:
+            self._store(batch, stream, batch_id)
+        self.rollup.recompute()
+        self.tables.compact()
 
-        def work(change: Change) -> None:
-            if not change.done(stream, batch_id):
-                ai, images = records(batch, self.config)
-                self.rollup.add(change, ai)
-                change.upsert("image_generation", images)
-                change.batch(stream, batch_id)
-
-        batch.persist()
+    def _store(self, batch: DataFrame, stream: str, batch_id: int) -> None:
+        key, new = f"live {stream}", {"path": f"{self.tables.path('log_live_open')}/{uuid.uuid4().hex}"}
+        left = _open_of(self.tables, key)
+        known = on_disk(_with_open(batch, left, self.config))
+        ai, images = (df.persist() for df in records_of(known, self.config))
         try:
+            open_lines(known).coalesce(1).write.parquet(new["path"])
+
+            def work(change: Change) -> None:
+                if not change.done(stream, batch_id):
+                    self.rollup.add(change, ai)
+                    change.upsert("image_generation", images)
+                    change.set_state(key, new)
+                    change.batch(stream, batch_id)
+
             self.tables.commit(work)
         finally:
-            batch.unpersist()
-        self.rollup.recompute()
-        self.tables.compact()
+            for df in (ai, images, known):
+                df.unpersist()
+        gone = left if _open_of(self.tables, key) == new else new
+        if gone:
+            self.tables.remove(gone["path"])
 
     def _start(self, **trigger) -> StreamingQuery:
         events = classified(events_of(self.lines()), self.config)
         outcome = outcome_of(F.col("status"), F.col("kind"))
         counts = [F.count_if(outcome == x).alias(x) for x in ("invalid", "ignored", "ai", "image")]
-        rows = matched(said(events.observe("outcomes", F.count("*").alias("lines"), *counts)))
+        rows = known_of(events.observe("outcomes", F.count("*").alias("lines"), *counts))
         self.query = rows.writeStream.foreachBatch(self.write).option("checkpointLocation", self.checkpoint).trigger(**trigger).start()
         return self.query
 
@@ -245,8 +272,7 @@ class HistoryImport:
         self.spark.sparkContext.cancelJobsWithTag(self._tag)
 
     def _left(self) -> dict:
-        """What the last batch left open: a folder of lines, and the file that is half read."""
-        return (self.tables.state().states.get(self.OPEN_KEY) or {}).get("values") or {}
+        return _open_of(self.tables, self.OPEN_KEY)
 
     def _begun(self) -> dict[str, int]:
         left = self._left()
@@ -257,17 +283,15 @@ class HistoryImport:
         left, new = self._left(), {"path": f"{self.tables.path('log_import_open')}/{uuid.uuid4().hex}"}
         parts = json.dumps([(f.name, start, end) for f, start, end in ranges])
         lines = self.spark.read.format("botlog").option("ranges", parts).load(self.config.log_directory)
-        if left:
-            lines = lines.unionByName(self.spark.read.schema(OPEN).parquet(left["path"]))
         whole = [f for f, _, end in ranges if end >= f.size]
         last, _, end = ranges[-1]
         if end < last.size:
             new |= {"file": last.name, "offset": end}
-        parsed = parse_logs(lines, self.config, keep=on_disk)
-        ai, images = parsed.ai.persist(), parsed.images.persist()
+        known = on_disk(_with_open(known_of(classified(events_of(lines), self.config)), left, self.config))
+        ai, images = (df.persist() for df in records_of(known, self.config))
         try:
             counts = ai.count(), images.count()
-            open_lines(parsed.known).coalesce(1).write.parquet(new["path"])
+            open_lines(known).coalesce(1).write.parquet(new["path"])
 
             def work(change: Change) -> dict:
                 now = self._state_of(change.base)
@@ -287,7 +311,7 @@ class HistoryImport:
 
             after = self.tables.commit(work)
         finally:
-            for df in (ai, images, parsed.known):
+            for df in (ai, images, known):
                 df.unpersist()
         gone = left if self._left().get("path") == new["path"] else new
         if gone:
