@@ -553,6 +553,12 @@ def _log_folder(spark: SparkSession, d: str) -> str:
     if re.match(r"\w+:", folder):
         raise ValueError(f"log files need a mounted folder as spark.checkpoint.dir, not {folder}")
     os.makedirs(folder)
+    _write_logs(A.log_lines(spark, d), folder)
+    return folder
+
+
+def _write_logs(lines: DataFrame, folder: str) -> None:
+    """Write each file of some lines, anew if it is there."""
 
     def write(lines: pd.DataFrame) -> pd.DataFrame:
         name = lines["file"].iloc[0]
@@ -560,8 +566,7 @@ def _log_folder(spark: SparkSession, d: str) -> str:
             f.writelines(v + "\n" for v in lines.sort_values("offset")["value"])
         return pd.DataFrame({"file": [name], "lines": [len(lines)]})
 
-    A.log_lines(spark, d).groupBy("file").applyInPandas(write, "file string, lines long").agg(F.sum("lines")).collect()
-    return folder
+    lines.groupBy("file").applyInPandas(write, "file string, lines long").agg(F.sum("lines")).collect()
 
 
 def _ingested(tables: Tables) -> DataFrame:
@@ -583,6 +588,28 @@ def _(spark, d):
     return lines.groupBy("file").agg(F.count("*").alias("lines"), F.count_if(F.col("value") == "not-json").alias("bad"), F.count_if(F.col("value") == "[1]").alias("odd"), F.min("offset").alias("first_offset"))
 
 
+@query(
+    "t8_rotated_files",
+    _WITH + _LOG + """, f AS (SELECT (d::VARCHAR)[1:4] || '-' || (d::VARCHAR)[5:6] || '-' || (d::VARCHAR)[7:8] || '-' || seq || '.log' AS file, seq, pos FROM g),
+c AS (SELECT file, seq, count(*) AS n, count(*) FILTER (pos % 2 = 0) AS even FROM f GROUP BY ALL)
+SELECT file, n + CASE WHEN seq <= 6 AND even < n THEN even ELSE 0 END AS lines, CASE WHEN seq <= 6 AND even BETWEEN 1 AND n - 1 THEN 2::BIGINT ELSE 1 END AS beginnings FROM c""",
+)
+def _(spark, d):
+    """Lines that a stream over the directory reads in two runs, between which half of the files are written anew with fewer lines."""
+    spark.dataSource.register(BotLogSource)
+    folder, found = _log_folder(spark, d), shared_folder(spark, "rotated")
+
+    def run() -> None:
+        lines = spark.readStream.format("botlog").option("maxFiles", 1_000_000).load(folder)
+        lines.writeStream.format("parquet").option("path", f"{found}/lines").option("checkpointLocation", f"{found}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    _write_logs(A.log_lines(spark, d).where("file rlike '-[1-6][.]log$' and offset % 2 = 0"), folder)
+    run()
+    lines = spark.read.schema("stream string, file string, offset long, value string").parquet(f"{found}/lines")
+    return lines.groupBy("file").agg(F.count("*").alias("lines"), F.count_if(F.col("offset") == 0).alias("beginnings"))
+
+
 @query("t_live_ingest", _INGESTED)
 def _(spark, d):
     """AI requests that the live stream stores from a directory of log files."""
@@ -603,6 +630,20 @@ def _(spark, d):
     return _ingested(tables)
 
 
+@query(
+    "a26_import_totals",
+    _WITH + _LOG + " SELECT 'completed' AS status, (SELECT count(DISTINCT (d, seq)) FROM g) AS files, count(*) FILTER (kind IN ('finish', 'empty', 'failed', 'usage')) AS ai, count(*) FILTER (kind IN ('ok', 'fail')) AS images FROM g",
+)
+def _(spark, d):
+    """What the historical import says it has done once it is through, with lines taken in parts of files."""
+    tables = Tables(spark, shared_folder(spark, "totals"))
+    history = HistoryImport(spark, tables, Config(log_directory=_log_folder(spark, d), historical_import_mode="full", max_historical_files_per_batch=1000, log_read_batch_lines=50_000))
+    while history.run_once()["status"] == "running":
+        pass
+    state = tables.read("log_import_state")
+    return state.select("status", F.col("processedFiles").alias("files"), F.col("importedAiRecords").alias("ai"), F.col("importedImageRecords").alias("images"))
+
+
 @query("t_rollup_of_stored_requests", _SQL["a15_model_daily"])
 def _(spark, d):
     """The rollup after two batches of requests are stored, their dates marked and rebuilt."""
