@@ -176,6 +176,11 @@ def _typed(rows: DataFrame, ddl: str) -> DataFrame:
     return rows.select(*columns)
 
 
+def _place() -> list[Column]:
+    """The line that a record is made of."""
+    return [F.col("file_key.name").alias("logFile"), F.col("offset").alias("logOffset")]
+
+
 def chat_requests(events: DataFrame) -> DataFrame:
     """Ends of chat calls with what their start and first token lines said."""
     is_start, is_end = F.col("kind") == "start", F.col("kind").isin("finish", "empty")
@@ -202,6 +207,7 @@ def chat_requests(events: DataFrame) -> DataFrame:
         F.when(F.col("start.ts").isNotNull(), F.col("first.ms")).alias("firstTokenLatencyMs"),
         done.alias("success"),
         F.when(~done, F.lit("OUTPUT_EMPTY_CONTENT")).alias("errorCode"),
+        *_place(),
     )
 
 
@@ -220,6 +226,7 @@ def failed_requests(events: DataFrame) -> DataFrame:
         zero.alias("totalTokens"),
         F.lit(False).alias("success"),
         F.when(F.col("content").rlike(REQUEST_ERROR), error).otherwise("UNKNOWN").alias("errorCode"),
+        *_place(),
     )
 
 
@@ -245,6 +252,7 @@ def usage_requests(events: DataFrame, config: Config) -> DataFrame:
         number(2).alias("completionTokens"),
         number(3).alias("totalTokens"),
         F.lit(True).alias("success"),
+        *_place(),
     )
 
 
@@ -342,7 +350,7 @@ def records_of(known: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
 def parse_logs(lines: DataFrame, config: Config | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> ParsedLogs:
     """Records and outcome counts of lines (stream, file, offset, value).
 
-    Records of lines that were read twice have equal ids; writers keep one of them. Records read the known
+    Records of lines that were read twice have equal ids and places; writers keep one of them. Records read the known
     events more than once; `keep` puts those where that is cheap (`on_disk`, or a stored table), and what
     it keeps is the caller's to free. Outcomes need all lines and are counted in a pass of their own.
     """

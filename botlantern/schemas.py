@@ -8,7 +8,7 @@ USER_PROFILE = "userId long, platform string, platformUserId string, userName st
 AI_REQUEST = (
     "id string, timestamp timestamp, date int, hour int, source string, provider string, modelId string, userId string, platform string, "
     "channelId string, guildId string, promptTokens long, completionTokens long, totalTokens long, latencyMs long, firstTokenLatencyMs long, "
-    "success boolean, errorCode string, fallbackFrom string"
+    "success boolean, errorCode string, fallbackFrom string, logFile string, logOffset long"
 )
 AI_MODEL_DAILY = (
     "date int, source string, provider string, modelId string, requestCount long, successCount long, failCount long, "
@@ -26,11 +26,14 @@ IMPORT_STATE = (
     "startedAt timestamp, updatedAt timestamp, completedAt timestamp, failedAt timestamp, nextRetryAt timestamp, consecutiveFailures long, lastError string"
 )
 
+#: The log line that a record was made of, null for others. Calls of one millisecond may share an id, and lines that are read again keep their place.
+PLACE = ["logFile", "logOffset"]
+
 PRIMARY_KEYS = {
     "message": ["date", "hour", "type", "selfId", "platform"],
     "command": ["date", "hour", "name", "selfId", "userId", "channelId", "platform"],
     "user_profile": ["userId"],
-    "ai_request": ["id"],
+    "ai_request": ["id", *PLACE],
     "ai_model_daily": ["date", "source", "provider", "modelId"],
     "image_generation": ["id"],
     "log_offset": ["fileName"],
