@@ -8,7 +8,7 @@ from botlantern.config import Config
 from botlantern.operators.ai import model_daily
 from botlantern.plans import catalog
 from botlantern.sources.tables import Tables
-from botlantern.streaming.ingest import HistoryImport
+from botlantern.streaming.ingest import HistoryImport, LiveIngest
 
 from .test_ingest import write_log
 from .test_logs import FINISH, T0, line
@@ -62,3 +62,18 @@ def test_an_import_keeps_calls_of_one_id(spark, tables, tmp_path):
 
 def test_imported_requests_equal_their_sql(spark, repeated):
     equals_its_sql(spark, repeated, "t_history_import")
+
+
+def test_a_stream_keeps_calls_of_one_id(spark, tables, tmp_path):
+    config = Config(log_directory=str(tmp_path / "logs"))
+    for end in (5, 8):
+        write_log(tmp_path / "logs", CALLS[:end], 3)
+        LiveIngest(spark, tables, f"file://{tmp_path}/checkpoint", config).run_once()
+    assert four_calls(tables)
+    # A new stream reads all lines again.
+    LiveIngest(spark, tables, f"file://{tmp_path}/another", config).run_once()
+    assert four_calls(tables)
+
+
+def test_streamed_requests_equal_their_sql(spark, repeated):
+    equals_its_sql(spark, repeated, "t_live_ingest")
