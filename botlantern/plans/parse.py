@@ -285,6 +285,7 @@ def image_outcomes(events: DataFrame) -> DataFrame:
         zero.alias("purchasedUsed"),
         F.lit("unknown").alias("consumptionType"),
         F.when(~ok, F.substring("clean", 1, 100)).alias("errorCode"),
+        *_place(),
     )
 
 

@@ -16,7 +16,7 @@ AI_MODEL_DAILY = (
 )
 IMAGE_GENERATION = (
     "id string, timestamp timestamp, date int, hour int, userId string, platform string, commandName string, styleName string, modelId string, "
-    "provider string, numImages long, success boolean, freeUsed long, purchasedUsed long, consumptionType string, errorCode string, latencyMs long"
+    "provider string, numImages long, success boolean, freeUsed long, purchasedUsed long, consumptionType string, errorCode string, latencyMs long, logFile string, logOffset long"
 )
 LOG_OFFSET_V2 = "fileName string, size long, lastOffset long, updatedAt timestamp"
 LOG_OFFSET = "fileName string, size long, lastOffset long, mtimeMs long, updatedAt timestamp"
@@ -35,7 +35,7 @@ PRIMARY_KEYS = {
     "user_profile": ["userId"],
     "ai_request": ["id", *PLACE],
     "ai_model_daily": ["date", "source", "provider", "modelId"],
-    "image_generation": ["id"],
+    "image_generation": ["id", *PLACE],
     "log_offset": ["fileName"],
     "log_offset_v2": ["fileName"],
     "ai_daily_dirty": ["date"],

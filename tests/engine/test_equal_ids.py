@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from botlantern.config import Config
 from botlantern.operators.ai import model_daily
 from botlantern.plans import catalog
+from botlantern.plans.parse import parse_logs
 from botlantern.sources.tables import Tables
 from botlantern.streaming.ingest import HistoryImport, LiveIngest
 
 from .test_ingest import write_log
-from .test_logs import FINISH, T0, line
+from .test_logs import FINISH, SCHEMA, T0, line
 from .test_queries import SF, rows
 
 START = "🚀 [请求开始]"
@@ -77,3 +78,19 @@ def test_a_stream_keeps_calls_of_one_id(spark, tables, tmp_path):
 
 def test_streamed_requests_equal_their_sql(spark, repeated):
     equals_its_sql(spark, repeated, "t_live_ingest")
+
+
+def test_images_of_one_id_are_kept(spark, tables):
+    image = lambda text: line("aka-ai-image-generator", text, T0)
+    ask = lambda model, n: image(f"requestProviderImages 调用 {{ provider: 'p', modelId: '{model}', numImages: {n} }}")
+    done = image("provider=p event=create_success")
+    values = [ask("m", 2), done, ask("n", 3), done, done]
+    lines = spark.createDataFrame([("s", "2024-01-01-1.log", i, v) for i, v in enumerate(values)], SCHEMA)
+    for _ in range(2):
+        tables.upsert_dated("image_generation", parse_logs(lines).images)
+        found = tables.read("image_generation").collect()
+        assert sorted((r.modelId or "", r.numImages) for r in found) == [("", 1), ("m", 2), ("n", 3)] and {r.id for r in found} == {f"img-{T0}-p-ok"}
+
+
+def test_stored_images_equal_their_sql(spark, repeated):
+    equals_its_sql(spark, repeated, "w9_stored_images")
