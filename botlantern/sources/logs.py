@@ -13,6 +13,12 @@ so a file that shrank or went back in time is read anew. Only lines that end wit
 read; a batch takes at most maxBytesPerFile bytes and maxLinesPerFile lines of a file, but always one
 line at least. Spark does not tell a Python source where a restarted query stands; the option known,
 the newest offset of its checkpoint as JSON, does, so limits hold for the first batch as well.
+
+With the option backlog, which needs known, no file of the directory is passed over, however many there
+are: a batch takes what is new in the files that are followed, or else the oldest maxFiles files that
+were not read yet; it ends at the first file that its limits leave half read, and the next one goes on
+inside it. So lines come in the order of their files. Offsets then hold at most twice as many files. A
+file that comes late, behind maxFiles later ones that were read, is left out, as one that was let go.
 """
 
 from __future__ import annotations
@@ -249,6 +255,9 @@ class BotLogStreamReader(DataSourceStreamReader):
         self.scan: Discovery | None = None
         #: What was planned last; where a restart does not know it, files are taken to their ends.
         self.known: dict | None = json.loads(options.get("known", "null"))
+        self.backlog = options.get("backlog", "false").lower() == "true"
+        if self.backlog and self.known is None:
+            raise ValueError("backlog needs known")
 
     def initialOffset(self) -> dict:
         self.known = {"files": {}}
@@ -261,7 +270,40 @@ class BotLogStreamReader(DataSourceStreamReader):
             return 0
         return before["pos"]
 
+    def _ends(self, files: list[LogFile], known: dict | None, ordered: bool = False) -> dict:
+        """How far to read each file, after what is known of it; `ordered`: up to the first that is left half read."""
+        found = {}
+        for f in files:
+            file = os.path.join(self.path, f.name)
+            start = self._from(known.get(f.name), f.size, f.mtime_ms) if known is not None else 0
+            try:
+                pos = budget_end(file, start, f.size, self.bytes, self.lines, self.chunk) if known is not None else last_line_end(file, start, f.size, self.chunk)
+                half = ordered and pos < last_line_end(file, start, f.size, self.chunk)
+            except FileNotFoundError:
+                continue
+            found[f.name] = {"pos": pos, "size": f.size, "mtime": f.mtime_ms}
+            if half:
+                break
+        return found
+
+    def _next(self) -> dict:
+        """The next offset of a backlog; the known one if there is nothing new."""
+        known = self.known["files"]
+        names = sorted(known, key=sort_key)
+        followed = known | self._ends(_stat(self.path, names), known, ordered=True)
+        if followed != known:
+            return {"files": followed}
+        # Files that were let go are older than all that are kept.
+        kept = names[-self.files :]
+        oldest = kept[0] if len(kept) == self.files else None
+        unread = Discovery(self.path, self.files, after=oldest, names=lambda path: (n for n in log_names(path) if n not in known)).advance()
+        new = self._ends(unread, {}, ordered=True)
+        return {"files": {n: known[n] for n in kept} | new} if new else self.known
+
     def latestOffset(self) -> dict:
+        if self.backlog:
+            self.known = self._next()
+            return self.known
         self.scan = self.scan or Discovery(self.path, self.files, newest=True)
         files = self.scan.advance(self.seconds)
         # Until the pass has come to its end there is nothing new.
@@ -269,16 +311,8 @@ class BotLogStreamReader(DataSourceStreamReader):
             files = self.scan.advance(self.seconds)
         if files is None:
             return self.known
-        self.scan, found = None, {}
-        for f in files:
-            file = os.path.join(self.path, f.name)
-            start = self._from(self.known["files"].get(f.name), f.size, f.mtime_ms) if self.known else 0
-            try:
-                pos = budget_end(file, start, f.size, self.bytes, self.lines, self.chunk) if self.known else last_line_end(file, start, f.size, self.chunk)
-            except FileNotFoundError:
-                continue
-            found[f.name] = {"pos": pos, "size": f.size, "mtime": f.mtime_ms}
-        self.known = {"files": found}
+        self.scan = None
+        self.known = {"files": self._ends(files, self.known["files"] if self.known else None)}
         return self.known
 
     def partitions(self, start: dict, end: dict) -> list[LogRanges]:

@@ -71,9 +71,9 @@ class LiveIngest:
         found = [part for part in self.tables._text(f"{log}/{max(numbers)}").split("\n") if part.startswith('{"files"')] if numbers else []
         return found[0] if found else '{"files": {}}'
 
-    def lines(self) -> DataFrame:
+    def lines(self, backlog: bool = False) -> DataFrame:
         c = self.config
-        options = {"maxFiles": c.max_recent_files, "maxBytesPerFile": c.max_bytes_per_file_per_cycle, "maxLinesPerFile": c.log_read_batch_lines, "chunkBytes": c.log_read_chunk_bytes, "maxScanMs": c.max_scan_duration_ms, "known": self.known()}
+        options = {"backlog": backlog, "maxFiles": c.max_recent_files, "maxBytesPerFile": c.max_bytes_per_file_per_cycle, "maxLinesPerFile": c.log_read_batch_lines, "chunkBytes": c.log_read_chunk_bytes, "maxScanMs": c.max_scan_duration_ms, "known": self.known()}
         return self.spark.readStream.format("botlog").options(**options).load(c.log_directory)
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
@@ -107,8 +107,8 @@ class LiveIngest:
         if gone:
             self.tables.remove(gone["path"])
 
-    def _start(self, **trigger) -> StreamingQuery:
-        events = classified(events_of(self.lines()), self.config)
+    def _start(self, backlog: bool = False, **trigger) -> StreamingQuery:
+        events = classified(events_of(self.lines(backlog)), self.config)
         outcome = outcome_of(F.col("status"), F.col("kind"))
         counts = [F.count_if(outcome == x).alias(x) for x in ("invalid", "ignored", "ai", "image")]
         rows = known_of(events.observe("outcomes", F.count("*").alias("lines"), *counts))
@@ -130,10 +130,16 @@ class LiveIngest:
         return query
 
     def drain(self) -> int:
-        """Take all that is there now, in bounded micro-batches; returns how many had rows."""
-        batches = 0
-        while any(p["numInputRows"] for p in self.run_once().recentProgress):
-            batches += 1
+        """Take all that is there now, in bounded micro-batches and in the order of files; returns how many had rows.
+
+        Files beyond max_recent_files are no exception: a new stream begins at the oldest file.
+        """
+        batches, before = 0, None
+        while not self.busy() and (now := self.known()) != before:
+            before = now
+            query = self._start(backlog=True, availableNow=True)
+            query.awaitTermination()
+            batches += any(p["numInputRows"] for p in query.recentProgress)
         return batches
 
     def busy(self) -> bool:

@@ -111,3 +111,16 @@ def test_a_crash_at_each_step_of_a_micro_batch_loses_and_repeats_nothing(spark,
     tables.vacuum(older_than_s=-1)
     assert len(tables._list(tables.path("log_live_open"))) == 1 and len(open_rows(spark, tables)) <= 8
     assert stored(tables) == (unique(want[0]), unique(want[1]))
+
+
+def test_a_drained_directory_equals_a_sequential_parser(spark, tables, tmp_path):
+    # More files than are followed at once, each of more lines than a batch takes of it; the first ones say nothing.
+    lines, folder = random_log(29, 130), tmp_path / "logs"
+    write_log(folder, lines, 60)
+    for k in (1, 2, 3):
+        (folder / f"2023-12-31-{k}.log").write_text("\n")
+    live = LiveIngest(spark, tables, f"file://{tmp_path}/checkpoint", Config(log_directory=str(folder), max_recent_files=2, log_read_batch_lines=50))
+    assert live.drain() == 5
+    want = simulate(lines)
+    assert stored(tables) == (unique(want[0]), unique(want[1]))
+    assert live.drain() == 0

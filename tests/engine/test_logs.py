@@ -269,3 +269,43 @@ def test_options_of_a_query_reach_the_source(spark, tmp_path):
     query = rows.writeStream.format("memory").queryName("three_files").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.file for r in spark.table("three_files").collect()) == [f"2024-01-01-{i}.log" for i in (3, 4, 5)]
+
+
+def test_a_backlog_passes_no_file_over(tmp_path):
+    put = lambda name, *values: (tmp_path / f"2024-01-0{name}.log").write_text("".join(v + "\n" for v in values))
+    read = lambda a, b, r: [x[3] for p in r.partitions(a, b) for x in r.read(p)]
+
+    def batches(at, **options):
+        """What each batch reads, each by a reader of its own, until nothing is new."""
+        found = []
+        while True:
+            reader = BotLogStreamReader(str(tmp_path), {"maxFiles": "2", "backlog": "true", "known": json.dumps(at), **options})
+            end = reader.latestOffset()
+            assert len(end["files"]) <= 4
+            if end == at:
+                return found, at
+            found, at = [*found, read(at, end, reader)], end
+
+    for n in range(1, 6):
+        put(f"1-{n}0", f"a{n}", f"b{n}")
+    put("1-30")
+    found, end = batches({"files": {}})
+    assert found == [["a1", "b1", "a2", "b2"], ["a4", "b4"], ["a5", "b5"]]
+    # What the files that are followed say comes first, then a late file between them and new ones; a file that was let go stays so.
+    for n in (1, 4, 5):
+        put(f"1-{n}0", f"a{n}", f"b{n}", f"c{n}")
+    for name in ("1-60", "2-1", "2-2", "1-45"):
+        put(name, name)
+    found, end = batches(end)
+    assert found == [["c4", "c5"], ["1-45", "1-60"], ["2-1", "2-2"]]
+    # The newest files, as a stream that goes on after the backlog takes them: nothing comes again.
+    reader = BotLogStreamReader(str(tmp_path), {"maxFiles": "2", "known": json.dumps(end)})
+    assert read(end, reader.latestOffset(), reader) == []
+    # A file that the limits leave half read is read on before later ones.
+    put("3-1", "a", "b", "c")
+    put("3-2", "d", "e")
+    put("3-3", "f")
+    (tmp_path / "2024-01-03-3.log").open("a").write("no end")
+    assert batches(end, maxLinesPerFile="2")[0] == [["a", "b"], ["c"], ["d", "e", "f"]]
+    with pytest.raises(ValueError, match="known"):
+        BotLogStreamReader(str(tmp_path), {"backlog": "true"})
