@@ -31,7 +31,9 @@ import sys
 import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 _NAME = re.compile(r"(\d{4})-(\d{2})-(\d{2})-(\d+)\.log")
@@ -40,6 +42,8 @@ SPLIT = 64 << 20
 #: Bytes up to which one task reads several small files.
 PACK = 1 << 20
 CHUNK = 1 << 20
+#: Lines that go to Spark at once.
+BATCH = 4096
 
 SortKey = tuple[int, int, str]
 
@@ -65,7 +69,7 @@ def log_names(path: str) -> Iterator[str]:
                 yield e.name
 
 
-def _stat(path: str, names: Iterable[str]) -> list[LogFile]:
+def stat_of(path: str, names: Iterable[str]) -> list[LogFile]:
     """Files with size and time; those that vanished meanwhile are left out."""
     found = []
     for name in names:
@@ -79,13 +83,13 @@ def _stat(path: str, names: Iterable[str]) -> list[LogFile]:
 
 def discover_recent(path: str, most: int, names: Callable[[str], Iterable[str]] = log_names) -> list[LogFile]:
     """The newest files by key, oldest first; only these are looked up. A failed listing gives nothing."""
-    return _stat(path, sorted(heapq.nlargest(most, names(path), key=sort_key), key=sort_key))
+    return stat_of(path, sorted(heapq.nlargest(most, names(path), key=sort_key), key=sort_key))
 
 
 def discover_after(path: str, cursor: str | None, most: int, names: Callable[[str], Iterable[str]] = log_names) -> list[LogFile]:
     """The oldest files whose key is greater than the cursor's, in order."""
     later = (n for n in names(path) if cursor is None or sort_key(n) > sort_key(cursor))
-    return _stat(path, heapq.nsmallest(most, later, key=sort_key))
+    return stat_of(path, heapq.nsmallest(most, later, key=sort_key))
 
 
 class Discovery:
@@ -115,7 +119,7 @@ class Discovery:
                     self.found = self._best()
             if end is not None and i % self.STEP == 0 and clock() >= end:
                 return None
-        return _stat(self.path, sorted(self._best(), key=sort_key))
+        return stat_of(self.path, sorted(self._best(), key=sort_key))
 
 
 def read_lines(file: str, start: int, end: int, tail: bool = False, chunk: int = CHUNK) -> Iterator[tuple[int, str]]:
@@ -220,6 +224,13 @@ def _read(part: LogRanges, chunk: int) -> Iterator[tuple]:
             yield part.stream, name, offset, line
 
 
+def _batches(part: LogRanges, chunk: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, whose columns Spark takes as they are."""
+    rows = _read(part, chunk)
+    while some := list(islice(rows, BATCH)):
+        yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*some, strict=True), (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["stream", "file", "offset", "value"])
+
+
 class BotLogReader(DataSourceReader):
     def __init__(self, path: str, options: dict):
         options = {k.lower(): v for k, v in options.items()}
@@ -232,12 +243,12 @@ class BotLogReader(DataSourceReader):
     def partitions(self) -> list[LogRanges]:
         if self.ranges is not None:  # name, start and end of whole lines
             return _packed(self.path, self.ranges)
-        files = _stat(self.path, self.names or log_names(self.path))
+        files = stat_of(self.path, self.names or log_names(self.path))
         files.sort(key=lambda f: sort_key(f.name))
         return _packed(self.path, [(f.name, 0, f.size) for f in files], self.newest_tail)
 
-    def read(self, partition: LogRanges) -> Iterator[tuple]:
-        return _read(partition, self.chunk)
+    def read(self, partition: LogRanges) -> Iterator[pa.RecordBatch]:
+        return _batches(partition, self.chunk)
 
 
 class BotLogStreamReader(DataSourceStreamReader):
@@ -290,7 +301,7 @@ class BotLogStreamReader(DataSourceStreamReader):
         """The next offset of a backlog; the known one if there is nothing new."""
         known = self.known["files"]
         names = sorted(known, key=sort_key)
-        followed = known | self._ends(_stat(self.path, names), known, ordered=True)
+        followed = known | self._ends(stat_of(self.path, names), known, ordered=True)
         if followed != known:
             return {"files": followed}
         # Files that were let go are older than all that are kept.

@@ -334,7 +334,11 @@ class Tables:
             return part, {}
         rows = latest_by_key(rows, [*(["date"] if dated and "date" not in key else []), *key], [F.col(c) for c in self._names(name) if c not in key])
         path = f"{self.path(name)}/part={part}"
-        lookup = {f"parquet.bloom.filter.enabled#{c}": "true" for c in key if c not in schemas.PLACE and f"{c} string" in SCHEMAS[name].split(", ")}
+        lookup = {}
+        for c in key:
+            if c not in schemas.PLACE and f"{c} string" in SCHEMAS[name].split(", "):
+                # Without a number of values a filter takes a megabyte of each file.
+                lookup |= {f"parquet.bloom.filter.enabled#{c}": "true", f"parquet.bloom.filter.expected.ndv#{c}": str(min(max(sizes.values()), FILE_ROWS))}
         if not dated:
             rows.repartition(max(1, -(-sum(sizes.values()) // FILE_ROWS))).write.options(**lookup).parquet(path)
             return part, sizes

@@ -13,13 +13,14 @@ at the end of a batch; if that fails its markers stay and the next batch tries a
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import json
 import os
 import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from ..config import Config
 from ..operators.facts import add_counts
 from ..operators.rollup import Rollup
 from ..plans.parse import classified, events_of, known_of, on_disk, open_lines, outcome_of, records_of
-from ..sources.logs import BotLogSource, Discovery, LogFile, budget_end, sort_key
+from ..sources.logs import BotLogSource, Discovery, LogFile, budget_end, sort_key, stat_of
 from ..sources.offsets import LogOffsets
 from ..sources.tables import Change, State, Tables, kept, restored
 
@@ -158,9 +159,15 @@ class HistoryImport:
     on inside it. What a batch leaves open (calls, image requests, the last mention and command, how far
     the last file was read) is in the same commit as its records, and goes in front of the next batch, so
     records don't depend on batches.
+
+    `run_once` takes one batch, for a cycle of a coordinator. `drain` takes all that is there: its batches
+    hold as many ranges as a batch has files, each within the limits of a file, but a long file fills
+    several of them, so few batches are needed however the lines are spread over files.
     """
 
     KEY, OPEN_KEY = "historical", "historical_open"
+    #: Batches whose names a drain finds in one pass over the directory.
+    PASS = 16
 
     def __init__(self, spark: SparkSession, tables: Tables, config: Config, now: Callable[[], float] = time.time):
         self.spark, self.tables, self.config, self.now = spark, tables, config, now
@@ -171,6 +178,8 @@ class HistoryImport:
         self._tag = f"history-{uuid.uuid4().hex}"
         #: A pass over the directory that ran out of time, and its cursor.
         self.scan: tuple[str | None, Discovery] | None = None
+        #: Names that a drain has found for its next batches.
+        self.ahead: list[str] = []
         spark.dataSource.register(BotLogSource)
 
     def _blank(self) -> dict:
@@ -218,10 +227,11 @@ class HistoryImport:
         names = [n for n in (state["cursorFileName"], self.first_cursor()) if n]
         return max(names, key=sort_key, default=None)
 
-    def _files(self, cursor: str | None) -> list[LogFile] | None:
+    def _files(self, cursor: str | None, batches: int = 1) -> list[LogFile] | None:
         """The next files, or None if the pass over the directory ran out of time."""
-        if not self.scan or self.scan[0] != cursor:
-            self.scan = cursor, Discovery(self.config.log_directory, self.config.max_historical_files_per_batch, after=cursor)
+        most = batches * self.config.max_historical_files_per_batch
+        if not self.scan or (self.scan[0], self.scan[1].most) != (cursor, most):
+            self.scan = cursor, Discovery(self.config.log_directory, most, after=cursor)
         try:
             files = self.scan[1].advance(self.config.max_scan_duration_ms / 1000)
         except Exception:
@@ -231,46 +241,105 @@ class HistoryImport:
             self.scan = None
         return files
 
-    def _ranges(self, files: list[LogFile], begun: dict[str, int]) -> list[tuple[LogFile, int, int]]:
-        """Whole lines (file, start, end) of the files, within the limits, up to the first that is not read to its end."""
+    def _ahead(self, cursor: str | None) -> list[LogFile] | None:
+        """The same for a drain, whose passes find names for several batches."""
+        while True:
+            self.ahead = [n for n in self.ahead if cursor is None or sort_key(n) > sort_key(cursor)]
+            # Files have grown since the pass, or are gone.
+            if files := stat_of(self.config.log_directory, self.ahead[: self.config.max_historical_files_per_batch]):
+                return files
+            if not (files := self._files(cursor, self.PASS)):
+                return files
+            self.ahead = [f.name for f in files]
+
+    def _ranges(self, files: list[LogFile], begun: dict[str, int], through: bool = False) -> list[tuple[LogFile, int, int]]:
+        """Whole lines (file, start, end) of the files, within the limits, up to the first that is not read to its end.
+
+        `through`: a file has as many ranges as it takes, up to as many in all as a batch has files.
+        """
         c, found = self.config, []
         for f in files:
             start = begun.get(f.name, 0)
-            start = start if start <= f.size else 0
-            found.append((f, start, budget_end(os.path.join(c.log_directory, f.name), start, f.size, c.max_bytes_per_file_per_cycle, c.log_read_batch_lines, TAIL_CHUNK)))
-            if found[-1][2] < f.size:
+            end = start = start if start <= f.size else 0
+            while True:
+                start, end = end, budget_end(os.path.join(c.log_directory, f.name), end, f.size, c.max_bytes_per_file_per_cycle, c.log_read_batch_lines, TAIL_CHUNK)
+                if end > start or not found or found[-1][0] != f:
+                    found.append((f, start, end))
+                if not through or not start < end < f.size or len(found) >= c.max_historical_files_per_batch:
+                    break
+            if end < f.size or len(found) >= c.max_historical_files_per_batch:
                 break
         return found
 
-    def run_once(self) -> dict:
-        """One batch of files; returns the state after it."""
-        state = self.state()
-        if self.running or self.config.historical_import_mode == "disabled" or state["status"] in ("completed", "paused"):
-            return state
-        if state["status"] == "failed":
-            if state["nextRetryAt"] and self._at() < state["nextRetryAt"]:
-                return state
-            state = self.patch(status="running", lastError=None)
+    def _idle(self, state: dict) -> bool:
+        """Whether there is nothing to do by this state."""
+        waits = state["status"] == "failed" and state["nextRetryAt"] and self._at() < state["nextRetryAt"]
+        return bool(self.running or self.config.historical_import_mode == "disabled" or state["status"] in ("completed", "paused") or waits)
+
+    @contextlib.contextmanager
+    def _busy(self) -> Iterator[None]:
         self.running = True
         self._cancelled.clear()
         self.spark.sparkContext.addJobTag(self._tag)
         try:
-            files = self._files(self._cursor(state))
+            yield
+        finally:
+            self.spark.sparkContext.removeJobTag(self._tag)
+            self.running = False
+
+    def _batch(self, state: dict, through: bool = False) -> dict:
+        try:
+            files = (self._ahead if through else self._files)(self._cursor(state))
             if state["status"] == "idle":
                 state = self.patch(status="running", startedAt=self._at())
             if files is None:
                 return state
             if not files:
                 return self.patch(status="completed", completedAt=self._at())
-            ranges = self._ranges(files, self._begun())
+            ranges = self._ranges(files, self._begun(), through)
             if not any(end - start or end >= f.size for f, start, end in ranges):
                 return state  # the next file has no whole line yet
-            return self.load(ranges, state)
+            after = self.load(ranges, state)
+            if not through:
+                self._settle()
+            return after
         except Exception as error:
             return self.state() if self._cancelled.is_set() else self._fail(error)
-        finally:
-            self.spark.sparkContext.removeJobTag(self._tag)
-            self.running = False
+
+    def _settle(self) -> None:
+        """Rebuild the rollup of what batches brought, and merge layers."""
+        self.rollup.recompute()
+        self.tables.compact()
+
+    def run_once(self) -> dict:
+        """One batch of files; returns the state after it."""
+        state = self.state()
+        if self._idle(state):
+            return state
+        if state["status"] == "failed":
+            state = self.patch(status="running", lastError=None)
+        with self._busy():
+            return self._batch(state)
+
+    def drain(self) -> dict:
+        """Batch after batch until all that is there is imported, or one fails or is cancelled; returns the state after it.
+
+        The rollup is rebuilt once, at the end: until then the dates of the batches stay marked, so a drain that was cut off is
+        mended by the next batch or drain. Names are found for several batches at a time; of files that come while
+        it runs, only those behind these names are seen.
+        """
+        state = self.state()
+        if self._idle(state):
+            return state
+        if state["status"] == "failed":
+            state = self.patch(status="running", lastError=None)
+        self.ahead, before = [], None
+        with self._busy():
+            while state["status"] in ("idle", "running") and not self._cancelled.is_set() and (self.scan or state != before):
+                before, state = state, self._batch(state, through=True)
+            if not self._cancelled.is_set():
+                self._settle()
+        return state
 
     def cancel(self) -> None:
         """End the jobs of a batch that is running; its commit is made whole or not at all, and it is no failure."""
@@ -287,15 +356,23 @@ class HistoryImport:
     def load(self, ranges: list[tuple[LogFile, int, int]], state: dict) -> dict:
         """Parse lines (file, start, end) as one batch, after what the last batch left open, and commit what they bring; the state after it."""
         left, new = self._left(), {"path": f"{self.tables.path('log_import_open')}/{uuid.uuid4().hex}"}
+        read = f"{self.tables.path('log_import_open')}/{uuid.uuid4().hex}"
         parts = json.dumps([(f.name, start, end) for f, start, end in ranges])
         lines = self.spark.read.format("botlog").option("ranges", parts).load(self.config.log_directory)
         whole = [f for f, _, end in ranges if end >= f.size]
         last, _, end = ranges[-1]
         if end < last.size:
             new |= {"file": last.name, "offset": end}
-        known = on_disk(_with_open(known_of(classified(events_of(lines), self.config)), left, self.config))
-        ai, images = (df.persist() for df in records_of(known, self.config))
+        if left:
+            lines = lines.unionByName(self.spark.read.schema(OPEN).parquet(left["path"]))
+        found = known_of(classified(events_of(lines), self.config))
+        cached: list[DataFrame] = []
         try:
+            # As a table of its own, so that the plans of records, which use it often, are short.
+            found.write.parquet(read)
+            known = self.spark.read.schema(found.schema).parquet(read)
+            cached += (df.persist() for df in records_of(known, self.config))
+            ai, images = cached
             counts = ai.count(), images.count()
             open_lines(known).coalesce(1).write.parquet(new["path"])
 
@@ -317,13 +394,12 @@ class HistoryImport:
 
             after = self.tables.commit(work)
         finally:
-            for df in (ai, images, known):
+            for df in cached:
                 df.unpersist()
+            self.tables.remove(read)
         gone = left if self._left().get("path") == new["path"] else new
         if gone:
             self.tables.remove(gone["path"])
-        self.rollup.recompute()
-        self.tables.compact()
         return after
 
     def reset(self) -> str:
